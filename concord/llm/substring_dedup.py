@@ -15,12 +15,13 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACED, U64, checkpoint, slices, sliding_min, small_batches, window_hashes, word_hashes, word_spans
 
-KEY = ["doc_id", "text_hash"]
+#: Occurrences of a shorter window beyond which windows around it are first compared within so many parts of the documents.
+OFTEN, PARTS = 10_000, 64
 
 
 def _words(texts: pa.Array):
@@ -35,16 +36,14 @@ def _inside(row: np.ndarray, n: int) -> np.ndarray:
     return row[: len(row) - n + 1] == row[n - 1 :] if len(row) >= n else np.zeros(0, bool)
 
 
-def _live(words: np.ndarray, row: np.ndarray, window: int, length: int | None, repeated: np.ndarray) -> np.ndarray:
-    """Which windows may be repeated, after the level of this length (None: all that lie in one row)."""
+def _live(words: np.ndarray, row: np.ndarray, window: int, length: int, of: np.ndarray) -> np.ndarray:
+    """Which windows lie in one row and have their least window of this length among those of."""
     live = _inside(row, window)
-    if length and len(live):
-        live &= np.isin(sliding_min(window_hashes(words, length), window - length + 1), repeated)
-    return live
+    return live & np.isin(sliding_min(window_hashes(words, length), window - length + 1), of) if len(live) else live
 
 
 def _rows(batch: pa.RecordBatch, take: np.ndarray, h: np.ndarray, more: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64))} | {k: batch.column(k).take(pa.array(take)) for k in KEY} | more)
+    return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64))} | {"doc_id": batch.column("doc_id").take(pa.array(take))} | more)
 
 
 def _again(row: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -56,24 +55,24 @@ def _again(row: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _candidates(window: int, before: int | None, length: int):
-    """Windows of this length among those that the level before (its length) has left; the hash and document and, for whole windows, the start and whether the document has it before."""
+    """Windows of this length among those that the level before (its length) has left; the hash and document and, for
+    whole windows, the start, whether the document has it before and whether it holds a frequent shorter window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("repeated") if before else None
             for lo, row, words in _words(batch.column("text")):
                 if len(words) < window:
                     continue
                 n = int(row[-1]) + 1
-                repeated = found.slice(lo, n).flatten().to_numpy(zero_copy_only=False).view(U64) if before else np.zeros(0, U64)
-                live = _live(words, row, window, before, repeated)
+                known = lambda name: batch.column(name).slice(lo, n).flatten().to_numpy(zero_copy_only=False).view(U64)  # noqa: B023, E731
+                live = _live(words, row, window, before, known("repeated")) if before else _inside(row, window)
                 if not live.any():
                     continue
                 h = window_hashes(words, length)
                 if length == window:
                     at = np.flatnonzero(live)
                     first = np.searchsorted(row, row[at], "left")
-                    yield _rows(batch, row[at] + lo, h[at], {"start": pa.array((at - first).astype(np.int32)), "again": pa.array(_again(row[at], h[at]))})
+                    yield _rows(batch, row[at] + lo, h[at], {"start": pa.array((at - first).astype(np.int32)), "again": pa.array(_again(row[at], h[at])), "often": pa.array(_live(words, row, window, before, known("frequent"))[at])})
                 else:
                     width = window - length + 1
                     least = np.where(live, sliding_min(h, width), U64(0))
@@ -98,8 +97,8 @@ def _cut(window: int):
                 if starts.is_valid and len(starts.values):
                     edge = np.zeros(len(words) + 1, np.int64)
                     at = starts.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
+                    np.add.at(edge, np.minimum(at, len(words)), 1)
+                    np.add.at(edge, np.minimum(at + window, len(words)), -1)
                     kept = list(compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
@@ -109,43 +108,45 @@ def _cut(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 20, first_length: int = 5) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = 20, first_length: int = 10) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): each text without the words of windows that occur earlier.
 
     docs has doc_id and text; other columns are ignored. A word goes if some window of min_words words that covers it
     also starts earlier: in a document of smaller doc_id, or in the same one further to the front. kept_text is the
     words left, joined by one space. first_length, doubled again and again, must give min_words.
 
-    A null text has no words; a text of fewer than min_words words stays whole. Rows that repeat a doc_id with the same
-    text are one document and get the same result each; with another text they are judged as documents of equal rank,
-    neither before the other. A row whose doc_id is null comes before or after no other and stays whole. An empty table
-    gives an empty one.
+    A null text has no words; a text of fewer than min_words words stays whole. Rows that repeat a doc_id count as one
+    document: a start that goes in one of them goes in all. A row whose doc_id is null comes before or after no other and
+    stays whole. An empty table gives an empty one.
     """
     length, spark = first_length, docs.sparkSession
     while length < min_words:
         length *= 2
-    if length != min_words or first_length < 1:
-        raise ValueError("min_words must be first_length, doubled some times")
+    if length != min_words or not 1 <= first_length < min_words:
+        raise ValueError("min_words must be first_length, doubled at least once")
     small_batches(spark)
-    every = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    every = docs.select("doc_id", "text")
     own = every.where("doc_id is not null")
-    rows = "h long, doc_id long, text_hash long"
     length, before, source = first_length, None, own
     while length < min_words:
-        found = source.mapInArrow(_candidates(min_words, before, length), rows)
-        often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-        repeated = checkpoint(found.join(often, "h").groupBy(*KEY).agg(F.collect_set("h").alias("repeated")))
-        source = own.join(repeated, KEY).select(*KEY, "text", "repeated")
+        found = source.mapInArrow(_candidates(min_words, before, length), "h long, doc_id long")
+        often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+        repeated = found.join(often, "h").groupBy("doc_id").agg(F.collect_set("h").alias("repeated"), F.collect_set(F.when(F.col("n") > OFTEN, F.col("h"))).alias("frequent"))
+        source = own.join(checkpoint(repeated), "doc_id").select("doc_id", "text", "repeated", "frequent")
         length, before = length * 2, length
-    # One exchange of the texts serves both sides of this join and the cut.
-    found = source.mapInArrow(_candidates(min_words, before, min_words), f"{rows}, start int, again boolean")
-    first = found.groupBy("h").agg(F.min("doc_id").alias("first"))
-    later = found.join(first, "h").where("again or doc_id > first").groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
-    cut = own.join(later, KEY, "left").select("doc_id", "text", "starts")
-    whole = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
-    return cut.unionByName(whole).mapInArrow(_cut(min_words), "doc_id long, n_words long, n_removed long, kept_text string")
+    # A group has about OFTEN rows at most, or a part's; of a frequent window the first of each part meet once more. One
+    # exchange of the texts serves this and the cut.
+    found = source.mapInArrow(_candidates(min_words, before, min_words), "h long, doc_id long, start int, again boolean, often boolean")
+    found = found.withColumn("part", F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).otherwise(F.lit(-1)))
+    found = found.withColumn("first", F.min("doc_id").over(Window.partitionBy("h", "part")))
+    heads = found.where("part >= 0 and not again and doc_id = first").withColumn("first", F.min("doc_id").over(Window.partitionBy("h")))
+    later = found.where("again or doc_id > first").unionByName(heads.where("doc_id > first"))
+    later = later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    cut = own.join(later, "doc_id", "left").select("doc_id", "text", "starts")
+    alone = every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    return cut.unionByName(alone).mapInArrow(_cut(min_words), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=20, first_length=5)
+    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=20, first_length=10)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
