@@ -36,11 +36,11 @@ def positive_int(v: Column, default: int) -> Column:
 def norm_number(v: Column) -> Column:
     """Canonical decimal text, null if v is no finite number. Plain numerals keep all digits; exponent forms have 18 decimals."""
     t = F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "")
-    text = F.when(t.rlike(PLAIN), t).when(t.rlike(EXPONENT), t.try_cast("decimal(38,18)").cast("string"))
-    whole = F.regexp_replace(F.regexp_extract(text, r"^[+-]?(\d*)", 1), r"^0+", "")
-    part = F.regexp_replace(F.regexp_extract(text, r"\.(\d*)$", 1), r"0+$", "")
-    digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
-    return F.when(text.isNotNull(), F.when(text.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits))
+    out = F.when(t.rlike(PLAIN), t).when(t.rlike(EXPONENT), t.try_cast("decimal(38,18)").cast("string"))
+    # sign +, leading zeros, a bare point in front, trailing zeros, a bare point at the end, minus zero
+    for pattern, to in ((r"^\+", ""), (r"^(-?)0+(?=\d)", "$1"), (r"^(-?)\.", "$10."), (r"(\.\d*?)0+$", "$1"), (r"\.$", ""), (r"^-0$", "0")):
+        out = F.regexp_replace(out, pattern, to)
+    return out
 
 
 def number_of(v: Column, dtype: str) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +10,6 @@ from ..functions.scalars import norm_diff
 CHANGES = "array<struct<field: string, old: string, new: string>>"
 
 
-def any_changed(new: dict[str, Column], old: dict[str, Column], kinds: dict[str, str] | None = None) -> Column:
-    kinds = kinds or {}
-    return reduce(lambda a, b: a | b, [~norm_diff(new[f], kinds.get(f, "string")).eqNullSafe(norm_diff(old[f], kinds.get(f, "string"))) for f in new], F.lit(False))
-
-
 def field_changes(new: dict[str, Column], old: dict[str, Column], kinds: dict[str, str] | None = None, exclude: tuple[str, ...] = (), rename: dict[str, str] | None = None) -> Column:
     """[(field, old, new)] of the fields of new that differ from old in normal form; values as text, names as rename has them."""
     kinds, rename = kinds or {}, rename or {}
@@ -24,6 +17,4 @@ def field_changes(new: dict[str, Column], old: dict[str, Column], kinds: dict[st
     if not fields:
         return F.array().cast(CHANGES)
     each = [F.struct(F.lit(rename.get(f, f)).alias("field"), old[f].cast("string").alias("old"), new[f].cast("string").alias("new"), (~norm_diff(new[f], kinds.get(f, "string")).eqNullSafe(norm_diff(old[f], kinds.get(f, "string")))).alias("changed")) for f in fields]
-    found = F.transform(F.filter(F.array(*each), lambda c: c["changed"]), lambda c: F.struct(c["field"], c["old"], c["new"])).cast(CHANGES)
-    # The array is only built for rows that differ at all.
-    return F.when(any_changed({f: new[f] for f in fields}, old, kinds), found).otherwise(F.array().cast(CHANGES))
+    return F.transform(F.filter(F.array(*each), lambda c: c["changed"]), lambda c: F.struct(c["field"], c["old"], c["new"])).cast(CHANGES)
