@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches
+from .common import FOLD, SPACED, slices, small_batches, word_hashes, word_spans
 
 #: What a cut costs, in tokens of padding.
 AT_SENTENCE, INSIDE_SENTENCE = 6, 48
@@ -27,8 +27,8 @@ A_SEQUENCE = 16
 INSIDE_EVERY = 128
 #: Tokens that are packed together; bounds a task's memory.
 STRETCH = 1 << 20
-#: Distinct words of which a worker keeps the tokens.
-KNOWN_WORDS = 200_000
+#: Distinct units after which a worker keeps only those met again.
+KNOWN_WORDS = 250_000
 
 
 def best_cuts(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
@@ -37,8 +37,12 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
     Neighbouring cuts are at most size apart. cost is that of cutting there; padding is size less the tokens between two
     cuts, or nothing where these are a power of two. Of equal costs the latest predecessor wins.
     """
-    place = {int(x): k for k, x in enumerate(at)}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
+    exact: dict[int, list[int]] = {}  # for each cut the earlier ones at a distance that needs no padding
+    for power in (1 << k for k in range(size.bit_length())):
+        place = np.minimum(np.searchsorted(at, at - power), len(at) - 1)
+        there = np.flatnonzero(at[place] == at - power)
+        for k, i in zip(there.tolist(), place[there].tolist()):
+            exact.setdefault(k, []).append(i)
     best, back, queue = [0], [0], deque([(0, 0)])
     offsets, costs = at.tolist(), cost.tolist()
     for k in range(1, len(offsets)):
@@ -47,9 +51,8 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
             queue.popleft()
         value, j = queue[0]
         least = value + size - t
-        for p in powers:
-            i = place.get(t - p)
-            if i is not None and i < k and best[i] <= least:
+        for i in exact.get(k, ()):
+            if best[i] <= least:
                 least, j = best[i], i
         best.append(least + costs[k] + A_SEQUENCE)
         back.append(j)
@@ -65,30 +68,93 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
 
 
 class Encoder:
-    """Token ids of texts, by words between white space; words' ids are kept, as no token crosses white space."""
+    """Token ids of texts, found for each distinct unit once.
+
+    A unit is what white space leaves, cut further where letters meet ASCII digits or signs, if it has no apostrophe and
+    nothing beyond ASCII but the letters of Latin-1: the tokenizer's own pattern never crosses these places. Units are
+    cut and hashed for a whole slice at once; new runs of letters go to the tokenizer as one text, whose ids
+    fall apart at the tokens that end a word.
+    """
 
     def __init__(self, spec: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.known: dict[int, bytes] = {}
+        self.before: dict[int, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, np.ndarray]]:
+    def _learn(self, names: list[int], units: list[bytes], letters: list[bool]) -> None:
+        runs = [(n, u) for n, u, a in zip(names, units, letters) if a]
+        for lo in range(0, len(runs), 4096):
+            part = runs[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode(b" ".join(u for _, u in part).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1)
+            if len(cuts) != len(part) + 1:
+                raise ValueError("the tokenizer does not end each word with a token of its own")
+            raw = ids.tobytes()
+            self.known.update((n, raw[4 * i : 4 * j]) for (n, _), i, j in zip(part, cuts.tolist(), cuts[1:].tolist()))
+        rest = [(n, u) for n, u, a in zip(names, units, letters) if not a]
+        for (n, _), e in zip(rest, self.tokenizer.encode_batch([u.decode() for _, u in rest], add_special_tokens=False)):
+            self.known[n] = np.array(e.ids, "<u4").tobytes()
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Folded bytes; begin, end and row of each unit; whether it is a run of letters, and whether a sentence ends with it."""
+        low, lead = FOLD[data], data == 0xC3
+        second = np.append(False, lead[:-1]) if len(data) else lead
+        low[second & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 0x20
+        letter = ((low >= 0x61) & (low <= 0x7A)) | (data >= 0x80)
+        odd = (data == 0x27) | ((data >= 0x80) & ~lead & ~(second & (data != 0x97) & (data != 0xB7)))
+        starts, ends, row = word_spans(data, offsets, SPACED)
+        odds = np.append(0, np.cumsum(odd))
+        whole = odds[ends] > odds[starts]
+        change = np.zeros(len(data) + 1, np.int8)
+        change[starts[whole]] += 1
+        change[ends[whole]] -= 1
+        within = np.cumsum(change[:-1], dtype=np.int8) > 0
+        cut = np.append(False, (letter[1:] != letter[:-1]) & SPACED[data[1:]] & SPACED[data[:-1]] & ~within[1:]) if len(data) else odd
+        cut[starts] = True
+        begin = np.flatnonzero(cut)
+        word = np.searchsorted(starts, begin, "right") - 1
+        last = np.append(word[1:] != word[:-1], True) if len(word) else np.zeros(0, bool)
+        end = np.where(last, ends[word], np.append(begin[1:], 0)) if len(word) else begin
+        after = data[np.minimum(ends, len(data) - 1)] if len(data) else data
+        final = data[ends - 1] if len(ends) else data
+        sentence = (final == 0x2E) | (final == 0x21) | (final == 0x3F) | (after == 0x0A)
+        return low, begin, end, row[word], letter[begin] & ~whole[word], last & sentence[word]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
         """Each text's ids (little-endian 32-bit) with the end mark, and the numbers of ids up to which sentences reach."""
-        parts = [(t or "").replace("\t", " ").replace("\n", " \n ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = list({w for p in parts for w in p}.difference(self.known))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for words in parts:
-            ids = [self.known[w] for w in words]
-            upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-            ends = np.fromiter((w[-1:] in ".!?\n" and w != "" for w in words), bool, len(words))
-            ids.append(self.end)
-            yield b"".join(ids), upto[ends]
+        for _, data, offsets in slices(texts):
+            low, begin, end, row, letters, sentence = self._units(data, offsets)
+            names, first, which = np.unique(word_hashes(low, begin, end), return_index=True, return_inverse=True)
+            if len(self.known) > KNOWN_WORDS:
+                self.known, self.before = {}, self.known
+            listed = names.tolist()
+            new = []
+            for k, n in enumerate(listed):
+                if n not in self.known:
+                    if (ids := self.before.get(n)) is None:
+                        new.append(k)
+                    else:
+                        self.known[n] = ids
+            if new:
+                at = first[new]
+                raw = low.tobytes()
+                self._learn([listed[k] for k in new], [raw[i:j] for i, j in zip(begin[at].tolist(), end[at].tolist())], letters[at].tolist())
+            parts = [self.known[n] for n in listed]
+            size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            flat, at = np.frombuffer(b"".join(parts), "<u4"), np.append(0, np.cumsum(size))
+            length = size[which]
+            upto = np.append(0, np.cumsum(length))
+            ids = flat[np.repeat(at[which] - upto[:-1], length) + np.arange(upto[-1])]
+            edge = np.searchsorted(row, np.arange(len(offsets)))
+            for lo, hi in zip(edge, edge[1:]):
+                yield ids[upto[lo] : upto[hi]].tobytes() + self.end, upto[lo + 1 : hi + 1][sentence[lo:hi]] - upto[lo]
 
 
 def _packed(shared, end_id: int, size: int):
@@ -106,8 +172,9 @@ def _packed(shared, end_id: int, size: int):
             rank = np.zeros(len(at), np.int64)
             rank[len(starts) :] = AT_SENTENCE
             gap_from = np.unique(at)
-            wide = np.flatnonzero(np.diff(gap_from) > INSIDE_EVERY)
-            inside = [np.arange(gap_from[k] + INSIDE_EVERY, gap_from[k + 1], INSIDE_EVERY) for k in wide]
+            every = min(INSIDE_EVERY, size)
+            wide = np.flatnonzero(np.diff(gap_from) > every)
+            inside = [np.arange(gap_from[k] + every, gap_from[k + 1], every) for k in wide]
             tail = [starts[-1] - np.cumsum([1 << k for k in range(size.bit_length() - 1)])] if starts[-1] >= size else []
             at = np.concatenate([at, *inside, *tail])
             rank = np.append(rank, np.full(len(at) - len(rank), INSIDE_SENTENCE))
@@ -131,7 +198,7 @@ def _packed(shared, end_id: int, size: int):
             return batch
 
         for batch in batches:
-            for doc_id, (ids, ends) in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+            for doc_id, (ids, ends) in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 docs.append((doc_id, ids, ends))
                 held += len(ids) // 4
                 if held >= STRETCH:
