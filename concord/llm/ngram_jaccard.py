@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import FOLD, FOLDED, U64, checkpoint, connected_components, group_starts, in_blocks, local_components, slices, small_batches, whole_groups, window_hashes, word_hashes, word_spans
 
 BAND = 5  # values (bytes) of a band
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20  # of one of the two chunks of a block
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18  # of one of the two chunks of a block
 
 
 def bands_for(threshold: float, miss: float) -> int:
@@ -136,7 +136,7 @@ def _pairs(group: np.ndarray, chunk: np.ndarray, within: np.ndarray) -> Iterator
             meet = alive[within[alive] | (chunk[alive] != chunk[alive + lag])]
             held.append((meet, meet + lag))
             n += len(meet)
-        if n > 200_000 or not len(alive):
+        if n > 50_000 or not len(alive):
             if n:
                 yield tuple(np.concatenate(x) for x in zip(*held))
             held, n = [], 0
@@ -187,9 +187,9 @@ def shared_counts(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     order = order[count[column[order]] > 1]
     column = np.unique(column[order], return_inverse=True)[1]
     total = np.zeros((len(grams), len(grams)), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        part = slice(*np.searchsorted(column, [lo, lo + 4096]))
-        has = np.zeros((len(grams), 4096), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        part = slice(*np.searchsorted(column, [lo, lo + 1024]))
+        has = np.zeros((len(grams), 1024), np.float32)
         has[owner[order[part]], column[part] - lo] = 1
         total += has @ has.T
     return total[left, right].astype(np.int64)
