@@ -1,13 +1,16 @@
 """License scans by a trained paragraph classifier.
 
 A sparse logistic regression over word n-grams (Spark's own, with an L1 penalty) is trained on paragraphs made from notices
-of each family and on ordinary paragraphs. Only n-grams with a weight matter afterwards, so a paragraph is scored by
-joining those that it holds to the weights; one without any is unknown. A prediction must exceed a probability that
+of each family and on ordinary paragraphs. Only n-grams with a weight matter afterwards; those that a paragraph holds are
+summed within its row. A prediction must exceed a probability that
 is calibrated on held-out paragraphs of no licence, and the family's notices must confirm it by shared n-grams.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,36 +35,37 @@ NOTICES = {
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "proprietary": ["Copyright. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited; proprietary and confidential."],
+    "proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited; proprietary and confidential."],
 }
 #: Sentences that share words with notices and license nothing.
 NEAR_MISSES = ["He lost his driving license in version 2 of the story.", "The general public was released under the bridge.", "Permission was not granted to work on this file.", "The mit students licensed the software to a library.", "All rights of way are reserved for free and open source foundation work.", "This work is a copy of an international software conference program."]
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value found once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def grams_of(words: Column) -> Column:
     """Distinct word 1-, 2- and 3-grams."""
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(words, F.when(F.size(words) >= 2, at(2)).otherwise(none), F.when(F.size(words) >= 3, at(3)).otherwise(none)))
 
+    def of(own: Column) -> Column:
+        at = lambda n: F.transform(F.sequence(F.lit(1), F.size(own) - (n - 1)), lambda i: F.array_join(F.slice(own, i, n), " "))
+        return F.array_distinct(F.concat(own, F.when(F.size(own) >= 2, at(2)).otherwise(none), F.when(F.size(own) >= 3, at(3)).otherwise(none)))
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, paragraph): the non-blank lines of each text, start in code points."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    begins = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.try_element_at(acc, F.lit(-1)) + F.length(x) + 1)))
-    rows = docs.select("doc_id", F.explode(F.arrays_zip(F.slice(begins, 1, F.size(lines)).alias("start"), lines.alias("paragraph"))).alias("p"))
-    return rows.select("doc_id", "p.start", "p.paragraph").where(F.col("paragraph").rlike(r"\S"))
+    return let(words, of)
 
 
 class Model:
-    """Weights (gram, family, weight), intercepts, the least probability, and notices as n-grams; all of bounded size."""
+    """For each weighted gram its weights by family, intercepts likewise, and the least probability; all of bounded size."""
 
-    def __init__(self, weights: DataFrame, vocabulary: list[str], intercepts: dict[str, float], least: float):
-        self.weights, self.vocabulary, self.intercepts, self.least = weights, vocabulary, intercepts, least
+    def __init__(self, families: list[str], weights: dict[str, list[float]], intercepts: list[float], least: float):
+        self.families, self.weights, self.intercepts, self.least = families, weights, intercepts, least
 
 
 def _training(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -72,10 +76,9 @@ def _training(spark: SparkSession, docs: DataFrame) -> DataFrame:
     order = F.xxhash64(F.col("doc_id").cast("string"), "text")
     some = docs.where(F.pmod(order, F.lit(1 << 20)) < share * (1 << 20)).where(~F.lower("text").rlike(r"licen[sc]|copyright|permission|redistribut|creative commons|\bcc by"))
     plain = some.select(F.substring("text", 1, 200).alias("text"), order.alias("h")).where(F.col("text").rlike(r"\p{L}")).distinct().orderBy("h", "text").limit(SAMPLE_PARAGRAPHS)
-    plain = spark.createDataFrame([(r.text, k) for k, r in enumerate(plain.collect())], "text string, k int")
-    made = spark.createDataFrame(notices, "notice string, family string")
-    mixed = made.crossJoin(F.broadcast(plain.where("k < 40"))).select(F.concat_ws(" ", F.when(F.col("k") % 4 == 1, F.substring("text", 1, 40)), "notice", F.when(F.col("k") % 4 == 2, F.substring("text", 1, 40))).alias("text"), "family", F.lit(False).alias("held"))
-    return mixed.unionByName(plain.select("text", F.lit(UNKNOWN).alias("family"), (F.col("k") % 4 == 3).alias("held")))
+    plain = [r.text for r in plain.collect()]
+    mixed = [(" ".join([*[p[:40]] * (k % 4 == 1), t, *[p[:40]] * (k % 4 == 2)]), f, False) for t, f in notices for k, p in enumerate(plain[:40])]
+    return spark.createDataFrame(mixed + [(p, UNKNOWN, k % 4 == 3) for k, p in enumerate(plain)], "text string, family string, held boolean")
 
 
 def train(docs: DataFrame) -> Model:
@@ -83,18 +86,64 @@ def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     families = [*NOTICES, UNKNOWN]
     rows = _training(spark, docs.select("doc_id", "text").dropna()).withColumn("grams", grams_of(words_of(F.col("text"))))
-    rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1).select("grams", "label", "held").coalesce(4).cache()
+    rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1).select("grams", "label", "held").coalesce(1).cache()  # bounded, and each iteration is a job
     counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=3.0, binary=True).fit(rows.where("not held"))
-    fitted = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=1.0, maxIter=40).fit(counter.transform(rows.where("not held")))
+    fitted = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=1.0, maxIter=40, tol=1e-4).fit(counter.transform(rows.where("not held")))
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     held = fitted.transform(counter.transform(rows.where("held")))
     from pyspark.ml.functions import vector_to_array
 
     sure = held.select(F.array_max(F.slice(vector_to_array("probability"), 1, len(NOTICES))).alias("p")).agg(F.percentile("p", F.lit(1 - FALSE_RATE))).first()[0]
     rows.unpersist()
-    own = [(counter.vocabulary[j], families[i], float(matrix[i, j])) for i, j in zip(*matrix.nonzero())]
-    weights = spark.createDataFrame(own or [("", UNKNOWN, 0.0)], "gram string, family string, weight double")
-    return Model(weights, sorted({g for g, _, _ in own}), dict(zip(families, map(float, bias))), max(0.5, sure or 0.0))
+    weights = {counter.vocabulary[j]: matrix[:, j].tolist() for j in matrix.any(0).nonzero()[0]}
+    return Model(families, weights, bias.tolist(), max(0.5, sure or 0.0))
+
+
+def _constant(value, kind: str) -> Column:
+    """A constant of many parts as one literal; Spark reads it once, when it plans."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _judged(paragraph: Column, model: Model) -> Column:
+    """struct<family, probability, overlap> of a paragraph, null where it is unknown or not confirmed."""
+    template = {f: [grams_of_text(t) for t in ts] for f, ts in NOTICES.items()}
+    known = sorted({*model.weights, *(g for ts in template.values() for t in ts for g in t)})
+    notices = _constant(template, "map<string, array<array<string>>>")
+    weights = _constant(model.weights, "map<string, array<double>>")
+
+    def scored(held: Column) -> Column:
+        none = _constant([0.0] * len(model.families), "array<double>")
+        add = lambda acc, g: F.zip_with(acc, F.coalesce(F.try_element_at(weights, g), none), lambda a, b: a + b)
+        return let(F.aggregate(held, _constant(model.intercepts, "array<double>"), add), lambda z: predicted(held, z))
+
+    def predicted(held: Column, z: Column) -> Column:
+        most = F.array_max(z)
+        family = F.element_at(_constant(model.families, "array<string>"), F.array_position(z, most).cast("int"))
+        p = 1 / F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
+        overlap = F.array_max(F.transform(F.try_element_at(notices, family), lambda t: F.size(F.array_intersect(held, t)) / F.size(t)))
+        sure = (family != UNKNOWN) & (p >= model.least)
+        return F.when(sure & (overlap >= CONFIRMED), F.struct(family.alias("family"), p.alias("probability"), overlap.alias("overlap")))
+
+    return let(F.array_intersect(grams_of(words_of(paragraph)), _constant(known, "array<string>")), lambda held: F.when(F.size(held) > 0, scored(held)))
+
+
+def grams_of_text(text: str) -> list[str]:
+    """What grams_of finds in a notice (ASCII)."""
+    words = re.findall("[a-z0-9]+", text.lower())
+    return list(dict.fromkeys(" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)))
+
+
+def needed_words() -> list[str]:
+    """Words, long ones first, of which a text must hold one: without those of a notice it holds too few of its n-grams to be confirmed."""
+    out = set()
+    for t in (t for ts in NOTICES.values() for t in ts):
+        grams, own = grams_of_text(t), set()
+        for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+            own.add(w)
+            if sum(own.isdisjoint(g.split()) for g in grams) < CONFIRMED * len(grams):
+                break
+        out |= own
+    return sorted(out)
 
 
 def license_scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -105,25 +154,18 @@ def license_scan(docs: DataFrame, model: Model) -> DataFrame:
     CONFIRMED. Null, empty and blank texts have none; texts are scanned whole; repeated rows give their findings
     each; a null doc_id stays null. Other columns are ignored. An empty table gives an empty one.
 
-    A paragraph that holds none of the weighted words has the intercepts' prediction, unknown, and is not scored.
+    All of it happens within a row, with no shuffle. Texts and lines without the words that any confirmed notice has are
+    not scored, as no prediction could stand there; this loses nothing.
     """
-    families = list(model.intercepts)
-    words = sorted({w for g in model.vocabulary for w in g.split(" ")})
-    literal = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    para = paragraphs(docs).withColumn("words", words_of(F.col("paragraph"))).where(F.arrays_overlap("words", literal(words)))
-    para = para.withColumn("grams", grams_of(F.col("words"))).where(F.arrays_overlap("grams", literal(model.vocabulary)))
-    own = para.groupBy("paragraph").agg(F.first("grams").alias("grams"))
-    hits = own.select("paragraph", F.explode("grams").alias("gram")).join(F.broadcast(model.weights), "gram")
-    sums = hits.groupBy("paragraph").agg(*[F.coalesce(F.sum(F.when(F.col("family") == f, F.col("weight"))), F.lit(0.0)).alias(f"w{k}") for k, f in enumerate(families)])
-    z = [F.exp(F.least(F.lit(300.0), F.col(f"w{k}") + F.lit(model.intercepts[f]))) for k, f in enumerate(families)]
-    total = sum(z[1:], z[0])
-    best = F.array_max(F.array(*[F.struct((x / total).alias("p"), F.lit(-k).alias("rank"), F.lit(f).alias("family")) for k, (f, x) in enumerate(zip(families, z))]))
-    judged = sums.select("paragraph", best.alias("b")).select("paragraph", F.col("b.family").alias("family"), F.col("b.p").alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.least))
-    notice = F.create_map(*[x for f, ts in NOTICES.items() for x in (F.lit(f), F.array(*[grams_of(words_of(F.lit(t))) for t in ts]))])
-    grams = grams_of(words_of(F.col("paragraph")))
-    overlap = F.array_max(F.transform(F.try_element_at(notice, F.col("family")), lambda t: F.size(F.array_intersect(grams, t)) / F.size(t)))
-    judged = judged.withColumn("overlap", overlap).where(F.col("overlap") >= CONFIRMED)
-    return para.select("doc_id", "start", "paragraph").join(judged, "paragraph").select("doc_id", "start", (F.col("start") + F.length("paragraph")).alias("end"), "family", "probability", "overlap")
+    may_hold = "|".join(needed_words())
+    begin = lambda lines, i: F.when(i > 0, F.length(F.array_join(F.slice(lines, 1, i), "\n")) + 1).otherwise(0)
+
+    def found(lines: Column) -> Column:
+        judged = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n"), F.when(F.lower(x).rlike(may_hold), _judged(x, model)).alias("j"))), lambda p: p["j"].isNotNull())
+        return F.transform(judged, lambda p: F.struct(begin(lines, p["i"]).alias("start"), p["n"].alias("n"), p["j"].alias("j")))
+
+    rows = docs.where(F.lower("text").rlike(may_hold)).select("doc_id", F.explode(let(F.split("text", "\n", -1), found)).alias("p"))
+    return rows.select("doc_id", "p.start", (F.col("p.start") + F.col("p.n")).alias("end"), "p.j.family", "p.j.probability", "p.j.overlap")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
