@@ -15,6 +15,9 @@ UNKNOWN = "und"
 #: bounded by these and by MAX_LANGUAGES.
 DICTIONARY_BYTES, PIECE_BYTES, MAX_LANGUAGES = 1 << 16, 1 << 11, 256
 LEVEL = 5
+#: Folded bytes that are compressed at a time, each time from the dictionary alone: what a dictionary saves is bounded, so
+#: that over one long run its share, and with it the score, would fall with the text's length.
+CHUNK_BYTES = 1 << 14
 #: A prediction is rejected if the runner-up's size is larger by a smaller share than this.
 MARGIN = 0.005
 
@@ -66,7 +69,7 @@ def predicted(text: Column, dictionaries: dict[str, bytes]) -> Column:
             if not made or not t or not any(map(str.isalpha, t)):
                 return UNKNOWN, 0.0
             data = folded(t)
-            sizes = [len(c.compress(data)) for _, c in made]
+            sizes = [sum(len(c.compress(data[i : i + CHUNK_BYTES])) for i in range(0, len(data), CHUNK_BYTES)) for _, c in made]
             least = min(sizes)
             at = sizes.index(least)
             next_ = min(sizes[:at] + sizes[at + 1 :], default=2 * least)
@@ -83,7 +86,7 @@ def language_id(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
 
     docs has text; no other column bears on the prediction. lang_pred is `und`, rejected, where the text is null or
     empty or has no letter, or nothing was learned. Otherwise it is the best language even if rejected, which is where
-    score is below margin. Texts are compressed whole. With one language all are of it, with score 0.5.
+    score is below margin. Texts are compressed whole, in chunks whose sizes are added up. With one language all are of it, with score 0.5.
     """
     small_batches(docs.sparkSession)
     out = docs.drop("lang_pred", "score", "rejected").withColumn("_p", predicted(F.col("text"), dictionaries))

@@ -45,6 +45,18 @@ def test_language(spark):
     assert language_id.language_id(docs.limit(3), {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_long_texts(spark):
+    words = {"aa": ["ka", "ko", "kinu", "kala", "mu", "shi"], "bb": ["tre", "stro", "bran", "drom", "vlek", "grun"]}
+    r = random.Random(3)
+    make = lambda k, n: " ".join("".join(r.choice(words[k]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    known = language_id.learn(spark.createDataFrame([(i, make("ab"[i % 2] * 2, 60), "ab"[i % 2] * 2) for i in range(300)], DOCS))
+    both = spark.createDataFrame([(i, make(k, n), k) for i, (k, n) in enumerate((k, n) for k in words for n in (300, 5_000, 400_000))], DOCS)
+    got = {x.doc_id: x for x in language_id.language_id(both, known).withColumn("n", F.length("text")).collect()}
+    assert all(x.lang_pred == x.lang and not x.rejected for x in got.values()) and min(got[2].n, got[5].n) > 2_500_000
+    # the score is as good for a long text as for one of a few chunks
+    assert all(got[i + 2].score > 0.8 * got[i + 1].score for i in (0, 3))
+
+
 def base_spans(text):
     key = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
     out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(key, text) if len(m[1]) >= 8]
