@@ -1,5 +1,7 @@
 """License scans by a trained paragraph classifier.
 
+Paragraphs are runs of lines between blank ones. A notice is looked for in windows of a paragraph's consecutive lines, so that
+it is found however it is wrapped and whatever prose surrounds it.
 A sparse logistic regression over word n-grams (Spark's own, with an L1 penalty) is trained on paragraphs made from notices
 of each family and on ordinary paragraphs. Only n-grams with a weight matter afterwards; those that a paragraph holds are
 summed within its row. A prediction must exceed a probability that
@@ -23,15 +25,21 @@ SAMPLE_PARAGRAPHS = 2000
 VOCABULARY = 20_000
 #: Share of a notice's n-grams that a paragraph must hold, and the share of held-out ordinary paragraphs that may pass the probability.
 CONFIRMED, FALSE_RATE = 0.6, 0.001
+#: Words by white space in a piece of a line at most, and words that a window holds at most between its first and its last piece
+#: (more than the longest notice has).
+PIECE_WORDS, REACH = 30, 60
 
 #: Notices of each family, in the wording that their stewards recommend.
 NOTICES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
-    "bsd": ["Distributed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+            "This file is distributed under the terms of the GNU General Public License, version 2 or any later version."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "This library is licensed under the GNU Lesser General Public License, version 2.1."],
+    "bsd": ["Distributed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+            "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -147,24 +155,50 @@ def needed_words() -> list[str]:
 
 
 def license_scan(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, start, end, family, probability, overlap): the paragraphs of docs (doc_id, text) that hold a licence notice.
+    """(doc_id, start, end, family, probability, overlap): where docs (doc_id, text) hold a licence notice.
 
-    Paragraphs are lines; start and end are code points. family has the largest probability of all families, no less than
-    the model's, and overlap is the largest share of one of its notices' n-grams that the paragraph holds, at least
+    Lines without a letter or digit part paragraphs. Looked at are all windows of consecutive lines of a paragraph with at
+    most REACH words between the first and the last line; of a long line each PIECE_WORDS words are a line here. Of windows that
+    share a line the one of largest overlap is reported, then the shortest, then the first. start and end are
+    code points, without white space at the end. family has the largest probability of all families, no less than
+    the model's, and overlap is the largest share of one of its notices' n-grams that the window holds, at least
     CONFIRMED. Null, empty and blank texts have none; texts are scanned whole; repeated rows give their findings
     each; a null doc_id stays null. Other columns are ignored. An empty table gives an empty one.
 
-    All of it happens within a row, with no shuffle. Texts and lines without the words that any confirmed notice has are
-    not scored, as no prediction could stand there; this loses nothing.
+    All of it happens within a row, with no shuffle. Texts and windows without the words that any confirmed notice has are
+    not scored, as no prediction could stand there, nor are windows that begin or end with a line that has no notice's
+    word, as a shorter one holds as much; this loses nothing.
     """
     may_hold = "|".join(needed_words())
-    begin = lambda lines, i: F.when(i > 0, F.length(F.array_join(F.slice(lines, 1, i), "\n")) + 1).otherwise(0)
+    vocabulary = _constant(sorted({w for ts in NOTICES.values() for t in ts for g in grams_of_text(t) for w in g.split()}), "array<string>")
+    pieces = F.filter(F.regexp_extract_all("text", F.lit(r"[^\S\n]*+(?:\S++[^\S\n]*+){0,%d}+\n?+" % PIECE_WORDS), F.lit(0)), lambda x: x != "")
+    sized = lambda x: let(words_of(x), lambda w: F.struct(F.size(w).alias("words"), F.arrays_overlap(w, vocabulary).alias("edge"), F.lower(x).rlike(may_hold).alias("may")))
+    none = F.array().cast("array<int>")
+
+    def ends(about: Column, i: Column) -> Column:
+        """How many lines the windows have that begin with line i."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("inside"), F.lit(False).alias("may"), F.lit(True).alias("on"), none.alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            on, may, n = acc["on"] & (x["words"] > 0) & (acc["inside"] < REACH), acc["may"] | x["may"], acc["n"] + 1
+            return F.struct(n.alias("n"), (acc["inside"] + F.when(acc["n"] > 0, x["words"]).otherwise(0)).alias("inside"), may.alias("may"), on.alias("on"), F.when(on & may & x["edge"], F.array_append(acc["out"], n)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(F.slice(about, i + 1, REACH + 2), start, add, lambda acc: acc["out"])
+
+    def windows(lines: Column, about: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(about, i)["edge"] & F.exists(F.slice(about, i + 1, REACH + 2), lambda x: x["may"]))
+        each = F.flatten(F.transform(starts, lambda i: F.transform(ends(about, i), lambda n: F.struct(i.alias("i"), n.alias("n")))))
+        judged = F.transform(each, lambda w: F.struct(w["i"].alias("i"), w["n"].alias("n"), _judged(F.array_join(F.slice(lines, w["i"] + 1, w["n"]), ""), model).alias("j")))
+        best = F.array_sort(F.transform(F.filter(judged, lambda w: w["j"].isNotNull()), lambda w: F.struct((-w["j"]["overlap"]).alias("o"), w["n"].alias("n"), w["i"].alias("i"), w["j"].alias("j"))))
+        apart = lambda kept, w: ~F.exists(kept, lambda k: (k["i"] < w["i"] + w["n"]) & (w["i"] < k["i"] + k["n"]))
+        return let(best, lambda best: F.aggregate(best, F.filter(best, lambda w: F.lit(False)), lambda kept, w: F.when(apart(kept, w), F.array_append(kept, w)).otherwise(kept)))
 
     def found(lines: Column) -> Column:
-        judged = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n"), F.when(F.lower(x).rlike(may_hold), _judged(x, model)).alias("j"))), lambda p: p["j"].isNotNull())
-        return F.transform(judged, lambda p: F.struct(begin(lines, p["i"]).alias("start"), p["n"].alias("n"), p["j"].alias("j")))
+        kept = let(F.transform(lines, sized), lambda about: windows(lines, about))
+        part = lambda lo, n: F.array_join(F.slice(lines, lo, n), "")
+        return F.transform(kept, lambda w: F.struct(F.when(w["i"] > 0, F.length(part(F.lit(1), w["i"]))).otherwise(0).alias("start"), F.length(F.regexp_replace(part(w["i"] + 1, w["n"]), r"\s+\z", "")).alias("n"), w["j"].alias("j")))
 
-    rows = docs.where(F.lower("text").rlike(may_hold)).select("doc_id", F.explode(let(F.split("text", "\n", -1), found)).alias("p"))
+    rows = docs.where(F.lower("text").rlike(may_hold)).select("doc_id", F.explode(let(pieces, found)).alias("p"))
     return rows.select("doc_id", "p.start", (F.col("p.start") + F.col("p.n")).alias("end"), "p.j.family", "p.j.probability", "p.j.overlap")
 
 

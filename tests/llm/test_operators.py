@@ -95,6 +95,27 @@ def test_licenses(spark):
     assert rows[0][1][where.start : where.end] == "Released under the MIT License."
 
 
+def test_wrapped_licenses(spark):
+    headers = {
+        "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights"],
+        "bsd": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"],
+        "gpl": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or"],
+        "apache-2.0": ['You may use this file only under the Apache License, Version 2.0 (the', '"License"); you may not use this file except in compliance with the License.'],  # reworded
+    }
+    kinds, prose = [*headers], texts(40, 4, 10, 20)
+    by = lambda i, mark: "\n".join(mark + x for x in headers[kinds[i % 4]])
+    # alone after a blank line, as a comment, right within prose, and in the middle of one long line
+    make = [lambda i, p: f"{p}\n\n{by(i, '')}\n\n{p}", lambda i, p: f"/*\n * {p}\n *\n{by(i, ' * ')}\n */\n{p}", lambda i, p: f"{p}\n{by(i, '')}\n{p}", lambda i, p: f"{p * 8} {by(i, '').replace(chr(10), ' ')} {p * 8}"]
+    docs = spark.createDataFrame([(i, make[i // 4 % 4](i, p), "en") for i, p in enumerate(prose)], DOCS)
+    apart = spark.createDataFrame([(100 + i, by(i, "").replace("\n", "\n\n"), "en") for i in (1, 2)], DOCS)  # blank lines part a notice
+    model = license_scan.train(spark.createDataFrame([(i, p, "en") for i, p in enumerate(prose)], DOCS))
+    got = license_scan.license_scan(docs.unionByName(apart), model).collect()
+    assert sorted((x.doc_id, x.family) for x in got) == [(i, kinds[i % 4]) for i in range(40)]
+    text = {x.doc_id: x.text for x in docs.collect()}
+    assert all(text[i][x.start : x.end] in by(i, m) for x in got for i, m in [(x.doc_id, " * " if x.doc_id // 4 % 4 == 1 else "")] if i // 4 % 4 < 3)
+    assert all(x.end - x.start < 600 and text[x.doc_id].find(headers[kinds[x.doc_id % 4]][1][:12]) in range(x.start, x.end) for x in got)
+
+
 def brute_links(rows, n=5, ratio=0.8):
     sets = {}
     for i, t in rows:
