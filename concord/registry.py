@@ -169,6 +169,19 @@ def zone_conversion(spark, sf_dir):
     return o.select("o_orderkey", F.date_format(fn.shift_zone(F.col("o_orderdate"), "UTC", "Europe/Berlin").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("berlin"))
 
 
+#: 01:00 UTC of the last Sunday of a month, given by its last day.
+_last_sunday = lambda month, day: f"(make_timestamp(year(o_orderdate), {month}, {day}, 1, 0, 0) - to_days(dayofweek(make_date(year(o_orderdate), {month}, {day}))::INT))"
+#: Summer time in Berlin (from 1981) ends in October, before 1996 in September.
+_SUMMER = f"o_orderdate >= {_last_sunday(3, 31)} AND o_orderdate < CASE WHEN year(o_orderdate) < 1996 THEN {_last_sunday(9, 30)} ELSE {_last_sunday(10, 31)} END"
+
+
+@query(f"SELECT o_orderkey, strftime(o_orderdate + to_hours(CASE WHEN {_SUMMER} THEN 2 ELSE 1 END), '%Y-%m-%d %H:%M:%S') AS berlin FROM orders")
+def zone_conversion_all_year(spark, sf_dir):
+    """zone_conversion of all orders, in summer time too."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.date_format(fn.shift_zone(F.col("o_orderdate"), "UTC", "Europe/Berlin").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("berlin"))
+
+
 def _orders_with_lines(spark, sf_dir) -> DataFrame:
     return tables.with_children(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", "l_linenumber", "items", ["l_linenumber", "l_partkey", "l_shipdate"])
 

@@ -52,3 +52,15 @@ def test_display(spark):
     assert one(spark, fn.fit(F.lit("x" * 150))) == "x" * 137 + "..."
     assert one(spark, fn.as_bool(F.lit(" Yes "))) is True
     assert one(spark, fn.positive_int(F.lit("-3"), 7)) == 7
+
+
+def test_summer_time(spark):
+    cases = [("2026-03-29 00:59:59", "2026-03-29 01:59:59"), ("2026-03-29 01:00:00", "2026-03-29 03:00:00"), ("2026-07-01 00:00:00", "2026-07-01 02:00:00"), ("2026-10-25 00:59:59", "2026-10-25 02:59:59"), ("2026-10-25 01:00:00", "2026-10-25 02:00:00"), ("1995-10-01 00:00:00", "1995-10-01 01:00:00")]
+    df = spark.createDataFrame(cases, "utc string, berlin string").withColumn("got", fn.shift_zone(F.col("utc"), "UTC", "Europe/Berlin"))
+    assert [r.got for r in df.collect()] == [b for _, b in cases]
+
+
+def test_zones_are_checked_in_summer():
+    from concord import registry
+
+    assert "WHERE" not in registry.oracle_sql()["zone_conversion_all_year"]
