@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blank, norm_key, valid_key
+from .joins import dealt_key
 from .mapping import key_parts
 
 SEPARATOR = "\x1f"
@@ -29,9 +30,9 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def match_all(source: DataFrame, target: DataFrame, key: str = "key") -> DataFrame:
-    """Each source row with every target row of equal key (columns t_*), or with none. Keyless rows do not meet a shuffle's hot null."""
+    """Each source row with every target row of equal key (columns t_*), or with none. Keyless rows are dealt over all tasks."""
     t = prefixed(target.where(F.col(key).isNotNull()), "t_")
-    return source.join(t, F.col(key) == F.col(f"t_{key}"), "left")
+    return source.withColumn("_dealt", dealt_key(source, key)).join(t, F.col("_dealt") == F.col(f"t_{key}"), "left").drop("_dealt")
 
 
 def match_first(source: DataFrame, target: DataFrame, order: list[str], key: str = "key") -> DataFrame:
@@ -45,7 +46,8 @@ def match_identity_first(source: DataFrame, target: DataFrame, source_id: str, t
     by_id = F.struct(*target.columns)
     i = ids.select(F.col("_id").alias("_tid"), by_id.alias("_by_id"))
     k = last_per_key(target, [key], order).select(F.col(key).alias("_tkey"), by_id.alias("_by_key"))
-    out = source.withColumn("_sid", F.nullif(norm_key(F.col(source_id)), F.lit(""))).join(i, F.col("_sid") == F.col("_tid"), "left").join(k, F.col(key) == F.col("_tkey"), "left")
+    out = source.withColumn("_sid", F.nullif(norm_key(F.col(source_id)), F.lit("")))
+    out = out.withColumns({"_sid": dealt_key(out, "_sid"), "_key": dealt_key(out, key)}).join(i, F.col("_sid") == F.col("_tid"), "left").join(k, F.col("_key") == F.col("_tkey"), "left")
     kind = F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_by_key").isNotNull(), "key").otherwise("none")
     out = out.withColumns({"match_kind": kind, "_t": F.coalesce("_by_id", "_by_key")})
     return out.select(*source.columns, "match_kind", *[F.col("_t")[c].alias(f"t_{c}") for c in target.columns])
