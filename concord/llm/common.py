@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_hot
+
 U64 = np.uint64
-#: Rows of an Arrow batch that carries whole texts; bounds what a Python worker holds.
-TEXT_ROWS = 256
 #: Bytes of text that are taken apart at a time (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 20
 
@@ -39,20 +39,20 @@ FOLD[0x41:0x5B] += 0x20
 FOLD_WORDS = bytes(int(FOLD[b]) if FOLDED[FOLD[b]] else 0x20 for b in range(256))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows from now on, as rows may hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what the context or spark.checkpoint.dir names. One is made only in local mode."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder that spark.checkpoint.dir names, so that lost executors lose nothing.
-
-    Only where neither the session nor its context names a folder (as in tests) is one made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """df, computed once and kept in the shared folder, so that lost executors lose nothing."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -233,16 +233,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b): component is the least node that it reaches.
 
     Alternating large-star and small-star rounds; each is two grouped minima and joins on the node, and is kept in the
-    checkpoint folder. Nodes with no edge to another do not appear. Nulls must be filtered by the caller.
+    checkpoint folder. The links of a node that has very many are dealt to several tasks. Nodes with no edge to another do
+    not appear. Nulls must be filtered by the caller.
     """
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        large = join_hot(both, least, ["x"], [F.col("y")]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        root = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, root, ["u"], [F.col("v")]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = checkpoint(small)
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == seen:

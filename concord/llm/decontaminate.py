@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD_WORDS, small_batches
+from .common import FOLD_WORDS, checkpoint
 
 #: Test strings in one search table; a larger benchmark is searched in several tables, one after the other.
 TABLE_WINDOWS = 200_000
@@ -58,9 +58,10 @@ def windows(words: list[bytes], n: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [tuple(words)] if words else []
 
 
-def _tables(items: Iterator[tuple[str, str | None]], n: int) -> Iterator[tuple[list[str], dict]]:
-    """Search tables of at most TABLE_WINDOWS test strings, with the items' ids: per length the strings and the items of each."""
-    ids: list[str] = []
+def _tables(items: Iterator[tuple[str | None, str | None]], n: int) -> Iterator[tuple[list[str | None], dict]]:
+    """Search tables of at most TABLE_WINDOWS test strings, with the items' ids: per length the strings and the items of each. The first may be empty."""
+    first = True
+    ids: list[str | None] = []
     strings: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
     count = 0
     for item, text in items:
@@ -75,20 +76,20 @@ def _tables(items: Iterator[tuple[str, str | None]], n: int) -> Iterator[tuple[l
         count += len(own)
         if count >= TABLE_WINDOWS:
             yield ids, strings
-            ids, strings, count = [], {}, 0
-    if ids:
+            ids, strings, count, first = [], {}, 0, False
+    if ids or first:
         yield ids, strings
 
 
 def _search(shared):
-    """Occurrences of one table's strings in each text: spans of words, and the items."""
+    """The number of words of each text, and occurrences of one table's strings in it: spans of words, and the items."""
 
-    @F.pandas_udf("spans array<struct<start: int, end: int>>, items array<string>")
+    @F.pandas_udf("n_words long, spans array<struct<start: int, end: int>>, items array<string>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ids, strings = shared.value
         finders = [(WuManber(list(by), m), list(by.values())) for m, by in strings.items()]
         for texts in batches:
-            spans, items = [], []
+            numbers, spans, items = [], [], []
             for text in texts:
                 words, found, at = folded_words(text), set(), []
                 for finder, of in finders:
@@ -98,22 +99,14 @@ def _search(shared):
                         else:
                             at.append((start, start + finder.m))
                         found.update(of[k])
+                numbers.append(len(words))
                 spans.append([{"start": s, "end": e} for s, e in at])
-                items.append(sorted({ids[k] for k in found}))
-            yield pd.DataFrame({"spans": spans, "items": items})
+                items.append(sorted({ids[k] for k in found} - {None}))
+            yield pd.DataFrame({"n_words": numbers, "spans": spans, "items": items})
 
     return search
 
 
-def _count_words(text):
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([len(folded_words(t)) for t in texts], dtype="int64")
-
-    return count(text)
-
-
 def covered(spans):
     """How many positions an array of spans (start, end) covers, each once."""
     step = F.aggregate(
@@ -131,25 +124,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     words of each item, or the whole item if it has fewer. A word of a document is hit if an occurrence covers it; items
     (sorted as strings) are those with an occurring window; hit_spans are runs of words, end exclusive.
 
-    A null or empty text, or one without words, has no hits; such an item, or one whose id is null, is no test string.
-    Items that repeat an id are one item. An empty benchmark contaminates nothing, and an empty table gives an empty one.
-    The benchmark passes the driver item by item; tables are broadcast, each of at most TABLE_WINDOWS windows and those
-    of its last item.
+    A null or empty text, or one without words, has no hits; such an item is no test string. An item whose id is null marks words
+    and is in no list; items that repeat an id are one item. An empty benchmark contaminates nothing, and an empty table
+    gives an empty one. Rows that repeat are judged each.
+
+    The benchmark is dealt into tables of TABLE_WINDOWS windows (and those of a table's last item). Driver and workers
+    hold one table at a time: between two tables what was found so far is kept in the checkpoint folder, with its document.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("n_words", "hit_spans", "n_hit", "items", "contaminated")
-    rows = ((r.item_id, r.text) for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator())
-    text = F.col("text")
-    found = [_search(spark.sparkContext.broadcast(table))(text) for table in _tables(rows, n)]
-    out = docs.withColumn("n_words", _count_words(text))
-    names = [f"_found_{k}" for k in range(len(found))]
-    out = out.withColumns(dict(zip(names, found)))
-    none = F.lit(None).cast("array<struct<start: int, end: int>>"), F.lit(None).cast("array<string>")
-    spans = F.array_sort(F.flatten(F.array(*[F.col(f"{k}.spans") for k in names]))) if names else F.coalesce(none[0], F.array())
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{k}.items") for k in names])))) if names else F.coalesce(none[1], F.array())
-    out = out.withColumns({"hit_spans": spans, "items": items}).withColumn("n_hit", covered(F.col("hit_spans")))
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop(*names)
+    rows = ((r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator())
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.select(*own, F.array().cast("array<struct<start: int, end: int>>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
+    for k, table in enumerate(_tables(rows, n)):
+        found = (checkpoint(out) if k else out).withColumn("_found", _search(spark.sparkContext.broadcast(table))(F.col("text")))
+        out = found.select(*own, F.col("_found.n_words").alias("_n_words"), *[F.concat(f"_{c}", f"_found.{c}").alias(f"_{c}") for c in ("spans", "items")])
+    out = out.select(*own, F.col("_n_words").alias("n_words"), F.array_sort("_spans").alias("hit_spans"), F.array_sort(F.array_distinct("_items")).alias("items"))
+    return out.withColumn("n_hit", covered(F.col("hit_spans"))).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +163,7 @@ dw AS (
   FROM (SELECT doc_id, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM d, m WHERE len(words) >= m)
 ), hit AS (SELECT dw.doc_id, dw.i, dw.m, bw.item_id FROM dw JOIN bw USING (m, gram)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY 1),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+it AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 UNKNOWN = "und"
 #: Bytes of a language's dictionary, and of what one labelled text gives to it: the sample that is learned from is
@@ -88,7 +87,6 @@ def language_id(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
     empty or has no letter, or nothing was learned. Otherwise it is the best language even if rejected, which is where
     score is below margin. Texts are compressed whole, in chunks whose sizes are added up. With one language all are of it, with score 0.5.
     """
-    small_batches(docs.sparkSession)
     out = docs.drop("lang_pred", "score", "rejected").withColumn("_p", predicted(F.col("text"), dictionaries))
     return out.withColumns({"lang_pred": F.col("_p.lang"), "score": F.col("_p.score"), "rejected": (F.col("_p.lang") == UNKNOWN) | (F.col("_p.score") < margin)}).drop("_p")
 
@@ -99,6 +97,5 @@ def held_out() -> Column:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    small_batches(spark)
     dictionaries = learn(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
     return language_id(docs.select("doc_id", "text"), dictionaries).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, FOLDED, U64, checkpoint, connected_components, group_starts, in_blocks, local_components, slices, small_batches, whole_groups, window_hashes, word_hashes, word_spans
+from ..operators.joins import join_hot
+from .common import FOLD, FOLDED, U64, checkpoint, connected_components, group_starts, in_blocks, local_components, slices, whole_groups, window_hashes, word_hashes, word_spans
 
 BAND = 5  # values (bytes) of a band
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18  # of one of the two chunks of a block
@@ -93,9 +94,9 @@ def minhash(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def class_of(grams: np.ndarray) -> int:
-    """A 64-bit name for a set of n-grams."""
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(grams: np.ndarray) -> str:
+    """A name of 128 bits for a set of n-grams."""
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).hexdigest()
 
 
 def _signatures(n: int, width: int):
@@ -104,7 +105,7 @@ def _signatures(n: int, width: int):
         for batch in batches:
             out: list[tuple] = [(class_of(g), len(g), minhash(g, a, b)) if len(g) else (None, 0, None) for g in shingle_sets(batch.column("text"), n)]
             name, size, sig = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "cid": pa.array(name, pa.int64()), "n_shingles": pa.array(size, pa.int64()), "sig": pa.array(sig, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "name": pa.array(name, pa.string()), "n_shingles": pa.array(size, pa.int64()), "sig": pa.array(sig, pa.binary())})
 
     return run
 
@@ -170,7 +171,7 @@ def _members(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [g.tobytes() if class_of(g) == c else None for g, c in zip(shingle_sets(batch.column("text"), n), batch.column("cid").to_pylist())]
+            grams = [g.tobytes() if class_of(g) == c else None for g, c in zip(shingle_sets(batch.column("text"), n), batch.column("name").to_pylist())]
             table = batch.drop_columns(["text"]).append_column("grams", pa.array(grams, pa.binary()))
             yield table.filter(table.column("grams").is_valid())
 
@@ -204,16 +205,16 @@ def _verified(width: int, pruner: Pruner, threshold: float):
             starts = group_starts(table, keys)
             for lo, hi in zip(starts, np.append(starts[1:], table.num_rows)):
                 part = table.slice(lo, hi - lo)
-                cid = part["cid"].to_numpy()
-                once = np.append(True, cid[1:] != cid[:-1])  # a class comes twice if its document does
+                name = part["name"].to_numpy()
+                once = np.append(True, name[1:] != name[:-1])  # a class comes twice if its document does
                 part = part.filter(pa.array(once)).combine_chunks()
-                cid, docs, chunk = part["cid"].to_numpy(), part["n_docs"].to_numpy(), part["chunk"].to_numpy()
+                name, docs, chunk = part["name"].combine_chunks(), part["n_docs"].to_numpy(), part["chunk"].to_numpy()
                 sig = _matrix(part["sig"].combine_chunks(), width)
                 grams = [np.frombuffer(g, U64) for g in part["grams"].to_pylist()]
                 size = np.array([len(g) for g in grams])
-                within = np.broadcast_to(part["block_i"][0] == part["block_j"][0], len(cid))
-                links, label = np.zeros(len(cid), np.int64), np.arange(len(cid))
-                kept = [(left[at], right[at]) for left, right in _pairs(np.full(len(cid), len(cid)), chunk, within) for at in [pruner.keep(sig, left, right)]]
+                within = np.broadcast_to(part["block_i"][0] == part["block_j"][0], len(name))
+                links, label = np.zeros(len(name), np.int64), np.arange(len(name))
+                kept = [(left[at], right[at]) for left, right in _pairs(np.full(len(name), len(name)), chunk, within) for at in [pruner.keep(sig, left, right)]]
                 left, right = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, int), np.zeros(0, int))
                 if len(left):
                     shared = shared_counts(grams, left, right)
@@ -221,8 +222,8 @@ def _verified(width: int, pruner: Pruner, threshold: float):
                     left, right = left[near], right[near]
                     np.add.at(links, left, docs[right])
                     np.add.at(links, right, docs[left])
-                    label = local_components(len(cid), left, right)
-                yield pa.RecordBatch.from_pydict({"cid": pa.array(cid), "links": pa.array(links), "root": pa.array(cid[label])})
+                    label = local_components(len(name), left, right)
+                yield pa.RecordBatch.from_pydict({"name": name, "links": pa.array(links), "root": name.take(pa.array(label))})
 
     return run
 
@@ -239,17 +240,17 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance
     of their own. A row whose doc_id is null takes no part: class_id and set_id null, n_links 0. An empty table gives an
     empty one. A link is missed with a probability of about miss + tolerance; what is reported is exact.
     """
-    small_batches(docs.sparkSession)
     width = BAND * bands_for(threshold, miss)
     pruner = Pruner(threshold, width, tolerance)
     own = docs.where("doc_id is not null").select("doc_id", "text")
-    sigs = checkpoint(own.mapInArrow(_signatures(n, width), "doc_id long, cid long, n_shingles long, sig binary"))
-    classes = sigs.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = checkpoint(classes)
+    sigs = checkpoint(own.mapInArrow(_signatures(n, width), "doc_id long, name string, n_shingles long, sig binary"))
+    classes = sigs.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    # cid is short for the name where classes only become candidates: should two classes share one, they are candidates of each other's.
+    classes = checkpoint(classes.withColumn("cid", F.xxhash64("name")))
 
     bands = classes.select("cid", "sig").mapInArrow(_bands(width), "band long, cid long")
     often = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    grouped = bands.join(often, "band").join(classes.select("cid", "sig"), "cid")
+    grouped = join_hot(bands, often, ["band"], [F.col("cid")]).join(classes.select("cid", "sig"), "cid")
     blocks = in_blocks(grouped, "band", "cid", F.ceil(F.col("n") / BLOCK_ROWS)).drop("n")
     keys = ["band", "block_i", "block_j"]
     ties = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_ties(width, pruner), "a long, b long")
@@ -257,21 +258,21 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
 
     members = clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster")).join(classes, "cid")
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("n"))
-    members = members.join(sizes, "cluster").select("cid", "cluster", "rep", "n_docs", "sig", "n")
-    texts = own.join(members.hint("shuffle_hash"), own.doc_id == members.rep).select("cid", "cluster", "n_docs", "sig", "n", "text")
-    sets = texts.mapInArrow(_members(n), "cid long, cluster long, n_docs long, sig binary, n long, grams binary")
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"), F.count("*").alias("n"))
+    members = join_hot(members, sizes, ["cluster"], [F.col("name")]).select("name", "cluster", "rep", "n_docs", "sig", "blocks")
+    texts = own.join(members.hint("shuffle_hash"), own.doc_id == members.rep).select("name", "cluster", "n_docs", "sig", "blocks", "text")
+    sets = texts.mapInArrow(_members(n), "name string, cluster long, n_docs long, sig binary, blocks long, grams binary")
     keys = ["cluster", "block_i", "block_j"]
-    blocks = in_blocks(sets, "cluster", "cid", F.col("n")).drop("n").repartition(*keys).sortWithinPartitions(*keys, "cid")
-    verified = checkpoint(blocks.mapInArrow(_verified(width, pruner, threshold), "cid long, links long, root long"))
-
-    links = verified.groupBy("cid").agg(F.sum("links").alias("links"))
-    joined = connected_components(verified.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("cid", "rep", "n_docs").join(links, "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
-    of_class = of_class.withColumn("component", F.coalesce("component", "cid"))
-    least = of_class.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of_class = of_class.join(least, "component").select("cid", "class_id", "rep", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sigs.select("doc_id", "cid", "n_shingles").join(of_class, "cid", "left")
+    blocks = in_blocks(sets, "cluster", "name", F.col("blocks")).drop("blocks").repartition(*keys).sortWithinPartitions(*keys, "name")
+    verified = checkpoint(blocks.mapInArrow(_verified(width, pruner, threshold), "name string, links long, root string"))
+
+    links = verified.groupBy("name").agg(F.sum("links").alias("links"))
+    joined = connected_components(verified.select(F.col("name").alias("a"), F.col("root").alias("b")))
+    of_class = classes.select("name", "rep", "n_docs").join(links, "name", "left").join(joined.withColumnRenamed("node", "name"), "name", "left")
+    of_class = of_class.withColumn("component", F.coalesce("component", "name"))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
+    of_class = join_hot(of_class, least, ["component"], [F.col("name")]).select("name", "class_id", "rep", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("n_docs").alias("n"))
+    out = join_hot(sigs.select("doc_id", "name", "n_shingles"), of_class, ["name"], [F.col("doc_id")], how="left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", F.coalesce("rep", "doc_id").alias("set_id"))
     null = F.lit(None).cast("long")
     apart = docs.where("doc_id is null").select("doc_id", null.alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_shingles"), null.alias("set_id"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import FOLD, SPACED, slices, small_batches, word_hashes, word_spans
+from .common import FOLD, SPACED, slices, word_hashes, word_spans
 
 #: What a cut costs, in tokens of padding.
 AT_SENTENCE, INSIDE_SENTENCE = 6, 48
@@ -224,7 +224,6 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int = 2, size: int = 4096
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
-    small_batches(docs.sparkSession)
     with open(tokenizer_json, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"

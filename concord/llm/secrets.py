@@ -10,11 +10,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from ..operators.joins import join_hot
+from .common import checkpoint, shared_folder
 
 
 @dataclass(frozen=True)
@@ -41,76 +41,116 @@ RULES = [
 _SPAN = "array<struct<start: int, rank: int, kind: string, end: int>>"
 
 
+#: Matches whose places are found in one go; places of more are found block by block, so that the work is in proportion to them.
+MATCHES = 256
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value found once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _places(pieces: Column) -> Column:
+    """From pieces (gap, n, match), match after match, array<struct<start, end, match>>."""
+    empty = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<start: int, end: int, match: string>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["to"] + x["gap"]
+        return F.struct((start + x["n"]).alias("to"), F.array_append(acc["out"], F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["match"].alias("match"))).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / MATCHES).cast("int")), lambda b: F.aggregate(F.slice(pieces, b * MATCHES + 1, MATCHES), empty, add))
+    shifted = lambda block, by: F.transform(block["out"], lambda p: F.struct((p["start"] + by).alias("start"), (p["end"] + by).alias("end"), p["match"].alias("match")))
+    start = F.struct(F.lit(0).alias("to"), F.array().cast("array<array<struct<start: int, end: int, match: string>>>").alias("out"))
+    return F.flatten(F.aggregate(blocks, start, lambda acc, b: F.struct((acc["to"] + b["to"]).alias("to"), F.array_append(acc["out"], shifted(b, acc["to"])).alias("out")))["out"])
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """The kept matches of a rule, leftmost and non-overlapping, in code points with end exclusive."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
-    between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
-    # [the end of each match], from the lengths of matches and of what lies between.
-    ends = F.aggregate(
-        F.zip_with(between, found, lambda gap, m: F.struct(gap.alias("gap"), F.length(m).alias("n"))),
-        F.array().cast("array<struct<start: int, end: int>>"),
-        lambda acc, x: F.when(x["n"].isNull(), acc).otherwise(
-            F.concat(acc, F.array(F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["gap"]).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["gap"] + x["n"]).alias("end"))))
-        ),
-    )
-    at = F.zip_with(ends, found, lambda e, m: F.struct(e["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), e["end"].alias("end"), m.alias("match")))
+    gaps = F.split(text, rule.pattern, -1)
+    pieces = F.filter(F.zip_with(gaps, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), m.alias("match"))), lambda x: x["match"].isNotNull())
+    at = let(pieces, _places)
     kept = F.filter(at, lambda s: s["match"].rlike(rule.keep)) if rule.keep else at
-    out = F.transform(kept, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"])).cast(_SPAN)
+    out = F.transform(kept, lambda s: F.struct(s["start"], F.lit(rank), F.lit(rule.kind), s["end"])).cast(_SPAN)
     return F.when(text.rlike(rule.pattern), out).otherwise(F.array().cast(_SPAN))
 
 
 class Ledger:
-    """Scanned pairs of blob and rule version, with findings: tables in a folder, one for each scan."""
+    """Scanned pairs of blob and rule version, with findings: a table in a folder, to which each scan appends.
+
+    Without a path the ledger is kept in the folder that driver and executors share.
+    """
 
-    SCHEMA = f"blob string, rules array<string>, spans {_SPAN}"
+    SCHEMA = f"blob binary, rules array<string>, spans {_SPAN}"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+        self.add(spark.createDataFrame([], self.SCHEMA))  # so that there is a table to read
 
-    def read(self) -> DataFrame | None:
-        if self.path is None:
-            return None
-        try:
-            return self.spark.read.schema(self.SCHEMA).option("recursiveFileLookup", True).parquet(self.path)
-        except AnalysisException:  # nothing has been scanned
-            return None
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
-    def add(self, new: DataFrame) -> DataFrame:
-        """Keeps new rows and gives them back, from where they are kept."""
-        if self.path is None:
-            return checkpoint(new)
-        part = f"{self.path}/{uuid.uuid4().hex}"
-        new.write.parquet(part)
-        return self.spark.read.schema(self.SCHEMA).parquet(part)
+    def add(self, new: DataFrame) -> None:
+        """Keeps new rows; what a failed scan has written does not count."""
+        new.write.mode("append").parquet(self.path)
 
 
-def scan(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES) -> DataFrame:
-    """versions (text and any other columns) with blob and spans in place of text: what rules find in each version.
+#: Blobs whose hashes are broadcast at most, when a scan asks for their texts (about 100 bytes each), and findings likewise.
+FEW_BLOBS, FEW_SPANS = 200_000, 200_000
+
 
-    spans are ordered by start, then rule. Unseen pairs of blob and rule version are scanned and added to the ledger;
-    what it has of older rule versions does not count. Contents that are repeated in a partition are sent on once, and a
-    blob is scanned once however many paths hold it. A null text is an empty one. Columns called blob or spans are
-    replaced. An empty table gives an empty one.
+def address(text: Column) -> Column:
+    """A text's blob: the SHA-256 of its content. A null text is an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def look(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES) -> DataFrame:
+    """Scans what the ledger lacks of versions (text), adds it to the ledger and returns (blob, n): the number of versions of each blob.
+
+    The ledger is asked by hash which pairs of blob and rule version it lacks. Texts move only for these, and are scanned once
+    however many versions hold them. The hashes of unseen blobs are broadcast if they are FEW_BLOBS at most; otherwise texts
+    are sent to their hash, where repeated ones of a partition are sent once, and meet them there.
     """
-    own = versions.drop("blob", "spans").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.sha2("text", 256))
+    own = versions.select(F.coalesce("text", F.lit("")).alias("text"), address(F.col("text")).alias("blob"))
     names = {r.name: r for r in rules}
-    blobs = own.groupBy("blob").agg(F.first("text").alias("text"))
-    known = ledger.read()
-    if known is None:
-        blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
-    else:
-        seen = known.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    unseen = blobs.withColumn("rules", F.array_except(F.array(*map(F.lit, names)), "seen")).where(F.size("rules") > 0)
+    counts = checkpoint(own.groupBy("blob").agg(F.count("*").alias("n")))
+    seen = ledger.read().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    lacking = F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>")))
+    asked = checkpoint(counts.join(seen, "blob", "left").select("blob", lacking.alias("rules")).where(F.size("rules") > 0))
+    few = asked.count() <= FEW_BLOBS
+    texts = own.join(F.broadcast(asked.select("blob")), "blob", "left_semi") if few else own
+    texts = texts.groupBy("blob").agg(F.first("text").alias("text")).join(F.broadcast(asked) if few else asked, "blob")
     none = F.array().cast(_SPAN)
     parts = [F.when(F.array_contains("rules", name), spans(F.col("text"), r, k)).otherwise(none) for k, (name, r) in enumerate(names.items())]
-    new = ledger.add(unseen.select("blob", "rules", F.concat(*parts).alias("spans")))
-    every = new if known is None else known.unionByName(new)
-    # A row of the ledger counts for those of its rules that are asked for.
-    asked = F.transform(F.array_intersect("rules", F.array(*map(F.lit, names))), lambda r: F.substring_index(r, "@", 1))
-    found = every.select("blob", F.filter("spans", lambda s: F.array_contains(asked, s["kind"])).alias("spans")).where(F.size("spans") > 0)
+    ledger.add(texts.select("blob", "rules", F.concat(*parts).alias("spans")))
+    return counts
+
+
+def scan(versions: DataFrame, ledger: Ledger, rules: list[Rule] = RULES) -> DataFrame:
+    """versions (text and any other columns) with blob and spans in place of text: what rules find in each version.
+
+    Pairs of blob and rule version that the ledger lacks are scanned (see look); what it has of older rule versions does not
+    count. spans are ordered by start, then rule. A null text is an empty one. Columns called blob or spans are
+    replaced. Versions that are repeated get their findings each. An empty table gives an empty one.
+    """
+    own = versions.withColumn("blob", address(F.col("text"))).drop("text", "spans")
+    return with_findings(own, findings(look(versions, ledger, rules), ledger, rules))
+
+
+def findings(counts: DataFrame, ledger: Ledger, rules: list[Rule] = RULES) -> DataFrame:
+    """(blob, n, spans): of blobs with n versions what rules have found, by what the ledger has of them; none without a finding."""
+    asked = F.transform(F.array_intersect("rules", F.array(*[F.lit(r.name) for r in rules])), lambda r: F.substring_index(r, "@", 1))
+    found = ledger.read().select("blob", F.filter("spans", lambda s: F.array_contains(asked, s["kind"])).alias("spans")).where(F.size("spans") > 0)
     found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return own.drop("text").join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    return checkpoint(found.join(counts, "blob").select("blob", "n", "spans"))
+
+
+def with_findings(own: DataFrame, found: DataFrame) -> DataFrame:
+    """own (blob and others) with spans; broadcast if there are FEW_SPANS spans and blobs at most."""
+    few = found.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0] <= FEW_SPANS
+    others = [F.col(f"`{c}`") for c, kind in own.dtypes if "map<" not in kind and "variant" not in kind]
+    out = own.join(F.broadcast(found.drop("n")), "blob", "left") if few else join_hot(own, found, ["blob"], others, how="left").drop("n")
+    return out.withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN)))
 
 
 def listed(spans_: Column) -> Column:
@@ -123,7 +163,10 @@ def number(kind: str) -> Column:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = scan(docs, Ledger(spark))
+    # Every document is a path's only version: the first scan sees those that came first, the second all, and scans what the first has not seen.
+    ledger = Ledger(spark)
+    look(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), ledger)
+    out = scan(docs, ledger)
     return out.select("doc_id", *[number(r.kind).alias(f"n_{r.kind}") for r in RULES], F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

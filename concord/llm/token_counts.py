@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: Words of which a worker remembers the count.
 KNOWN_WORDS = 500_000
@@ -86,7 +85,6 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], pattern: str) -> Data
     difference, and an empty table gives an empty one. The vocabulary is broadcast and does not grow with the data.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("n_words long, n_tokens long")

@@ -162,19 +162,20 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
 
 def test_decontamination(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "TABLE_WINDOWS", 30)
-    items = [(str(i), t) for i, t in enumerate(texts(12, 7, 0, 30))] + [("s", "Gamma"), ("n", None), (None, "alpha")]
+    items = [(str(i), t) for i, t in enumerate(texts(12, 7, 0, 30))] + [("s", "Gamma"), ("n", None), (None, "kappa"), (None, texts(1, 8, 9, 9)[0])]
     docs = [(i, t) for i, t in enumerate(texts(60, 8, 0, 40))] + [(100, items[3][1].upper()), (101, None)]
     out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), n=4)
     for x in out.collect():
         w, hit, found = decontaminate.folded_words(dict(docs)[x.doc_id]), set(), set()
         for item, t in items:
-            for s in decontaminate.windows(decontaminate.folded_words(t), 4) if item else ():
+            for s in decontaminate.windows(decontaminate.folded_words(t), 4):
                 at = [k for k in range(len(w) - len(s) + 1) if tuple(w[k : k + len(s)]) == s]
                 hit.update(p for k in at for p in range(k, k + len(s)))
-                found.update([item] if at else [])
+                found.update([item] if at and item else [])
         assert (x.n_words, x.n_hit, x["items"]) == (len(w), len(hit), sorted(found))
     none = decontaminate.contamination(odd_docs(spark), spark.createDataFrame([], "item_id string, text string"))
-    assert none.where("contaminated").count() == 0 and none.count() == 8
+    assert none.where("contaminated").count() == 0 and none.count() == 8 and none.agg(F.max("n_words")).first()[0] >= 30_000
+    assert decontaminate.contamination(odd_docs(spark).limit(0), spark.createDataFrame(items, "item_id string, text string")).count() == 0
 
 
 def test_vectors(spark):
@@ -199,7 +200,8 @@ def test_vectors(spark):
 
 
 def test_vectors_over_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 20)
+    monkeypatch.setattr(embedding_dedup, "PIVOTS", 1)
+    monkeypatch.setattr(embedding_dedup, "DEAL_ROWS", 40)
     monkeypatch.setattr(embedding_dedup, "HOME_ROWS", 7)
     monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 11)
     r = np.random.default_rng(2)
@@ -301,9 +303,12 @@ def cut_brute(rows, window):
     return out
 
 
-@pytest.mark.parametrize("often", [3, 10_000])
-def test_substrings(spark, monkeypatch, often):
-    monkeypatch.setattr(substring_dedup, "OFTEN", often)
+@pytest.mark.parametrize("seen,every", [(2, 1), (32, 64)])
+def test_substrings(spark, monkeypatch, seen, every):
+    """With many frequent windows and with none."""
+    monkeypatch.setattr(substring_dedup, "SEEN", seen)
+    monkeypatch.setattr(substring_dedup, "EVERY", every)
+    monkeypatch.setattr(substring_dedup, "PARTS", 3)
     r = random.Random(12)
     passages = [" ".join(r.choice(WORDS) + str(r.randrange(4)) for _ in range(r.randint(5, 40))) for _ in range(8)]
     rows = [(i, " ".join(r.choice(passages) if r.random() < 0.3 else str(r.random()) for _ in range(20))) for i in range(60)] + [(100, "ab " * 50), (101, None), (102, "")]
