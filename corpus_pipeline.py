@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.llm.common import shared_folder
 from concord.llm.decontaminate import contamination
 from concord.llm.language_id import held_out, language_id, learn
 from concord.llm.ngram_jaccard import ngram_jaccard
 from concord.llm.pack import pack
-from concord.llm.secrets import Ledger, scan
+from concord.llm.secrets import Ledger, address, findings, look, with_findings
 
 #: SQL for run()'s rows: SQL has neither the compressor nor the tokenizer.
 ORACLE_SQL = None
@@ -22,7 +22,7 @@ REMOVED = "[secret]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; a rejected one goes."""
+    """Documents whose language is told; a rejected one goes, as does one whose text is null or has no letter. Repeated rows stay or go together."""
     dictionaries = learn(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return language_id(docs, dictionaries).where(~F.col("rejected")).select(docs.columns)
 
@@ -38,30 +38,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test string of the benchmark."""
+    """Documents that hold no test string of the benchmark. Null and empty texts hold none; repeated rows stay or go together."""
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret's span replaced; spans that overlap are replaced as one. n_chars is counted anew where text has changed."""
-    found = scan(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("own"), "text"), Ledger(spark)).where(F.size("spans") > 0)
-    found = found.groupBy("own").agg(F.first("spans").alias("spans"))
-    out = docs.withColumn("own", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "own", "left")
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("to"))
+    """All documents, with each secret's span replaced; spans that overlap are replaced as one. n_chars is counted anew where text has changed.
+
+    A null or empty text stays as it is, repeated rows stay repeated, and an empty table gives an empty one.
+    """
+    ledger = Ledger(spark)
+    found = findings(look(docs, ledger), ledger)
+    out = with_findings(docs.select(F.struct("*").alias("row"), "text", address(F.col("text")).alias("blob")), found)
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("to"))
+    kept = lambda acc, s: F.array_append(acc["parts"], F.concat(F.substring("text", acc["to"] + 1, s["start"] - acc["to"]), F.lit(REMOVED)))
     cut = F.aggregate(
-        F.coalesce("spans", F.array().cast("array<struct<start: int, rank: int, kind: string, end: int>>")),
+        "spans",
         start,
-        lambda acc, s: F.when(s["end"] <= acc["to"], acc).when(s["start"] < acc["to"], F.struct(acc["text"].alias("text"), s["end"].alias("to"))).otherwise(
-            F.struct(F.concat(acc["text"], F.substring("text", acc["to"] + 1, s["start"] - acc["to"]), F.lit(REMOVED)).alias("text"), s["end"].alias("to"))
+        lambda acc, s: F.when(s["end"] <= acc["to"], acc).otherwise(
+            F.struct(F.when(s["start"] < acc["to"], acc["parts"]).otherwise(kept(acc, s)).alias("parts"), s["end"].alias("to"))
         ),
     )
-    out = out.withColumn("cut", cut).withColumn("clean", F.when(F.col("cut.to") > 0, F.concat("cut.text", F.expr("substring(text, cut.to + 1)"))).otherwise(F.col("text")))
-    changed = {"text": F.col("clean")} | ({"n_chars": F.when(F.col("cut.to") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(docs.columns)
+    out = out.withColumn("cut", F.when(F.size("spans") > 0, cut))
+    clean = F.when(F.col("cut").isNotNull(), F.concat(F.array_join("cut.parts", ""), F.expr("substring(text, cut.to + 1)"))).otherwise(F.col("text"))
+    out = out.withColumn("clean", clean)
+    changed = {"text": F.col("clean"), "n_chars": F.when(F.col("cut").isNotNull(), F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens."""
+    """Pieces of the documents in sequences of 4096 tokens. A null text is an empty one; repeated rows are packed each; no documents give no pieces."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
@@ -71,9 +77,8 @@ STAGES = [("language_id", language), ("ngram_jaccard", near_duplicates), ("decon
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, over all documents; what each returns is kept in the shared folder spark.checkpoint.dir."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    at, docs = f"{shared}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, over all documents; what each returns is kept in the shared folder spark.checkpoint.dir. Columns beyond those of documents come along until they are packed."""
+    at, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
