@@ -33,10 +33,34 @@ def positive_int(v: Column, default: int) -> Column:
     return F.when(n > 0, n).otherwise(F.lit(default))
 
 
+#: Largest exponent that is written out; beyond it the digits and a power of ten stand for the number.
+WRITTEN_OUT = 10_000
+
+
+def _written_out(t: Column) -> Column:
+    """An exponent form as a plain numeral: the point is moved in the text, so that no digit is lost."""
+    part = lambda n: F.regexp_extract(t, r"^([+-]?)(\d*)\.?(\d*)[eE]([+-]?\d+)$", n)
+    parts = F.struct(part(1).alias("sign"), F.concat(part(2), part(3)).alias("digits"), F.length(part(2)).alias("whole"), part(4).try_cast("long").alias("by"))
+
+    def moved(x: Column) -> Column:
+        digits, point = x["digits"], x["whole"] + x["by"]
+        zeros = lambda n: F.repeat(F.lit("0"), F.greatest(F.lit(0), F.least(n, F.lit(2 * WRITTEN_OUT))).cast("int"))
+        near = F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits)).when(point >= F.length(digits), F.concat(digits, zeros(point - F.length(digits)))).otherwise(F.concat(F.substring(digits, F.lit(1), point.cast("int")), F.lit("."), F.substring(digits, point.cast("int") + 1, F.length(digits))))
+        tail = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+        far = F.when(F.trim(digits, F.lit("0")) == "", F.lit("0")).otherwise(F.concat(F.trim(digits, F.lit("0")), F.lit("e"), (x["by"] - F.length(digits) + x["whole"] + tail).cast("string")))
+        return F.concat(x["sign"], F.when(F.abs(x["by"]) <= WRITTEN_OUT, near).otherwise(far))
+
+    return F.get(F.transform(F.array(parts), moved), F.lit(0))
+
+
 def norm_number(v: Column) -> Column:
-    """Canonical decimal text, null if v is no finite number. Plain numerals keep all digits; exponent forms have 18 decimals."""
+    """Canonical decimal text of a number's exact value, null if v is no finite number.
+
+    Digits are never rounded. Of an exponent beyond WRITTEN_OUT the text is the digits, e and the power of ten, which is as canonical;
+    an exponent of more than 18 digits makes no number.
+    """
     t = F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "")
-    out = F.when(t.rlike(PLAIN), t).when(t.rlike(EXPONENT), t.try_cast("decimal(38,18)").cast("string"))
+    out = F.when(t.rlike(PLAIN), t).when(t.rlike(EXPONENT), _written_out(t))
     # sign +, leading zeros, a bare point in front, trailing zeros, a bare point at the end, minus zero
     for pattern, to in ((r"^\+", ""), (r"^(-?)0+(?=\d)", "$1"), (r"^(-?)\.", "$10."), (r"(\.\d*?)0+$", "$1"), (r"\.$", ""), (r"^-0$", "0")):
         out = F.regexp_replace(out, pattern, to)

@@ -11,10 +11,21 @@ CHANGES = "array<struct<field: string, old: string, new: string>>"
 
 
 def field_changes(new: dict[str, Column], old: dict[str, Column], kinds: dict[str, str] | None = None, exclude: tuple[str, ...] = (), rename: dict[str, str] | None = None) -> Column:
-    """[(field, old, new)] of the fields of new that differ from old in normal form; values as text, names as rename has them."""
+    """[(field, old, new)] of the fields of new that differ from old in normal form; values as text, names as rename has them.
+
+    Normal forms are made only where the plain texts differ, which most fields of most records do not.
+    """
     kinds, rename = kinds or {}, rename or {}
     fields = [f for f in new if f not in exclude]
     if not fields:
         return F.array().cast(CHANGES)
-    each = [F.struct(F.lit(rename.get(f, f)).alias("field"), old[f].cast("string").alias("old"), new[f].cast("string").alias("new"), (~norm_diff(new[f], kinds.get(f, "string")).eqNullSafe(norm_diff(old[f], kinds.get(f, "string")))).alias("changed")) for f in fields]
+
+    def one(f: str) -> Column:
+        kind, before, after = kinds.get(f, "string"), old[f].cast("string"), new[f].cast("string")
+        changed = ~norm_diff(new[f], kind).eqNullSafe(norm_diff(old[f], kind))
+        if not kind.startswith(("array", "struct", "map")):
+            changed = F.when(before.eqNullSafe(after), F.lit(False)).otherwise(changed)
+        return F.struct(F.lit(rename.get(f, f)).alias("field"), before.alias("old"), after.alias("new"), changed.alias("changed"))
+
+    each = [one(f) for f in fields]
     return F.transform(F.filter(F.array(*each), lambda c: c["changed"]), lambda c: F.struct(c["field"], c["old"], c["new"])).cast(CHANGES)

@@ -49,7 +49,7 @@ def reverse_pairs(pairs) -> list[tuple[str | None, str | None]]:
     return list({b: (b, a) for a, b in pairs}.values())
 
 
-def project(df: DataFrame, d: Definition, way: str, keep: list[str] = ()) -> DataFrame:
+def project(df: DataFrame, d: Definition, way: str, keep: list[str | Column] = ()) -> DataFrame:
     """push: local rows as remote columns; pull: remote rows as local columns. Columns in keep come along."""
     cols = []
     for m in d.mapped(way):

@@ -53,6 +53,19 @@ def match_identity_first(source: DataFrame, target: DataFrame, source_id: str, t
     return out.select(*source.columns, "match_kind", *[F.col("_t")[c].alias(f"t_{c}") for c in target.columns])
 
 
+def match_identity_all(source: DataFrame, target: DataFrame, source_id: str, target_id: str, key: str = "key") -> DataFrame:
+    """match_identity_first with every target row: all of the stored id, and only where there is none all of the key."""
+    out = source.withColumn("_sid", F.nullif(norm_key(F.col(source_id)), F.lit("")))
+    ids = target.withColumn("_tid", F.nullif(norm_key(F.col(target_id)), F.lit(""))).where("_tid is not null")
+    known = ids.select(F.col("_tid").alias("_known")).distinct().withColumn("_hit", F.lit(True))
+    out = out.withColumn("_dealt", dealt_key(out, "_sid")).join(known, F.col("_dealt") == F.col("_known"), "left").drop("_dealt", "_known")
+    by_id = out.where("_hit").join(prefixed(ids, "t_"), F.col("_sid") == F.col("t__tid")).withColumn("match_kind", F.lit("id"))
+    by_key = match_all(out.where("_hit is null"), target, key)
+    by_key = by_key.withColumn("match_kind", F.when(F.col(f"t_{key}").isNotNull(), "key").otherwise("none"))
+    names = [*source.columns, "match_kind", *[f"t_{c}" for c in target.columns]]
+    return by_id.select(names).unionByName(by_key.select(names))
+
+
 def pair_by_token(local: DataFrame, remote: DataFrame, local_order: list[str], remote_order: list[str], token: str = "token") -> DataFrame:
     """Full pairing of the last rows of each token: columns token, l_* and r_*."""
     left, right = prefixed(last_per_key(local, [token], local_order), "l_"), prefixed(last_per_key(remote, [token], remote_order), "r_")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import changed_fields, changed_since, compare_modified, effective_modified, fit
-from ..operators.diff import field_changes
+from ..functions.scalars import blank, changed_fields, changed_since, compare_modified, effective_modified, fit
+from ..operators.diff import CHANGES, field_changes
 from ..operators.mapping import project
-from ..operators.matching import key_set, last_per_key, match_all, match_first, match_identity_first, missing, pair_by_token, with_key
+from ..operators.matching import identity_pairs, key_set, last_per_key, match_all, match_first, match_identity_all, match_identity_first, missing, pair_by_token, prefixed, with_key
+from ..operators.shared import checkpoint
 from .spec import Definition
 
 PLAN = ["definition", "direction", "write_direction", "action", "status", "message", "record_key", "match_kind", "change_count", "changed_fields", "changes", "payload", "local_before", "remote_before"]
@@ -45,7 +46,11 @@ def _row_json(df: DataFrame, prefix: str, but: set[str]) -> Column:
 
 
 def one_way_plan(local: DataFrame, remote: DataFrame, d: Definition, way: str | None = None, images: bool = False) -> DataFrame:
-    """The plan of a push or a pull. images adds the rows before the write as JSON."""
+    """The plan of a push or a pull. images adds the rows before the write as JSON.
+
+    If the definition deletes what is missing, target rows whose key no source row has are part of the plan; both sides must then
+    be read completely.
+    """
     way = way or d.direction
     source, target = (local, remote) if way == "push" else (remote, local)
     source_keys, target_keys = (list(d.match_fields), d.remote_keys) if way == "push" else (d.remote_keys, list(d.match_fields))
@@ -58,7 +63,8 @@ def one_way_plan(local: DataFrame, remote: DataFrame, d: Definition, way: str |
     target = with_key(target, target_keys)
     if d.identity:
         ids = (d.identity.local_remote_id, d.identity.remote_id) if way == "push" else (d.identity.remote_id, d.identity.local_remote_id)
-        met = match_identity_first(own.withColumn("_id", F.col("_row")[ids[0]]), target, "_id", ids[1], order)
+        own = own.withColumn("_id", F.col("_row")[ids[0]])
+        met = match_identity_first(own, target, "_id", ids[1], order) if d.match_mode == "first_match" else match_identity_all(own, target, "_id", ids[1])
     else:
         met = match_first(own, target, order) if d.match_mode == "first_match" else match_all(own, target)
         met = met.withColumn("match_kind", F.when(F.col("t_key").isNotNull(), "key").otherwise("none"))
@@ -74,7 +80,8 @@ def one_way_plan(local: DataFrame, remote: DataFrame, d: Definition, way: str |
     before = _row_json(met, "t_", {"key"})
     source_json = F.to_json(F.col("_row"))
     extra = {"local_before": source_json if way == "push" else before, "remote_before": before if way == "push" else source_json} if images else {"local_before": F.lit(None).cast("string"), "remote_before": F.lit(None).cast("string")}
-    return _planned(out.withColumns({"payload": F.to_json("_payload", {"ignoreNullFields": "false"}), "write_direction": F.lit(way), **extra}), d, F.col("key"))
+    out = _planned(out.withColumns({"payload": F.to_json("_payload", {"ignoreNullFields": "false"}), "write_direction": F.lit(way), **extra}), d, F.col("key"))
+    return out.unionByName(deletions(local, remote, d, way)) if d.delete_missing and d.match_fields else out
 
 
 def _planned(df: DataFrame, d: Definition, key: Column) -> DataFrame:
@@ -91,34 +98,95 @@ def deletions(local: DataFrame, remote: DataFrame, d: Definition, way: str) -> D
     return _planned(out, d, F.col("key"))
 
 
-def both_ways_plan(local: DataFrame, remote: DataFrame, d: Definition, watermark: Column | None = None) -> DataFrame:
-    """Pairs of one key, compared in both directions; a side alone is created on the other, a difference goes to the side that wins."""
-    left = project(with_key(local, list(d.match_fields)).withColumn("_row", F.struct(*local.columns)), d, "push", keep=["key", "_row"])
-    right = project(with_key(remote, d.remote_keys).withColumn("_row", F.struct(*remote.columns)), d, "pull", keep=["key", "_row"])
-    to_remote = [c for c in left.columns if c not in ("key", "_row")]
-    to_local = [c for c in right.columns if c not in ("key", "_row")]
-    left = left.select(F.col("key").alias("token"), "_row", F.struct(*to_remote).alias("payload"), *[F.col("_row")[c].alias(f"_o{i}") for i, c in enumerate(d.local_order)])
-    right = right.select(F.col("key").alias("token"), "_row", F.struct(*to_local).alias("payload"), *[F.col("_row")[c].alias(f"_o{i}") for i, c in enumerate(d.remote_order)])
-    pairs = pair_by_token(left, right, [f"_o{i}" for i in range(len(d.local_order))], [f"_o{i}" for i in range(len(d.remote_order))])
+def _sides(local: DataFrame, remote: DataFrame, d: Definition) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their key, their row and what they would write on the other side; links are stamped where the definition has identities."""
+    left = project(with_key(local, list(d.match_fields)) if d.match_fields else local.withColumn("key", F.lit(None).cast("string")), d, "push", keep=[F.col("key"), F.struct(*local.columns).alias("_row")])
+    right = project(with_key(remote, d.remote_keys) if d.match_fields else remote.withColumn("key", F.lit(None).cast("string")), d, "pull", keep=[F.col("key"), F.struct(*remote.columns).alias("_row")])
+    if d.identity:
+        left, right = stamp_links(left, d, "push"), stamp_links(right, d, "pull")
+    payload = lambda df: df.select("key", "_row", F.struct(*[c for c in df.columns if c not in ("key", "_row")]).alias("payload"))
+    return payload(left), payload(right)
+
+
+def stamp_links(df: DataFrame, d: Definition, way: str) -> DataFrame:
+    """Projected rows with the other side's link: a push carries the local id, a pull the remote one; a blank id stamps nothing."""
+    source, target = (d.identity.local_pk, d.identity.remote_link) if way == "push" else (d.identity.remote_id, d.identity.local_remote_id)
+    own = F.col("_row")[source]
+    old = F.col(target) if target in df.columns else F.lit(None)
+    return df.withColumn(target, F.when(~blank(own), own.cast("string")).otherwise(old.cast("string")))
+
+
+def _compared(pairs: DataFrame, d: Definition, watermark: Column | None) -> DataFrame:
+    """A plan's columns for pairs (l__row, l_payload, r__row, r_payload; a side that is not there is null) by what changes either way and who wins."""
     l, r = F.col("l__row"), F.col("r__row")  # noqa: E741
-    push = field_changes({f: F.col("l_payload")[f] for f in to_remote}, {f: r[f] for f in to_remote}, rename={m.remote: m.local for m in d.mapped("push")})
-    pull = field_changes({f: F.col("r_payload")[f] for f in to_local}, {f: l[f] for f in to_local})
+    to_remote, to_local = (list(dict(pairs.select(f"{c}.*").dtypes)) for c in ("l_payload", "r_payload"))
+    theirs, ours = pairs.select("r__row.*").columns, pairs.select("l__row.*").columns
+    push = field_changes({f: F.col("l_payload")[f] for f in to_remote if f in theirs}, {f: r[f] for f in to_remote if f in theirs}, rename={m.remote: m.local for m in d.mapped("push")})
+    pull = field_changes({f: F.col("r_payload")[f] for f in to_local if f in ours}, {f: l[f] for f in to_local if f in ours})
     stamp_l = effective_modified(l[d.local_modified], l[d.local_creation]) if d.local_creation else effective_modified(l[d.local_modified], F.lit(None))
     stamp_r = effective_modified(r[d.remote_modified], r[d.remote_creation], d.remote_zone, d.local_zone)
     out = pairs.withColumns({"push": push, "pull": pull, "outcome": resolve_conflict(stamp_l, stamp_r, watermark, d.buffer_ms, d.policy, d.tie_breaker)})
-    alone_l, alone_r = F.col("r_token").isNull(), F.col("l_token").isNull()
+    alone_l, alone_r = r.isNull(), l.isNull()
     same = (F.size("push") == 0) & (F.size("pull") == 0)
     to_remote_wins = F.col("outcome").startswith("local")
     conflict = F.col("outcome").isin("manual", "unsupported")
     action = F.when(alone_l | alone_r, F.lit("created" if d.create_new else "skipped")).when(same, "skipped").when(conflict, "conflict").when((to_remote_wins & (F.size("push") == 0)) | (~to_remote_wins & (F.size("pull") == 0)), "skipped").otherwise("updated" if d.update_existing else "skipped")
     way = F.when(alone_l, "push").when(alone_r, "pull").when(same | conflict, F.lit(None)).when(to_remote_wins, "push").otherwise("pull")
     none = F.lit(None).cast("string")
-    changes = F.when(alone_l | alone_r | same, F.array().cast("array<struct<field: string, old: string, new: string>>")).when(F.col("outcome").startswith("remote"), F.col("pull")).otherwise(F.col("push"))
+    changes = F.when(alone_l | alone_r | same, F.array().cast(CHANGES)).when(F.col("outcome").startswith("remote"), F.col("pull")).otherwise(F.col("push"))
     # A conflict carries what either choice would write.
     choices = F.to_json(F.struct(F.col("r_payload").alias("to_local"), F.col("l_payload").alias("to_remote")), {"ignoreNullFields": "false"})
     payload = F.when(conflict & ~same & ~alone_l & ~alone_r, choices).when(way == "push", F.to_json("l_payload", {"ignoreNullFields": "false"})).when(way == "pull", F.to_json("r_payload", {"ignoreNullFields": "false"}))
-    out = out.withColumns({"action": action, "status": F.when(action == "conflict", "conflict").otherwise("success"), "message": F.when(alone_l | alone_r | same, none).otherwise(F.col("outcome")), "match_kind": F.when(alone_l | alone_r, "none").otherwise("key"), "changes": changes, "payload": payload, "write_direction": way, "local_before": none, "remote_before": none})
-    return _planned(out, d, F.col("token"))
+    return out.withColumns({"action": action, "status": F.when(action == "conflict", "conflict").otherwise("success"), "message": F.when(alone_l | alone_r | same, none).otherwise(F.col("outcome")), "changes": changes, "payload": payload, "write_direction": way, "local_before": none, "remote_before": none})
+
+
+def both_ways_plan(local: DataFrame, remote: DataFrame, d: Definition, watermark: Column | None = None) -> DataFrame:
+    """Pairs of one key, compared in both directions; a side alone is created on the other, a difference goes to the side that wins."""
+    left, right = _sides(local, remote, d)
+    left = left.select(F.col("key").alias("token"), "_row", "payload", *[F.col("_row")[c].alias(f"_o{i}") for i, c in enumerate(d.local_order)])
+    right = right.select(F.col("key").alias("token"), "_row", "payload", *[F.col("_row")[c].alias(f"_o{i}") for i, c in enumerate(d.remote_order)])
+    pairs = pair_by_token(left, right, [f"_o{i}" for i in range(len(d.local_order))], [f"_o{i}" for i in range(len(d.remote_order))])
+    out = _compared(pairs, d, watermark)
+    return _planned(out.withColumn("match_kind", F.when(F.col("l_token").isNull() | F.col("r_token").isNull(), "none").otherwise("key")), d, F.col("token"))
+
+
+def identity_plan(local: DataFrame, remote: DataFrame, d: Definition, watermark: Column | None = None, full: bool = True) -> DataFrame:
+    """The both-way plan by stored ids: conflicts, pairs, deletes (of a full read, if the definition has them) and creates, as one table.
+
+    Ids that rows claim twice or contradict each other on are conflicts, and every row that touches such an id stays out. A pair
+    is compared in both directions, its links included. A row whose link leads nowhere is deleted or left alone, never created
+    anew; one without a link is created on the other side, and its payload carries the link. Links of one id are enough for a pair.
+    record_key is the JSON of the local and the remote id.
+    """
+    i = d.identity
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    l_ids = local.select(text(i.local_pk).alias("pk"), text(i.local_remote_id).alias("rid"))
+    r_ids = remote.select(text(i.remote_id).alias("rid"), text(i.remote_link).alias("link"))
+    pairs, conflicts, poisoned = map(checkpoint, identity_pairs(l_ids, r_ids))  # each is asked several times
+    left, right = _sides(local, remote, d)
+    left = prefixed(left.withColumns({"pk": F.nullif(F.trim(F.col("_row")[i.local_pk].cast("string")), F.lit("")), "rid": F.nullif(F.trim(F.col("_row")[i.local_remote_id].cast("string")), F.lit(""))}), "l_")
+    right = prefixed(right.withColumns({"rid": F.nullif(F.trim(F.col("_row")[i.remote_id].cast("string")), F.lit("")), "link": F.nullif(F.trim(F.col("_row")[i.remote_link].cast("string")), F.lit(""))}), "r_")
+    bad = {k: poisoned.where(F.col("kind") == k).select(F.col("value").alias(f"_{k}")) for k in ("local", "remote")}
+    clean = lambda df, ours, theirs: df.join(bad["local"], F.col(ours) == F.col("_local"), "left_anti").join(bad["remote"], F.col(theirs) == F.col("_remote"), "left_anti")
+    met = pairs.join(left, F.col("pk") == F.col("l_pk")).join(right, F.col("rid") == F.col("r_rid"))
+    paired = pairs.select("pk").withColumn("_p", F.lit(True)), pairs.select("rid").withColumn("_p", F.lit(True))
+    alone_l = clean(left, "l_pk", "l_rid").join(paired[0], F.col("l_pk") == F.col("pk"), "left_anti")
+    alone_r = clean(right, "r_link", "r_rid").join(paired[1], F.col("r_rid") == F.col("rid"), "left_anti")
+    rows = met.select(*left.columns, *right.columns).withColumn("match_kind", F.lit("id"))
+    rows = rows.unionByName(alone_l.where("l_rid is null").withColumn("match_kind", F.lit("none")), allowMissingColumns=True)
+    rows = rows.unionByName(alone_r.where("r_link is null").withColumn("match_kind", F.lit("none")), allowMissingColumns=True)
+    ids = lambda pk, rid: F.to_json(F.struct(F.col(pk).alias("local"), F.col(rid).alias("remote")))
+    out = _planned(_compared(rows, d, watermark), d, ids("l_pk", "r_rid"))
+    none = F.lit(None).cast("string")
+    plain = {"match_kind": F.lit("none"), "changes": F.array().cast(CHANGES), "payload": none, "local_before": none, "remote_before": none}
+    told = conflicts.withColumns({"action": F.lit("conflict"), "status": F.lit("conflict"), "write_direction": none, **plain})
+    out = out.unionByName(_planned(told, d, ids("pk", "rid")))
+    if d.delete_missing and full:
+        gone = alone_l.where("l_pk is not null and l_rid is not null").select(F.col("l_pk").alias("pk"), F.col("l_rid").alias("rid"), F.lit("pull").alias("write_direction"))
+        gone = gone.unionByName(alone_r.where("r_rid is not null and r_link is not null").select(F.col("r_link").alias("pk"), F.col("r_rid").alias("rid"), F.lit("push").alias("write_direction")))
+        gone = gone.withColumns({"action": F.lit("deleted"), "status": F.lit("success"), "message": F.lit("missing on the other side"), **plain})
+        out = out.unionByName(_planned(gone, d, ids("pk", "rid")))
+    return out
 
 
 def apply_row_rule(df: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -127,12 +195,31 @@ def apply_row_rule(df: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> Dat
     return out.withColumns({"action": F.when((F.col("action") == "skipped") & F.col("changed"), "updated").otherwise(F.col("action")), "message": F.coalesce("note", "message")}).drop("changed", "note")
 
 
-def apply_resolutions(items: DataFrame, choices: DataFrame) -> DataFrame:
-    """Open conflicts with a reviewer's choice (record_key, choice = push or pull): updated, with the chosen payload."""
-    picked = choices.where(F.col("choice").isin("push", "pull")).groupBy("record_key").agg(F.max("choice").alias("choice"))
+def refusals(items: DataFrame, choices: DataFrame, dry_run: bool = False, update_existing: bool = True) -> DataFrame:
+    """(record_key, fault): choices (record_key, choice) that cannot be applied to a run's items, and why."""
+    found = choices.join(items.groupBy("record_key").agg(F.max("action").alias("_action"), F.count("*").alias("_items")), "record_key", "left")
+    fault = (
+        F.when(F.lit(dry_run), "the run was dry")
+        .when(F.lit(not update_existing), "updating is off")
+        .when(F.col("record_key").isNull(), "the item has no key")
+        .when(F.col("_action").isNull(), "there is no such item")
+        .when(F.col("_action") != "conflict", "the item is no open conflict")
+        .when(F.col("choice").isNull() | ~F.col("choice").isin("push", "pull"), "no direction is chosen")
+    )
+    again = choices.groupBy("record_key").agg(F.countDistinct("choice").alias("_n")).where("_n > 1").select("record_key", F.lit("both directions are chosen").alias("fault"))
+    return found.select("record_key", fault.alias("fault")).where("fault is not null").unionByName(again).distinct()
+
+
+def apply_resolutions(items: DataFrame, choices: DataFrame, dry_run: bool = False, update_existing: bool = True) -> DataFrame:
+    """Open conflicts of a real run with a reviewer's choice (record_key, choice = push or pull): updated, with the chosen payload.
+
+    Choices that refusals() names are left out.
+    """
+    fine = choices.join(refusals(items, choices, dry_run, update_existing).select("record_key").distinct(), "record_key", "left_anti")
+    picked = fine.where("record_key is not null").select("record_key", "choice").distinct()
     out = items.where("action = 'conflict'").join(picked, "record_key")
     chosen = F.when(F.col("choice") == "push", F.get_json_object("payload", "$.to_remote")).otherwise(F.get_json_object("payload", "$.to_local"))
     return out.withColumns({"payload": chosen, "write_direction": F.col("choice"), "action": F.lit("updated"), "status": F.lit("success")}).select(items.columns)
 
 
-__all__ = ["apply_resolutions", "apply_row_rule", "both_ways_plan", "deletions", "one_way_plan", "resolve_conflict"]
+__all__ = ["apply_resolutions", "apply_row_rule", "both_ways_plan", "deletions", "identity_plan", "one_way_plan", "refusals", "resolve_conflict"]

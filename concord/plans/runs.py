@@ -29,11 +29,17 @@ def warning_count(plan: DataFrame, warnings: str = "warnings") -> DataFrame:
 
 
 def preview(plan: DataFrame, limit: int) -> DataFrame:
-    """The most telling items: errors, then conflicts, writes and skips, by key."""
-    rank = F.when(F.col("status") == "error", 0).when(F.col("status") == "conflict", 1).when(F.col("action") == "skipped", 3).otherwise(2)
+    """The most telling items: errors, then conflicts, what warns (if the plan has warns or warnings), writes and skips, by key."""
+    warns = F.col("warns") if "warns" in plan.columns else F.size("warnings") > 0 if "warnings" in plan.columns else F.lit(False)
+    rank = F.when(F.col("action") == "error", 0).when(F.col("action") == "conflict", 1).when(warns, 2).when(F.col("action") == "skipped", 4).otherwise(3)
     return plan.withColumn("priority", rank).orderBy("priority", F.col("record_key").asc_nulls_first()).limit(limit)
 
 
+def sample(source: DataFrame, limit: int) -> DataFrame:
+    """The first rows of a source, as it reads them."""
+    return source.limit(limit)
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.where("finished_at is not null").groupBy("definition").agg(F.max("finished_at").alias("finished_at"))
 
@@ -71,3 +77,15 @@ def overdue(definitions: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
 def watermarks(runs: DataFrame) -> DataFrame:
     """Of each definition the start of its last run that succeeded and was no dry run."""
     return runs.where("status = 'Success' and not dry_run").groupBy("definition").agg(F.max_by("started_at", F.struct("started_at", "run")).alias("watermark"))
+
+
+def audit(plan: DataFrame, run: str, started_at: Column) -> DataFrame:
+    """A row for each decision of a plan, as an append to the items of all runs."""
+    kept = [c for c in ("definition", "direction", "write_direction", "action", "status", "message", "record_key", "change_count", "changed_fields", "changes", "payload", "local_before", "remote_before") if c in plan.columns]
+    return plan.select(F.lit(run).alias("run"), started_at.alias("started_at"), *kept)
+
+
+def finished(counts: DataFrame, definition: str, run: str, started_at: Column, finished_at: Column, dry_run: bool = False) -> DataFrame:
+    """The run's own row: appended last, when all else is written, it alone moves the watermark, and only on success of a run that was not dry."""
+    s = summary(counts)
+    return s.select(F.lit(run).alias("run"), F.lit(definition).alias("definition"), F.col("run_status").alias("status"), "summary", started_at.alias("started_at"), finished_at.alias("finished_at"), F.lit(dry_run).alias("dry_run"), "processed", *ACTIONS)

@@ -6,8 +6,7 @@ arithmetic, and LOCAL_SQL and REMOTE_SQL say the same in SQL.
 
 from __future__ import annotations
 
-import datetime as dt
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 from .functions import scalars as fn
 from .operators import apply, mapping, matching, predicates
 from .operators.diff import field_changes
+from .operators.shared import shared_folder
 from .plans import decide, runs, state
-from .plans.spec import Definition, Fallback, FieldMap
+from .plans.spec import Definition, Fallback, FieldMap, Identity
 from .sources import tables
 from .streaming import micro
 
@@ -89,26 +89,35 @@ def query(sql: str | None = None):
 
 # values
 
-FORMS = ["001.2300", "1e3", "-0.0", "+7", ".5", "5.", "-00.10", "100", "NaN", "abc", " 12 ", "123456789012345678901234567890123456789012", "2026-03-17T12:00:00+02:00", "2026-03-17 12:00", ""]
-NUMBERS = ["1.23", "1000", "0", "7", "0.5", "5", "-0.1", "100", None, None, "12", "123456789012345678901234567890123456789012", None, None, None]
-KEYS = [*[f"number:{n}" if n else None for n in NUMBERS]]
-KEYS[8], KEYS[9], KEYS[12], KEYS[13], KEYS[14] = "text:NaN", "text:abc", "datetime:2026-03-17T10:00:00.000000+00:00", "datetime:2026-03-17T12:00:00.000000", ""
-_quoted = lambda v: "NULL" if v is None else "'" + v + "'"
-_forms = lambda out, name: f"SELECT n_nationkey::BIGINT AS nation, v AS form, o AS {name} FROM nation, (VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in zip(FORMS, out)) + ") f(v, o)"
+#: How an order's key is written, as Spark and DuckDB say it, and its number in DuckDB.
+FORMS = [
+    ("padded", "lpad(k, 12, '0')", "lpad(k, 12, '0')", "k"),
+    ("signed", "concat('+', k, '.00')", "'+' || k || '.00'", "k"),
+    ("spaced", "concat(' -', k, '.50\t')", "' -' || k || '.50' || chr(9)", "'-' || k || '.5'"),
+    ("tiny", "concat(k, 'e-20')", "k || 'e-20'", "'0.' || repeat('0', 20 - length(k)) || rtrim(k, '0')"),
+    ("huge", "concat(k, '.0E+25')", "k || '.0E+25'", "k || repeat('0', 25)"),
+    ("double", "cast(cast(concat('1e', 20 + n % 3) as double) as string)", "'1.0E' || (20 + n % 3)", "'1' || repeat('0', (20 + n % 3)::INT)"),
+    ("word", "concat('x', k)", "'x' || k", "NULL"),
+    ("stamp", "concat('2026-03-17T12:00:0', n % 10, '+02:00')", "'2026-03-17T12:00:0' || (n % 10) || '+02:00'", "NULL"),
+    ("blank", "' '", "' '", "NULL"),
+]
+_forms_sql = "WITH o AS (SELECT o_orderkey + 1 AS n, (o_orderkey + 1)::VARCHAR AS k FROM orders), f AS (" + " UNION ALL ".join(f"SELECT n, '{kind}' AS kind, {form} AS form, {number} AS number FROM o" for kind, _, form, number in FORMS) + ")"
 
 
 def _with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.explode(F.array(*map(F.lit, FORMS))).alias("form"))
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("n"), (F.col("o_orderkey") + 1).cast("string").alias("k"))
+    forms = F.array(*[F.struct(F.lit(kind).alias("kind"), F.expr(form).alias("form")) for kind, form, _, _ in FORMS])
+    return o.select("n", F.explode(forms).alias("f")).select("n", "f.*")
 
 
-@query(_forms(NUMBERS, "number"))
+@query(f"{_forms_sql} SELECT n, kind, form, number FROM f")
 def norm_number_forms(spark, sf_dir):
     return _with_forms(spark, sf_dir).withColumn("number", fn.norm_number(F.col("form")))
 
 
-@query(_forms(KEYS, "key"))
+@query(f"{_forms_sql} SELECT n, kind, CASE kind WHEN 'word' THEN 'text:' || form WHEN 'stamp' THEN 'datetime:2026-03-17T10:00:0' || (n % 10) || '.000000+00:00' WHEN 'blank' THEN '' ELSE 'number:' || number END AS key FROM f")
 def norm_key_forms(spark, sf_dir):
-    return _with_forms(spark, sf_dir).withColumn("key", fn.norm_key(F.col("form")))
+    return _with_forms(spark, sf_dir).select("n", "kind", fn.norm_key(F.col("form")).alias("key"))
 
 
 @query("SELECT o_orderkey, 'number:' || (o_orderkey * 2) AS key, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS stamp, o_orderdate >= TIMESTAMP '1996-01-01' AS changed FROM orders")
@@ -350,6 +359,11 @@ def pull_plan_without_updates(spark, sf_dir):
     return decide.one_way_plan(*sides(spark, sf_dir), definition("pull", update_existing=False)).select("record_key", "action")
 
 
+@query(f"{_push_sql()} SELECT CASE WHEN code <> '' THEN 'number:' || k END AS record_key, action FROM q UNION ALL SELECT 'number:' || id, 'deleted' FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE code <> '' AND l.n = r.id)")
+def push_plan_with_deletes(spark, sf_dir):
+    return decide.one_way_plan(*sides(spark, sf_dir), definition("push", delete_missing=True)).select("record_key", "action")
+
+
 WATERMARK = "2026-03-10 00:00:00"
 _L_CH, _R_CH = f"l.modified >= TIMESTAMP '{WATERMARK}'", f"rl.updated_at >= TIMESTAMP '{WATERMARK}'"
 _APART = "abs(date_diff('microsecond', rl.updated_at, l.modified))"
@@ -397,6 +411,38 @@ def apply_resolution(spark, sf_dir):
     return out.select("record_key", "write_direction", "action", F.coalesce(F.get_json_object("payload", "$.state"), F.get_json_object("payload", "$.segment")).alias("written"))
 
 
+def _identity_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The two sides with the links of _identities; of a remote row that comes twice the last."""
+    local, remote = sides(spark, sf_dir)
+    n, k = F.col("n"), F.col("id")
+    local = local.withColumn("partner_nr", F.when(n % 23 == 0, (n - 1).cast("string")).when(n % 3 == 0, n.cast("string")).otherwise(""))
+    link = F.when(k % 31 == 0, F.concat(F.lit("C-"), (k + 1).cast("string"))).when(k % 2 == 0, F.concat(F.lit("C-"), k.cast("string"))).otherwise("")
+    return local, matching.last_per_key(remote, ["id"], ["updated_at"]).withColumn("link", link)
+
+
+_LINKED = LOCAL_SQL.replace("l AS (", "bl AS (", 1) + ", " + REMOTE_SQL.replace("\nr AS (", "\nbr AS (").replace("FROM r GROUP", "FROM br GROUP")
+_IDENTITY_PLAN = f"""{IDENTITY_SQL}, {_LINKED}, ok AS (SELECT DISTINCT pk, rid FROM found WHERE pk NOT IN (SELECT value FROM poison WHERE kind = 'local') AND rid NOT IN (SELECT value FROM poison WHERE kind = 'remote')),
+  lc AS (SELECT pk, rid FROM l WHERE pk NOT IN (SELECT value FROM poison WHERE kind = 'local') AND (rid IS NULL OR rid NOT IN (SELECT value FROM poison WHERE kind = 'remote')) AND pk NOT IN (SELECT pk FROM ok)),
+  rc AS (SELECT rid, link FROM r WHERE rid NOT IN (SELECT value FROM poison WHERE kind = 'remote') AND (link IS NULL OR link NOT IN (SELECT value FROM poison WHERE kind = 'local')) AND rid NOT IN (SELECT rid FROM ok)),
+  d AS (SELECT ok.pk, ok.rid, {_OUTCOME} AS outcome, {_STATE_CHANGED}::INT + {_BAL_CHANGED}::INT + (i.link IS DISTINCT FROM ok.pk)::INT AS np, {_SEG_CHANGED}::INT + {_BAL_CHANGED}::INT + (j.rid IS DISTINCT FROM ok.rid)::INT AS nq
+    FROM ok JOIN bl l ON l.name = ok.pk JOIN rl ON rl.id::VARCHAR = ok.rid JOIN r i ON i.rid = ok.rid JOIN l j ON j.pk = ok.pk),
+  q AS (SELECT pk, rid, CASE WHEN np = 0 AND nq = 0 THEN 'skipped' WHEN outcome = 'manual' THEN 'conflict' WHEN outcome LIKE 'local%' THEN CASE WHEN np = 0 THEN 'skipped' ELSE 'updated' END WHEN nq = 0 THEN 'skipped' ELSE 'updated' END AS action,
+      CASE WHEN (np = 0 AND nq = 0) OR outcome = 'manual' THEN NULL WHEN outcome LIKE 'local%' THEN 'push' ELSE 'pull' END AS way, CASE WHEN np = 0 AND nq = 0 THEN 0 WHEN outcome LIKE 'remote%' THEN nq ELSE np END AS n FROM d
+    UNION ALL SELECT pk, rid, 'conflict', NULL, 0 FROM (SELECT * FROM f1 UNION SELECT 'pair', pk, rid, message FROM bad)
+    UNION ALL SELECT pk, NULL, 'created', 'push', 0 FROM lc WHERE rid IS NULL UNION ALL SELECT NULL, rid, 'created', 'pull', 0 FROM rc WHERE link IS NULL
+    UNION ALL SELECT pk, rid, 'deleted', 'pull', 0 FROM lc WHERE rid IS NOT NULL UNION ALL SELECT link, rid, 'deleted', 'push', 0 FROM rc WHERE link IS NOT NULL)"""
+
+
+@query(f"{_IDENTITY_PLAN} SELECT pk, rid, action, way AS write_direction, n AS change_count FROM q")
+def identity_plan(spark, sf_dir):
+    d = Definition(
+        name="customers", direction="both", mapping=(FieldMap("segment", "state"), FieldMap("bal", "balance")), identity=Identity("name", "partner_nr", "id", "link"), value_map={"segment": PAIRS}, delete_missing=True,
+        local_modified="modified", local_creation="creation", remote_modified="updated_at", remote_creation="created_at",
+    )
+    plan = decide.identity_plan(*_identity_sides(spark, sf_dir), d, F.lit(WATERMARK).cast("timestamp_ntz"))
+    return plan.select(F.get_json_object("record_key", "$.local").alias("pk"), F.get_json_object("record_key", "$.remote").alias("rid"), "action", "write_direction", "change_count")
+
+
 @query(f"{_push_sql()} SELECT count(*) AS processed, count(*) FILTER (action <> 'error') AS success, count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'updated') AS updated, 0::BIGINT AS deleted, count(*) FILTER (action = 'skipped') AS skipped, 0::BIGINT AS conflict, count(*) FILTER (action = 'error') AS error FROM q")
 def run_counters(spark, sf_dir):
     return runs.counters(decide.one_way_plan(*sides(spark, sf_dir), definition("push")))
@@ -407,10 +453,9 @@ def run_status(spark, sf_dir):
     return runs.summary(runs.counters(decide.one_way_plan(*sides(spark, sf_dir), definition("push")))).select("run_status", "summary")
 
 
-@query(f"{_push_sql()} SELECT CASE WHEN code <> '' THEN 'number:' || k END AS record_key, action, CASE action WHEN 'error' THEN 0 WHEN 'skipped' THEN 3 ELSE 2 END AS priority FROM q WHERE action <> 'error' ORDER BY priority, record_key NULLS FIRST LIMIT 20")
+@query(f"{_push_sql()} SELECT CASE WHEN code <> '' THEN 'number:' || k END AS record_key, action, CASE action WHEN 'error' THEN 0 WHEN 'skipped' THEN 4 ELSE 3 END AS priority FROM q ORDER BY priority, record_key NULLS FIRST LIMIT 40")
 def preview_top_k(spark, sf_dir):
-    plan = decide.one_way_plan(*sides(spark, sf_dir), definition("push")).where("action <> 'error'")
-    return runs.preview(plan, 20).select("record_key", "action", "priority")
+    return runs.preview(decide.one_way_plan(*sides(spark, sf_dir), definition("push")), 40).select("record_key", "action", "priority")
 
 
 @query(f"{BOTH_SQL} SELECT n, coalesce(CASE WHEN code <> '' THEN 'code=' || code END, name) AS shown, CASE WHEN length(repeat(name, 30)) > 140 THEN substr(repeat(name, 30), 1, 137) || '...' ELSE repeat(name, 30) END AS fitted FROM l")
@@ -594,6 +639,38 @@ def alias_documents(spark, sf_dir):
     return state.alias_documents(news, known).select("record_key", F.array_join("alias_documents", ",").alias("documents"))
 
 
+def _absorbing(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders of which one in twenty absorbs the next one, and some of those are claimed twice."""
+    known, news = _versions(spark, sf_dir)
+    near = lambda d: F.array(F.concat(F.lit("number:"), (F.col("k") + d).cast("string")))
+    aliases = F.when(F.col("k") % 20 == 0, near(1)).when(F.col("k") % 100 == 19, near(2)).otherwise(F.array().cast("array<string>"))
+    return known, news.where("k % 20 <> 1").withColumns({"aliases": aliases, "warnings": F.when(F.col("k") % 50 == 3, F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>"))})
+
+
+_JOB_SQL = """WITH o AS (SELECT o_orderkey AS k FROM orders), known AS (SELECT k FROM o WHERE k % 11 <> 0), news AS (SELECT k FROM o WHERE k % 13 <> 0 AND k % 20 <> 1),
+  a AS (SELECT k, k + 1 AS x FROM news WHERE k % 20 = 0 UNION ALL SELECT k, k + 2 FROM news WHERE k % 100 = 19), twice AS (SELECT x FROM a GROUP BY 1 HAVING count(DISTINCT k) > 1),
+  n AS (SELECT news.k, (news.k IN (FROM known))::INT AS old, coalesce((SELECT count(*) FROM a WHERE a.k = news.k AND a.x IN (FROM known)), 0) AS extra, news.k IN (SELECT k FROM a WHERE x IN (FROM twice)) AS bad, news.k IN (SELECT k FROM a) AS takes FROM news),
+  d AS (SELECT *, CASE WHEN bad THEN 'error' WHEN k % 7 = 0 THEN CASE WHEN old + extra > 0 THEN 'reverse' ELSE 'skip' END WHEN old + extra = 0 THEN 'create' WHEN old = 1 AND k % 5 <> 0 THEN 'skip' ELSE 'replace' END AS action FROM n),
+  s AS (SELECT *, CASE action WHEN 'create' THEN 1 WHEN 'replace' THEN 1 WHEN 'reverse' THEN 0 ELSE old + extra END AS docs FROM d WHERE action <> 'error'),
+  own AS (SELECT k, old + (old = 0 OR k % 5 = 0 OR action IN ('create', 'replace') OR docs <> old)::INT AS revision, docs AS n_documents, NULL::BIGINT AS alias_of FROM s),
+  moved AS (SELECT a.x AS k, (a.x IN (FROM known))::INT + 1 AS revision, 0 AS n_documents, a.k AS alias_of FROM a WHERE a.k NOT IN (SELECT k FROM d WHERE bad)),
+  lost AS (SELECT k FROM known WHERE k NOT IN (FROM news) AND k NOT IN (SELECT k FROM moved))"""
+
+
+@query(f"{_JOB_SQL}, every AS (SELECT * FROM own UNION ALL SELECT * FROM moved), rest AS (SELECT * FROM every UNION ALL SELECT k, 1, 1, NULL FROM known WHERE k NOT IN (SELECT k FROM every)) SELECT 'number:' || k AS record_key, revision, n_documents, 'number:' || alias_of AS alias_of FROM rest")
+def state_job(spark, sf_dir):
+    """The state after a whole run."""
+    known, news = _absorbing(spark, sf_dir)
+    return state.job("orders", news, known).state.select("record_key", "revision", F.size("documents").alias("n_documents"), "alias_of")
+
+
+@query(f"{_JOB_SQL} SELECT 'number:' || k AS record_key, CASE action WHEN 'create' THEN 'created' WHEN 'skip' THEN 'skipped' WHEN 'error' THEN 'error' ELSE 'updated' END AS action, CASE WHEN bad THEN 'alias is claimed twice' ELSE action END || CASE WHEN k % 50 = 3 THEN ' | odd' ELSE '' END AS message FROM d WHERE NOT (action = 'skip' AND old = 1 AND extra = 0 AND k % 5 <> 0 AND NOT takes) OR k % 50 = 3 UNION ALL SELECT 'number:' || k, 'error', 'missing in the source' FROM lost")
+def state_job_items(spark, sf_dir):
+    """What a whole run logs."""
+    known, news = _absorbing(spark, sf_dir)
+    return state.job("orders", news, known).items.select("record_key", "action", "message")
+
+
 # runs
 
 
@@ -654,8 +731,7 @@ def watermark(spark, sf_dir):
 def stream_pull_equals_batch(spark, sf_dir):
     """Three files arrive one by one and are merged by user; the latest event of each stays, late rows lose."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("stamp"), "ts", "value")
-    shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{shared}/stream-{dt.datetime.now():%Y%m%d%H%M%S%f}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events.repartition(3, "event_id").write.parquet(f"{at}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     merged = micro.VersionedTable(spark, f"{at}/table", events.schema)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import scalars as fn
 
-NUMBERS = [("001.2300", "1.23"), ("1e3", "1000"), ("-0.0", "0"), ("+7", "7"), (".5", "0.5"), ("5.", "5"), ("-00.10", "-0.1"), ("000", "0"), ("100", "100"), ("NaN", None), ("Infinity", None), ("abc", None), ("", None), (None, None), ("\t 001.2300 \n", "1.23"), ("1" * 42, "1" * 42), ("0." + "1" * 30, "0." + "1" * 30), ("-1e-5", "-0.00001")]
+NUMBERS = [("001.2300", "1.23"), ("1e3", "1000"), ("-0.0", "0"), ("+7", "7"), (".5", "0.5"), ("5.", "5"), ("-00.10", "-0.1"), ("000", "0"), ("100", "100"), ("NaN", None), ("Infinity", None), ("abc", None), ("", None), (None, None), ("\t 001.2300 \n", "1.23"), ("1" * 42, "1" * 42), ("0." + "1" * 30, "0." + "1" * 30), ("-1e-5", "-0.00001"), ("1e-20", "0." + "0" * 19 + "1"), ("1e25", "1" + "0" * 25), ("-12.50e+3", "-12500"), ("0e99", "0"), ("-0E-5", "0"), ("1.25e1", "12.5"), ("00120e-1", "12"), (".5e2", "50"), ("1e400", "1" + "0" * 400), ("120e99999", "12e100000"), ("1e9999999999999999999", None), (".", None), ("e5", None), ("1e", None)]
 
 
 def one(spark, column):
@@ -15,6 +15,22 @@ def test_numbers(spark):
     assert {r.i: r.n for r in rows} == {i: b for i, (_, b) in enumerate(NUMBERS)}
 
 
+def test_doubles(spark):
+    rows = [(1e20, "1" + "0" * 20), (1e-19, "0." + "0" * 18 + "1"), (-1.5e22, "-15" + "0" * 21), (0.1, "0.1"), (float("nan"), None), (float("inf"), None)]
+    df = spark.createDataFrame(rows, "v double, want string").withColumn("got", fn.norm_number(F.col("v")))
+    assert [r.got for r in df.collect()] == [r.want for r in df.collect()]
+
+
+def test_comparable_forms(spark):
+    assert [one(spark, fn.norm_comparable(F.lit(x))) for x in ("1.0", "x", " 2 ")] == ["n:1", "s:x", "n:2"]
+
+
+def test_sides_of_a_row(spark):
+    df = spark.createDataFrame([("push", "L", "R"), ("pull", "L", "R")], "way string, l string, r string")
+    source, target = fn.source_and_target(F.col("way"), F.col("l"), F.col("r"))
+    assert [tuple(x) for x in df.select(source, target).collect()] == [("L", "R"), ("R", "L")]
+
+
 def test_keys_of_different_types_are_equal(spark):
     for v, kind in ((F.lit("1"), "string"), (F.lit(1), "int"), (F.lit(True), "boolean"), (F.lit("001"), "string"), (F.lit(1.0).cast("decimal(5,2)"), "decimal(5,2)")):
         assert one(spark, fn.norm_key(v, kind)) == "number:1"
