@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD_WORDS, checkpoint
+from ..operators.shared import checkpoint
+from .common import FOLD_WORDS
 
 #: Test strings in one search table; a larger benchmark is searched in several tables, one after the other.
 TABLE_WINDOWS = 200_000

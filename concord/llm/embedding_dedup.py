@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_hot
-from .common import checkpoint, connected_components, group_starts, local_components, whole_groups
+from ..operators.shared import checkpoint
+from .common import connected_components, group_starts, local_components, whole_groups
 
 #: A label of n vectors has about 1 + sqrt(n) / PIVOTS pivots.
 PIVOTS = 4

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_hot
-from .common import FOLD, FOLDED, U64, checkpoint, connected_components, group_starts, in_blocks, local_components, slices, whole_groups, window_hashes, word_hashes, word_spans
+from ..operators.shared import checkpoint
+from .common import FOLD, FOLDED, U64, connected_components, group_starts, in_blocks, local_components, slices, whole_groups, window_hashes, word_hashes, word_spans
 
 BAND = 5  # values (bytes) of a band
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18  # of one of the two chunks of a block

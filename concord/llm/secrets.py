@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_hot
-from .common import checkpoint, shared_folder
+from ..operators.shared import checkpoint, shared_folder
 
 
 @dataclass(frozen=True)

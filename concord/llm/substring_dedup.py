@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, U64, checkpoint, mix, slices, sliding_min, window_hashes, word_hashes, word_spans
+from ..operators.shared import checkpoint
+from .common import SPACED, U64, mix, slices, sliding_min, window_hashes, word_hashes, word_spans
 
 #: One document in so many tells which windows are frequent: those that SEEN of them hold, the FREQUENT most frequent ones at most.
 #: Windows around a frequent one are first compared within so many parts of the documents.
