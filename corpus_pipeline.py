@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import shared_folder
 from concord.llm.decontaminate import contamination
 from concord.llm.language_id import held_out, language_id, learn
 from concord.llm.ngram_jaccard import ngram_jaccard
 from concord.llm.pack import pack
 from concord.llm.secrets import Ledger, address, findings, look, with_findings
+from concord.operators.shared import shared_folder
 
 #: SQL for run()'s rows: SQL has neither the compressor nor the tokenizer.
 ORACLE_SQL = None
