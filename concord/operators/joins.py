@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 HOT_KEYS, HOT_ROWS = 2000, 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], member: list[Column], n: str = "n", how: str = "inner") -> DataFrame:
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """(on, _parts): the most frequent keys of counts (on, n) and how many parts they are dealt to; HOT_KEYS rows at most."""
+    parts = F.least(F.ceil(F.col(n) / HOT_ROWS), F.lit(HOT_KEYS)).cast("int").alias("_parts")
+    return counts.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), *on).limit(HOT_KEYS).select(*on, parts)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], member: list[Column], n: str = "n", how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has one row for each key and in n how many rows of left have it.
 
     The most frequent keys, HOT_KEYS at most, are dealt by a hash of member to as many parts as they have HOT_ROWS rows
     (HOT_KEYS at most), and right's row is sent to each part: no task gets all of a hot key's rows. Only the names of these keys
-    are broadcast. how may be inner or left; rows of left with a null key, which join with nothing, are dealt likewise.
+    are broadcast; hot gives them if they are known. how may be inner or left; rows of left with a null key, which join with
+    nothing, are dealt likewise.
     """
-    parts = F.least(F.ceil(F.col(n) / HOT_ROWS), F.lit(HOT_KEYS)).cast("int")
-    hot = F.broadcast(right.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), *on).limit(HOT_KEYS).select(*on, parts.alias("_parts")))
+    hot = F.broadcast(hot if hot is not None else hot_keys(right, on, n))
     null = F.lit(False)
     for k in on:
         null = null | F.col(k).isNull()
