@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_hot
+from ..operators.joins import hot_keys, join_hot
 from ..operators.shared import checkpoint
 
 U64 = np.uint64
@@ -213,21 +213,29 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of edges (a, b): component is the least node that it reaches.
+    """(node, component) for each node of edges (a, b) that is not its component's least: component is the least node that it reaches.
 
     Alternating large-star and small-star rounds; each is two grouped minima and joins on the node, and is kept in the
-    checkpoint folder. The links of a node that has very many are dealt to several tasks. Nodes with no edge to another do
-    not appear. Nulls must be filtered by the caller.
+    checkpoint folder. A round begins with the nodes that have very many links, if there are any: these links are dealt to
+    several tasks. Nodes with no edge to another do not appear. Nulls must be filtered by the caller.
     """
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    spark, seen = edges.sparkSession, None
+
+    def met(left: DataFrame, right: DataFrame, key: str, member: str, hot: list) -> DataFrame:
+        if not hot:
+            return left.join(right, key)
+        known = spark.createDataFrame(hot, f"{key} {dict(left.dtypes)[key]}, _parts int")
+        return join_hot(left, right, [key], [F.col(member)], hot=known)
+
     while True:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
-        large = join_hot(both, least, ["x"], [F.col("y")]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_hot(large, root, ["u"], [F.col("v")]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = checkpoint(small)
+        hot = [tuple(r) for r in hot_keys(both.groupBy("x").agg(F.count("*").alias("n")), ["x"]).collect()]  # HOT_KEYS at most
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = met(both, least, "x", "y", hot).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
+        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        e = checkpoint(met(large, root, "u", "v", hot).select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct())
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -335,3 +335,37 @@ def test_words_of_arrow_slices():
             for a, b, i in zip(s, e, row):
                 got[lo + i].append(bytes(data[a:b]).decode())
         assert got == [(t.as_py() or "").split() for t in own]
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars whose hub is the least or the largest node, a chain and a ring, with links dealt to many tasks and not."""
+    from concord.llm.common import connected_components
+    from concord.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    edges = [(0, k) for k in range(1, 200)] + [(999, k) for k in range(300, 500)] + [(k, k + 1) for k in range(600, 640)] + [(k, 700 + (k - 699) % 30) for k in range(700, 730)] + [(5, 5), (999, 300)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {k: 0 for k in range(200)} | {k: 300 for k in [*range(300, 500), 999]} | {k: 600 for k in range(600, 641)} | {k: 700 for k in range(700, 730)}
+    want = {k: v for k, v in want.items() if k != v}
+    assert got == want
+    named = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "a string, b string")
+    assert {r.node: r.component for r in connected_components(named).collect()} == {f"n{k:03}": f"n{v:03}" for k, v in want.items()}
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """No partition of a join gets all rows of a hot key, and none of the rows is lost."""
+    from concord.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    left = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 4 == 1, F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"), "id")
+    right = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = joins.join_hot(left, right, ["k"], [F.col("id")], how="left").withColumn("at", F.spark_partition_id())
+        most = out.groupBy("at").count().agg(F.max("count"), F.sum("count")).first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert most[1] == 4000 and most[0] < 1600  # of 4 partitions
+    assert {(r.k, r.n) for r in out.where("k = 'hot' or k is null").select("k", "n").distinct().collect()} == {("hot", 2000), (None, None)}
