@@ -8,6 +8,8 @@ no padding and are tried besides.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -73,7 +75,8 @@ class Encoder:
     A unit is what white space leaves, cut further where letters meet ASCII digits or signs, if it has no apostrophe and
     nothing beyond ASCII but the letters of Latin-1: the tokenizer's own pattern never crosses these places. Units are
     cut and hashed for a whole slice at once; new runs of letters go to the tokenizer as one text, whose ids
-    fall apart at the tokens that end a word.
+    fall apart at the tokens that end a word. A text that holds one of the tokenizer's added tokens, which rank before all
+    that, goes to the tokenizer whole.
     """
 
     def __init__(self, spec: str, end_id: int):
@@ -81,6 +84,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
+        marks = [re.escape(t["content"].encode()) for t in json.loads(spec).get("added_tokens") or []]
+        self.marks = re.compile(b"|".join(marks), re.IGNORECASE) if marks else None
         words = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(words.values()) + 1, bool)
         self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -153,8 +158,20 @@ class Encoder:
             upto = np.append(0, np.cumsum(length))
             ids = flat[np.repeat(at[which] - upto[:-1], length) + np.arange(upto[-1])]
             edge = np.searchsorted(row, np.arange(len(offsets)))
-            for lo, hi in zip(edge, edge[1:]):
-                yield ids[upto[lo] : upto[hi]].tobytes() + self.end, upto[lo + 1 : hi + 1][sentence[lo:hi]] - upto[lo]
+            raw = data.tobytes() if self.marks else b""
+            marked = set(np.searchsorted(offsets, [m.start() for m in self.marks.finditer(raw)], "right") - 1) if self.marks else set()
+            for k, (lo, hi) in enumerate(zip(edge, edge[1:])):
+                if k in marked:
+                    yield self._plain(raw[offsets[k] : offsets[k + 1]].decode()) + self.end, np.zeros(0, np.int64)
+                else:
+                    yield ids[upto[lo] : upto[hi]].tobytes() + self.end, upto[lo + 1 : hi + 1][sentence[lo:hi]] - upto[lo]
+
+    def _plain(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
 
 
 def _packed(shared, end_id: int, size: int):
@@ -220,7 +237,7 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int = 2, size: int = 4096
     when a lost task runs again.
 
     A null or empty text is its end mark alone; a text is never cut short. Rows that repeat a doc_id are documents of
-    their own, and a null doc_id stays null. An empty table gives an empty one.
+    their own, and a null doc_id stays null; doc_id is an integer. An empty table gives an empty one.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")

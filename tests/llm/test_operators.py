@@ -253,10 +253,9 @@ def test_packing(spark):
     at = public_tokenizers.path("word_bpe_49k.json")
     r = random.Random(3)
     signs = "aAzZéÉßÞþ×÷'.,!?-09 \n\t\r\x0b\x1c\x00  —…ñİσςΣ́漢字😀"
-    rows = [(i, "".join(r.choice(signs) for _ in range(r.randint(0, 80)))) for i in range(400)] + [(1000, None), (1001, ""), (1002, "word " * 9000), (1003, "<|endoftext|> it's don't"), (None, "x"), (7, "again")]
+    rows = [(i, "".join(r.choice(signs) for _ in range(r.randint(0, 80)))) for i in range(400)] + [(1000, None), (1001, ""), (1002, "word " * 9000), (1003, "<|endoftext|> it's don't"), (1004, "a <|endoftext|> b<|startoftext|>c"), (1005, "<|ENDOFTEXT|> x <|endoftext|"), (None, "x"), (7, "again")]
     got = pack.pack(spark.createDataFrame(rows, "doc_id long, text string"), at, size=64).collect()
     tokenizer = Tokenizer.from_file(at)
-    tokenizer.encode_special_tokens = True
     want = sorted(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in rows)
     made, run = [], b""
     for x in got:
@@ -265,6 +264,10 @@ def test_packing(spark):
         if len(run) == 4 * x.doc_tokens:
             made, run = [*made, run], b""
     assert sorted(made) == want and not run
+    clashing = odd_docs(spark).withColumns({c: F.lit("clash") for c in ("length", "offset", "sequence_id", "ids")})
+    odd = pack.pack(clashing, at, size=64).groupBy("doc_id").agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("s")).collect()
+    assert {x.doc_id: x.n for x in odd if x.doc_id in (1, 2, 4)} == {1: 1, 2: 1, 4: 4} and len(odd) == 7
+    assert pack.pack(clashing.limit(0), at).count() == 0
     by = {}
     for x in got:
         by.setdefault(x.sequence_id, []).append((x.offset, x.length))
