@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Keys that are dealt to several tasks at most, and rows from which on a key is. Beyond the HOT_KEYS most frequent
 #: ones no key has more than a HOT_KEYS-th of all rows.
 HOT_KEYS, HOT_ROWS = 2000, 1000
+#: Short rows that are broadcast at most.
+FEW_ROWS = 100_000
 
 
 def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame:
@@ -34,6 +36,13 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], member: list[Colu
     return left.join(right, [*on, "_part"], how).drop("_part")
 
 
+def join_kept(left: DataFrame, right: DataFrame, on: list[str], member: list[Column], n: str = "n", how: str = "inner") -> DataFrame:
+    """join_hot with a right of short rows that is kept, so that it can be counted: it is broadcast if it has FEW_ROWS at most."""
+    if right.count() <= FEW_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    return join_hot(left, right, on, member, n, how)
+
+
 def dealt_key(df: DataFrame, key: str) -> Column:
     """A text key for an outer join that keeps df: rows without one get one of HOT_KEYS texts that no other side has, so that they do not all meet in a shuffle's null."""
     columns = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
