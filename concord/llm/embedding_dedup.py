@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_hot
+from ..operators.joins import join_hot, join_kept
 from ..operators.shared import checkpoint
 from .common import connected_components, group_starts, local_components, whole_groups
 
-#: A label of n vectors has about 1 + sqrt(n) / PIVOTS pivots.
-PIVOTS = 4
+#: A label of n vectors has about 2 + sqrt(n) / PIVOTS pivots.
+PIVOTS = 8
 #: Vectors that meet a copy of their label's pivots at a time; rows of a block of home vectors, and of its cell's vectors.
 DEAL_ROWS, HOME_ROWS, CELL_ROWS = 4096, 1024, 4096
 
@@ -113,14 +113,14 @@ def name_of(*parts: Column) -> Column:
 def cells(classes: DataFrame, cosine: float) -> DataFrame:
     """(cid, family, n, embedding, cell, home): classes (cid, family, n, embedding, h) in the cells of their family, and as visitors.
 
-    Pivots are those of a family whose h, a hash of 30 bits, is least: about 1 + sqrt(its size) / PIVOTS of them, one at least.
+    Pivots are those of a family whose h, a hash of 30 bits, is least or largest, and about sqrt(its size) / PIVOTS more, those of small h.
     """
     wide = 1 << 30
-    sizes = classes.groupBy("family").agg(F.count("*").alias("rows"), F.min("h").alias("least"))
-    own = join_hot(classes, sizes, ["family"], [F.col("cid")], n="rows")
+    sizes = classes.groupBy("family").agg(F.count("*").alias("rows"), F.min("h").alias("least"), F.max("h").alias("most"))
+    own = join_kept(classes, checkpoint(sizes), ["family"], [F.col("cid")], n="rows")
     deals = F.ceil(F.col("rows") / DEAL_ROWS).cast("int")
-    drawn = (1 + F.sqrt("rows") / PIVOTS) / F.col("rows") * wide
-    pivots = own.where((F.col("h") == F.col("least")) | (F.col("h") < drawn)).withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).withColumn("is_pivot", F.lit(True))
+    drawn = F.sqrt("rows") / PIVOTS / F.col("rows") * wide
+    pivots = own.where(F.col("h").isin(F.col("least"), F.col("most")) | (F.col("h") < drawn)).withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).withColumn("is_pivot", F.lit(True))
     dealt = own.withColumn("deal", F.pmod(F.xxhash64("cid", F.lit("deal")), deals.cast("long")).cast("int")).withColumn("is_pivot", F.lit(False))
     names = ["cid", "family", "n", "embedding", "deal", "is_pivot"]
     both = pivots.select(names).unionByName(dealt.select(names)).repartition("family", "deal").sortWithinPartitions("family", "deal", F.desc("is_pivot"))
@@ -151,7 +151,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     placed = cells(classes.select("cid", "family", "n", "embedding", "h"), cosine)
     # Home vectors of a cell are dealt to blocks and its vectors to parts; each block meets each part once.
     sizes = placed.groupBy("family", "cell").agg(F.ceil(F.count_if("home") / HOME_ROWS).cast("int").alias("blocks"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"), F.count("*").alias("rows"))
-    dealt = join_hot(placed, sizes, ["family", "cell"], [F.col("cid")], n="rows").where("blocks > 0").withColumn("deal", F.xxhash64("cid", F.lit("cell")))
+    dealt = join_kept(placed, checkpoint(sizes), ["family", "cell"], [F.col("cid")], n="rows").where("blocks > 0").withColumn("deal", F.xxhash64("cid", F.lit("cell")))
     dealt = dealt.withColumns({"own_block": F.when(F.col("home"), F.pmod("deal", F.col("blocks").cast("long")).cast("int")), "own_part": F.pmod(F.xxhash64("deal"), F.col("parts").cast("long")).cast("int")})
     as_cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.col("own_part").alias("part"), F.coalesce(F.col("own_block") == b, F.lit(False)).alias("is_home"), F.lit(True).alias("is_cell")))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own_part"))

@@ -84,8 +84,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        marks = [re.escape(t["content"].encode()) for t in json.loads(spec).get("added_tokens") or []]
-        self.marks = re.compile(b"|".join(marks), re.IGNORECASE) if marks else None
+        self.marks = [t["content"].encode().lower() for t in json.loads(spec).get("added_tokens") or []]
         words = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(words.values()) + 1, bool)
         self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -158,11 +157,12 @@ class Encoder:
             upto = np.append(0, np.cumsum(length))
             ids = flat[np.repeat(at[which] - upto[:-1], length) + np.arange(upto[-1])]
             edge = np.searchsorted(row, np.arange(len(offsets)))
-            raw = data.tobytes() if self.marks else b""
-            marked = set(np.searchsorted(offsets, [m.start() for m in self.marks.finditer(raw)], "right") - 1) if self.marks else set()
+            folded = low.tobytes()
+            at = [m.start() for mark in self.marks if mark in folded for m in re.finditer(re.escape(mark), folded)]
+            marked = set((np.searchsorted(offsets, at, "right") - 1).tolist())
             for k, (lo, hi) in enumerate(zip(edge, edge[1:])):
                 if k in marked:
-                    yield self._plain(raw[offsets[k] : offsets[k + 1]].decode()) + self.end, np.zeros(0, np.int64)
+                    yield self._plain(data[offsets[k] : offsets[k + 1]].tobytes().decode()) + self.end, np.zeros(0, np.int64)
                 else:
                     yield ids[upto[lo] : upto[hi]].tobytes() + self.end, upto[lo + 1 : hi + 1][sentence[lo:hi]] - upto[lo]
 
