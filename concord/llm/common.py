@@ -10,13 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import hot_keys, join_hot
 from ..operators.shared import checkpoint
 
 U64 = np.uint64
+#: Rows of an Arrow batch that carries whole texts; bounds what a Python worker holds.
+TEXT_ROWS = "256"
 #: Bytes of text that are taken apart at a time (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 20
 
@@ -39,6 +41,11 @@ FOLD[0x41:0x5B] += 0x20
 FOLD_WORDS = bytes(int(FOLD[b]) if FOLDED[FOLD[b]] else 0x20 for b in range(256))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows in this session from now on, as rows may hold whole texts. Queries and pipeline stages ask for it; operators leave the session as it is."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+
+
 # words
 
 

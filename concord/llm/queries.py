@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, pack, secrets, substring_dedup, token_counts, url_filter
+from .common import small_batches
+
+
+def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return asked
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {
+    found = {
         "op1_language_id": language_id.op1_language_id,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_license_scan": license_scan.op3_license_scan,
@@ -23,8 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_pack": pack.op9_pack,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
-        "pipeline": corpus_pipeline.run,
     }
+    return {name: _in_small_batches(f) for name, f in found.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
