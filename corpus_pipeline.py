@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.llm.common import small_batches
 from concord.llm.decontaminate import contamination
 from concord.llm.language_id import held_out, language_id, learn
 from concord.llm.ngram_jaccard import ngram_jaccard
@@ -17,12 +18,15 @@ from concord.operators.shared import shared_folder
 #: SQL for run()'s rows: SQL has neither the compressor nor the tokenizer.
 ORACLE_SQL = None
 
+#: The session's setting that the stages change (see small_batches); run puts it back.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: What stands for a secret in a text.
 REMOVED = "[secret]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; a rejected one goes, as does one whose text is null or has no letter. Repeated rows stay or go together."""
+    small_batches(spark)
     dictionaries = learn(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return language_id(docs, dictionaries).where(~F.col("rejected")).select(docs.columns)
 
@@ -32,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat a doc_id stay or go together; one whose doc_id is null stays.
     """
+    small_batches(spark)
     heads = ngram_jaccard(docs, threshold=0.8, n=5).where("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(heads, "doc_id", "left_semi").select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
@@ -39,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test string of the benchmark. Null and empty texts hold none; repeated rows stay or go together."""
+    small_batches(spark)
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")).select(docs.columns)
 
 
@@ -68,6 +74,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 tokens. A null text is an empty one; repeated rows are packed each; no documents give no pieces."""
+    small_batches(spark)
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
@@ -79,7 +86,11 @@ STAGES = [("language_id", language), ("ngram_jaccard", near_duplicates), ("decon
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, over all documents; what each returns is kept in the shared folder spark.checkpoint.dir. Columns beyond those of documents come along until they are packed."""
     at, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
+    before = spark.conf.get(BATCH)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+            docs = spark.read.parquet(f"{at}/{name}")
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
