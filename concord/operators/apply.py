@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import blank
 from .matching import last_per_key
 
-SYSTEM_COLUMNS = ("owner", "creation", "modified", "modified_by", "docstatus", "idx")
+#: Columns that the storage keeps by itself.
+SYSTEM_COLUMNS = ("name", "owner", "creation", "modified", "modified_by", "docstatus", "idx", "_user_tags", "_comments", "_assign", "_liked_by")
 
 
 def gate(payload: DataFrame, target: DataFrame, keys: list[str], system: tuple[str, ...] = SYSTEM_COLUMNS) -> DataFrame:
@@ -41,6 +42,13 @@ def merge_sql(table: str, staged: str, keys: list[str], columns: list[str]) -> s
     return f"MERGE INTO {table} t USING {staged} s ON {on} WHEN MATCHED THEN UPDATE SET {', '.join(f'{c} = s.{c}' for c in rest)} WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({', '.join(f's.{c}' for c in columns)})"
 
 
+def with_modified(target: DataFrame, written: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """target after a write, with the mapped stamp of written rows put over what the storage has set; of rows with one key the latest stamp."""
+    stamps = written.dropna(subset=keys).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(column).alias("_stamp"))
+    out = target.join(stamps, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
+    return out.withColumn(column, F.coalesce("_stamp", column)).select(target.columns)
+
+
 def faulty_keys(payload: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that cannot be addressed, as some key is blank."""
     bad = F.lit(False)

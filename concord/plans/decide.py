@@ -197,17 +197,18 @@ def apply_row_rule(df: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> Dat
 
 def refusals(items: DataFrame, choices: DataFrame, dry_run: bool = False, update_existing: bool = True) -> DataFrame:
     """(record_key, fault): choices (record_key, choice) that cannot be applied to a run's items, and why."""
-    found = choices.join(items.groupBy("record_key").agg(F.max("action").alias("_action"), F.count("*").alias("_items")), "record_key", "left")
+    chosen = choices.groupBy("record_key").agg(F.max("choice").alias("choice"), F.countDistinct("choice").alias("_n"))
+    found = chosen.join(items.groupBy("record_key").agg(F.max("action").alias("_action")), "record_key", "left")
     fault = (
         F.when(F.lit(dry_run), "the run was dry")
         .when(F.lit(not update_existing), "updating is off")
         .when(F.col("record_key").isNull(), "the item has no key")
         .when(F.col("_action").isNull(), "there is no such item")
         .when(F.col("_action") != "conflict", "the item is no open conflict")
+        .when(F.col("_n") > 1, "both directions are chosen")
         .when(F.col("choice").isNull() | ~F.col("choice").isin("push", "pull"), "no direction is chosen")
     )
-    again = choices.groupBy("record_key").agg(F.countDistinct("choice").alias("_n")).where("_n > 1").select("record_key", F.lit("both directions are chosen").alias("fault"))
-    return found.select("record_key", fault.alias("fault")).where("fault is not null").unionByName(again).distinct()
+    return found.select("record_key", fault.alias("fault")).where("fault is not null")
 
 
 def apply_resolutions(items: DataFrame, choices: DataFrame, dry_run: bool = False, update_existing: bool = True) -> DataFrame:
@@ -215,7 +216,7 @@ def apply_resolutions(items: DataFrame, choices: DataFrame, dry_run: bool = Fals
 
     Choices that refusals() names are left out.
     """
-    fine = choices.join(refusals(items, choices, dry_run, update_existing).select("record_key").distinct(), "record_key", "left_anti")
+    fine = choices.join(refusals(items, choices, dry_run, update_existing).select("record_key"), "record_key", "left_anti")
     picked = fine.where("record_key is not null").select("record_key", "choice").distinct()
     out = items.where("action = 'conflict'").join(picked, "record_key")
     chosen = F.when(F.col("choice") == "push", F.get_json_object("payload", "$.to_remote")).otherwise(F.get_json_object("payload", "$.to_local"))

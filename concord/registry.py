@@ -734,11 +734,26 @@ def stream_pull_equals_batch(spark, sf_dir):
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events.repartition(3, "event_id").write.parquet(f"{at}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    merged = micro.VersionedTable(spark, f"{at}/table", events.schema)
+    merged = micro.VersionedTable(spark, f"{at}/table", events.schema, lambda df: F.col("user_id"))
     micro.pull_stream(stream, merged, ["user_id"], "stamp", f"{at}/progress").awaitTermination()
     return merged.read().select("user_id", "event_id", "ts", "value")
 
 
+@query("SELECT c_custkey, c_mktsegment AS segment, (CASE WHEN c_custkey % 3 = 0 THEN c_acctbal::DECIMAL(15,2) + 5 ELSE c_acctbal::DECIMAL(15,2) END)::DECIMAL(15,2) AS bal FROM customer")
+def stream_pull_plan(spark, sf_dir):
+    """Remote customers arrive in three files, one in three with a new balance; two in five are new to the local table. Each batch's pull plan is applied."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("decimal(15,2)").alias("bal"))
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    remote = c.select(F.concat(F.lit("00"), F.col("c_custkey").cast("string")).alias("id"), F.col("segment").alias("state"), F.when(F.col("c_custkey") % 3 == 0, F.col("bal") + 5).otherwise(F.col("bal")).cast("decimal(15,2)").alias("balance"))
+    remote.repartition(3, "id").write.parquet(f"{at}/in")
+    d = Definition("customers", "pull", (FieldMap("c_custkey", "id"), FieldMap("segment", "state"), FieldMap("bal", "balance")), ("c_custkey",))
+    local = micro.VersionedTable(spark, f"{at}/table", c.schema, micro.keyed_by(["c_custkey"]))
+    local.write(c.where("c_custkey % 5 < 3"), -1)
+    stream = spark.readStream.schema(remote.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    micro.pull_plan_stream(stream, local, d, f"{at}/progress").awaitTermination()
+    return local.read()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -49,6 +50,25 @@ def query_source(spark: SparkSession, text: str, parameters: dict, views: dict[s
     return spark.sql(text, args=parameters, **views) if views else spark.sql(text, args=parameters)
 
 
+def columns_of(source: DataFrame) -> DataFrame:
+    """(column, type) of a table or query, from its schema alone: no row is read."""
+    return source.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in source.schema.fields], "column string, type string")
+
+
+def jdbc_columns(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
+    """columns_of a query that a database answers with no row."""
+    return columns_of(jdbc_query(spark, url, f"SELECT * FROM ({query}) q WHERE 1 = 0", **options))
+
+
+def catalog_tables(spark: SparkSession, schema: str, contains: str) -> dict[str, DataFrame]:
+    """Tables of a schema of the session's catalog (its name in any case) whose name contains a text, in any case."""
+    names = [d.name for d in spark.catalog.listDatabases() if d.name.lower() == schema.lower()]
+    found = {f"{n}.{t.name}": spark.table(f"`{n}`.`{t.name}`") for n in names for t in spark.catalog.listTables(n) if contains.lower() in t.name.lower()}
+    if not found:
+        raise SourceError(f"no table of {schema} has {contains} in its name")
+    return found
+
+
 def union_tables(tables: dict[str, DataFrame], contains: str) -> DataFrame:
     """All tables whose name contains a text, in any case, as one; table says which."""
     hits = [df.withColumn("table", F.lit(n)) for n, df in sorted(tables.items()) if contains.lower() in n.lower()]
@@ -57,6 +77,25 @@ def union_tables(tables: dict[str, DataFrame], contains: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), hits)
 
 
+def transformed(source: DataFrame, rule: Callable[[DataFrame], DataFrame], required: list[str]) -> DataFrame:
+    """What a user's rule makes of the rows of a source; it must have the columns required."""
+    out = rule(source)
+    if lack := [c for c in required if c not in out.columns]:
+        raise SourceError(f"the rule's rows lack {', '.join(lack)}")
+    return out
+
+
+def tracked(lookups: dict[str, DataFrame]) -> dict[str, dict]:
+    """What tells whether tables that user code looks into have changed: a digest of each."""
+    return {name: digest(df).first().asDict() for name, df in lookups.items()}
+
+
+def changed_lookups(before: dict[str, dict], lookups: dict[str, DataFrame]) -> list[str]:
+    """Tables that have changed since tracked() looked; a run that used them is to be planned anew."""
+    now = tracked(lookups)
+    return sorted(n for n in before.keys() | now.keys() if before.get(n) != now.get(n))
+
+
 def increment(df: DataFrame, modified: str, creation: str | None, watermark: Column | None, assumed: str | None = None, target: str | None = None) -> DataFrame:
     """Rows whose effective stamp is at the watermark or later. The plain comparison before the exact test reaches the storage."""
     if watermark is None:
@@ -83,7 +122,7 @@ def digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xored"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 31))), F.lit(0)).alias("summed"))
 
 
-def snapshot(read: Callable[[], DataFrame], folder: str, tries: int = 3) -> tuple[DataFrame, dict]:
+def snapshot(read: Callable[[], DataFrame], folder: str, origin: dict[str, str] | None = None, tries: int = 3) -> tuple[DataFrame, dict]:
     """The source as staged files whose digest a second read of it confirms; it is read again if it has moved."""
     for _ in range(tries):
         path = f"{folder}/{uuid.uuid4().hex}"
@@ -92,12 +131,19 @@ def snapshot(read: Callable[[], DataFrame], folder: str, tries: int = 3) -> tupl
         staged = source.sparkSession.read.parquet(path)
         mark = digest(staged).first().asDict()
         if digest(read().select(staged.columns)).first().asDict() == mark:
-            return staged, {"path": path, **mark}
+            return staged, {"path": path, **mark, **(origin or {})}
     raise SourceError("the source keeps changing while it is read")
 
 
-def reusable(spark: SparkSession, manifest: dict | None, wanted: dict) -> DataFrame | None:
-    """A snapshot that an earlier run left, if what it was made from is the same and its files are whole."""
+def made_from(definition: str, connection: str, query: str) -> dict[str, str]:
+    """What a snapshot's manifest says about its origin; only hashes are kept, as a connection may hold secrets."""
+    return {k: hashlib.sha256(v.encode()).hexdigest() for k, v in (("definition", definition), ("connection", connection), ("query", query))}
+
+
+def reusable(spark: SparkSession, manifest: dict | None, wanted: dict[str, str]) -> DataFrame | None:
+    """A snapshot that an earlier run left, if it was made from the same definition, connection and query (see made_from) and its files are whole."""
+    if lack := {"definition", "connection", "query"} - wanted.keys():
+        raise SourceError(f"a snapshot is asked for without its {', '.join(sorted(lack))}")
     if not manifest or any(manifest.get(k) != v for k, v in wanted.items()):
         return None
     staged = spark.read.parquet(manifest["path"])
