@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 
 UNKNOWN = "und"
-#: Bytes of a language's dictionary, and of what one labelled text gives to it: the sample that is learned from is
-#: bounded by these and by MAX_LANGUAGES.
-DICTIONARY_BYTES, PIECE_BYTES, MAX_LANGUAGES = 1 << 16, 1 << 11, 256
+#: Bytes of a language's dictionary, of what one labelled text gives to it, and of all dictionaries together: the sample that is
+#: learned from is bounded by these. With very many languages each has a smaller dictionary, of one piece at least.
+DICTIONARY_BYTES, PIECE_BYTES, ALL_BYTES = 1 << 16, 1 << 11, 1 << 24
 LEVEL = 5
 #: Folded bytes that are compressed at a time, each time from the dictionary alone: what a dictionary saves is bounded, so
 #: that over one long run its share, and with it the score, would fall with the text's length.
@@ -32,23 +32,26 @@ def learn(labelled: DataFrame, by: str = "doc_id") -> dict[str, bytes]:
     """A dictionary for each lang of labelled (lang, text and the column named by), most frequent language first.
 
     Of each language pieces of PIECE_BYTES characters at most are taken, from texts in order of a hash, until they give
-    DICTIONARY_BYTES. Rows of null lang or text are left out.
+    DICTIONARY_BYTES, or its part of ALL_BYTES if that is less. Rows of null lang or text are left out, and no rows give no dictionary.
+    More languages than ALL_BYTES has pieces are an error, as then lang is no language.
     """
     rows = labelled.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = ALL_BYTES // PIECE_BYTES
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
     if not counts:
         return {}
-    want = 16 * DICTIONARY_BYTES // PIECE_BYTES  # so many as short texts give less than a piece
+    size = min(DICTIONARY_BYTES, ALL_BYTES // len(counts))
+    want = 16 * size // PIECE_BYTES  # so many as short texts give less than a piece
     order = F.xxhash64(F.col(by).cast("string"), "text")
-    part = F.try_element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, want / n))]), F.col("lang"))
-    drawn = rows.where(F.pmod(order, F.lit(1 << 20)) < part * (1 << 20)).select("lang", order.alias("h"), F.substring("text", 1, PIECE_BYTES).alias("piece")).distinct()
+    known = F.broadcast(labelled.sparkSession.createDataFrame([(k, min(1.0, want / n)) for k, n in counts.items()], "lang string, share double"))  # a row for each language
+    drawn = rows.join(known, "lang").where(F.pmod(order, F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", order.alias("h"), F.substring("text", 1, PIECE_BYTES).alias("piece")).distinct()
     pieces = {k: bytearray() for k in counts}
     for r in drawn.orderBy("h", "lang", "piece").limit(4 * want * len(counts)).collect():
-        if len(pieces[r.lang]) < DICTIONARY_BYTES and (p := folded(r.piece)):
+        if len(pieces[r.lang]) < size and (p := folded(r.piece)):
             pieces[r.lang] += p + b" "
-    return {k: bytes(p[:DICTIONARY_BYTES]) for k, p in pieces.items() if p}
+    return {k: bytes(p[:size]) for k, p in pieces.items() if p}
 
 
 def predicted(text: Column, dictionaries: dict[str, bytes]) -> Column:

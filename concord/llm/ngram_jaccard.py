@@ -238,7 +238,7 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance
     links reach, set_id the smallest one with the same set.
 
     A null text, or one without a word, links with nothing (n_shingles 0). Rows that repeat a doc_id count as documents
-    of their own. A row whose doc_id is null takes no part: class_id and set_id null, n_links 0. An empty table gives an
+    of their own; doc_id is an integer. A row whose doc_id is null takes no part: class_id and set_id null, n_links 0. An empty table gives an
     empty one. A link is missed with a probability of about miss + tolerance; what is reported is exact.
     """
     width = BAND * bands_for(threshold, miss)

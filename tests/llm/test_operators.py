@@ -44,6 +44,8 @@ def test_language(spark):
     odd = {r.doc_id: r for r in language_id.language_id(odd_docs(spark), known).collect()}
     assert odd[1].lang_pred == odd[2].lang_pred == odd[5].lang_pred == "und" and odd[5].rejected and odd[3].lang_pred in known
     assert language_id.learn(docs.limit(0)) == {}
+    many = language_id.learn(spark.range(1200).select("id", F.concat(F.lit("l"), (F.col("id") % 600).cast("string")).alias("lang"), F.repeat(F.lit("word "), 9000).alias("text")), by="id")
+    assert len(many) == 600 and max(map(len, many.values())) <= language_id.ALL_BYTES // 600
     assert language_id.language_id(docs.limit(3), {}).where("lang_pred <> 'und'").count() == 0
 
 
@@ -59,6 +61,36 @@ def test_language_of_long_texts(spark):
     assert all(got[i + 2].score > 0.8 * got[i + 1].score for i in (0, 3))
 
 
+def brute_language(text, dictionaries):
+    """The language whose dictionary makes all chunks of the text smallest together, read plainly from the rule."""
+    import zstandard
+
+    if not text or not any(c.isalpha() for c in text) or not dictionaries:
+        return "und", 0.0
+    data = b" ".join(bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()).split())
+    size = {}
+    for name, content in dictionaries.items():
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=language_id.LEVEL)
+        z = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        size[name] = sum(len(z.compress(data[i : i + language_id.CHUNK_BYTES])) for i in range(0, len(data), language_id.CHUNK_BYTES))
+    best = min(size, key=size.get)  # of equal ones the first, which is the most frequent
+    return best, 1 - size[best] / min([v for k, v in size.items() if k != best], default=2 * size[best])
+
+
+def test_language_by_brute_force(spark):
+    r = random.Random(31)
+    words = {"aa": ["ka", "ko", "kinu", "kala"], "bb": ["tre", "stro", "bran", "drom"], "cc": ["ka", "stro", "émi", "ou"]}
+    rows = [(i, " ".join(r.choice(words[k]) + r.choice(words[k]) for _ in range(r.randint(1, 80))), k) for i, k in enumerate(r.choice("aa bb cc".split()) for _ in range(150))]
+    rows += [(900, " ".join(r.choice(words["aa"]) for _ in range(40_000)), "aa"), (901, "12 34", None), (902, None, "bb"), (903, "", None), (904, "KA ko! Kinu", None), (905, "x", None), (905, "x", None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for known in (language_id.learn(docs.where("doc_id < 150")), {"one": b"x", "two": b"x"}, {"one": b"x"}):
+        got = sorted((x.doc_id, x.lang_pred, round(x.score, 12), x.rejected) for x in language_id.language_id(docs.withColumn("score", F.lit("clash")), known).collect())
+        want = sorted((i, lang, round(score, 12), lang == "und" or score < language_id.MARGIN) for i, t, _ in rows for lang, score in [brute_language(t, known)])
+        assert got == want
+    assert language_id.language_id(docs.limit(0), {"one": b"x"}).count() == 0
+
+
 def base_spans(text):
     key = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
     out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(key, text) if len(m[1]) >= 8]
@@ -86,6 +118,40 @@ def test_secrets(spark, tmp_path):
     assert secrets.scan(docs.limit(0), secrets.Ledger(spark)).count() == 0
 
 
+def test_only_unseen_blobs_are_scanned(spark, tmp_path, monkeypatch):
+    """The second run scans what the first has not seen, each blob once, whether hashes are broadcast or not."""
+    versions = [("a", 1, "token = abcdefgh1"), ("b", 1, "plain"), ("a", 2, "token = abcdefgh2"), ("c", 1, "token = abcdefgh1"), ("c", 2, None), ("d", 1, "")]
+    df = spark.createDataFrame(versions, "path string, version int, text string")
+    for few in (200_000, 0):
+        monkeypatch.setattr(secrets, "FEW_BLOBS", few)
+        monkeypatch.setattr(secrets, "FEW_SPANS", few)
+        ledger = secrets.Ledger(spark, str(tmp_path / f"ledger-{few}"))
+        secrets.scan(df.where("version = 1"), ledger)
+        assert ledger.read().count() == 3  # two texts and the empty one
+        got = secrets.scan(df, ledger)
+        assert ledger.read().count() == 4
+        assert sorted((r.path, r.version, len(r.spans)) for r in got.collect()) == [("a", 1, 1), ("a", 2, 1), ("b", 1, 0), ("c", 1, 1), ("c", 2, 0), ("d", 1, 0)]
+
+
+def test_many_secrets_of_one_text(spark):
+    text = " ".join(f"token=abcdefgh{i:06}" for i in range(5000))
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), secrets.Ledger(spark)).first().spans
+    assert [tuple(s) for s in got] == base_spans(text) and len(got) == 5000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_the_query_goes_through_its_ledger(spark, monkeypatch):
+    """Of the query's two runs the second scans only what the first has not."""
+    made = []
+    monkeypatch.setattr(secrets, "Ledger", lambda s, own=secrets.Ledger: made.append(own(s)) or made[-1])
+    looked = []
+    monkeypatch.setattr(secrets, "look", lambda *a, own=secrets.look: (own(*a), looked.append(made[0].read().count()))[0])
+    out = secrets.op2_secret_scan(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert len(looked) == 2 and 0 < looked[0] < looked[1] == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert out.count() == docs.count()
+
+
 @pytest.fixture(scope="module")
 def licences(spark):
     """A model whose unknown class is learnt from documents that hold no notice."""
@@ -341,6 +407,22 @@ def test_token_counts(spark):
     assert out[1] == out[2] == (0, 0) and out[4] == (1, 1) and out[3] == out[6] and out[3][0] >= 30_000
 
 
+def test_token_counts_of_whole_texts(spark):
+    """Against greedy longest match of every word of each text, on a real vocabulary and on an odd one."""
+    import regex
+
+    r = random.Random(21)
+    signs = ["the", "ing", "un", " ", "  ", "\n", "'s", "don't", "é", "漢字", "😀", "0123", "-", "...", "zq", "\u0301", "ß"]
+    rows = [(i, "".join(r.choice(signs) for _ in range(r.randint(0, 60)))) for i in range(200)] + [(900, None), (901, ""), (902, " ".join(signs) * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_words": F.lit("clash"), "n_tokens": F.lit("clash")})
+    odd = sorted({b"the", b"thing", b"in", b"ing", b" t", b" the", b"'s", "é".encode(), "é".encode()[:1] + b"x", b"012", b"23"})
+    for vocabulary in (token_counts.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")), odd):
+        known = set(vocabulary)
+        want = {i: (len(w), sum(greedy(x.encode(), known) for x in w)) for i, t in rows for w in [regex.findall(public_tokenizers.PATTERN, t or "")]}
+        assert {x.doc_id: (x.n_words, x.n_tokens) for x in token_counts.token_counts(docs, vocabulary, public_tokenizers.PATTERN).collect()} == want
+    assert token_counts.token_counts(docs.limit(0), odd, public_tokenizers.PATTERN).count() == 0
+
+
 def test_urls(spark):
     urls = ["http://A.Example.NET/en/x", "https://example.net/de/", "http://net/", "http://anet/", "http://www.example.com/de/1?x", "http://example.com/en", "http://x.org/fr/", "http://org?fr/", None, "no scheme", "http://b.c/xy", "://b.c/x"]
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("c", "/xy", "block"), (None, "/", "block")]
@@ -352,6 +434,10 @@ def test_urls(spark):
         path, host = re.split("[?#]", rest[len(host) :])[0], host.lower()
         fits = [(len(h + p), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert got[i] == (host, path, *(max(fits)[1:] if fits else (None, "allow")))
+    many = spark.createDataFrame([(0, ".".join(["a"] * 20_000) + ".net"), (1, "x://" + "y." * 20_000 + "example.com/de/" + "z" * 100_000), (1, "x://" + "y." * 20_000 + "example.com/de/" + "z" * 100_000)], "page_id long, url string")
+    long = url_filter.url_verdicts(many, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in long) == [(0, None, "allow"), (1, "example.com/de/", "block"), (1, "example.com/de/", "block")]
+    assert url_filter.url_verdicts(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
     empty = spark.createDataFrame([], "host string, path string, verdict string")
     assert url_filter.url_verdicts(pages, empty).where("verdict <> 'allow' or rule is not null").count() == 0
 
