@@ -34,7 +34,7 @@ VOCABULARY = 20_000
 #: window's n-grams that the template must hold, as few words prove little in other company.
 CONFIRMED, SHORT = 0.6, 6
 #: Share of held-out paragraphs of the unknown class that may exceed the probability.
-FALSE_RATE = 0.05
+FALSE_RATE = 0.1
 #: A sampled piece is of the unknown class only if it holds a smaller share of every template than this.
 APART = 0.3
 #: Words of a piece at most, and words that a window holds at most between its first and its last piece (more than the longest template has).
@@ -68,7 +68,7 @@ WORDINGS = {
     "cc-by": ["This text is available under CC BY 4.0.", "Available under the Creative Commons Attribution 4.0 licence.", "Shared under a Creative Commons Attribution International License.", "License: CC BY 4.0."],
     "cc-by-nc": ["This text is available under CC BY-NC 4.0.", "Available under the Creative Commons Attribution-NonCommercial 4.0 licence.", "Shared under a Creative Commons Attribution-NonCommercial International License.", "License: CC BY-NC 4.0."],
     "cc-by-sa": ["This text is available under CC BY-SA 4.0.", "Available under the Creative Commons Attribution-ShareAlike 4.0 licence.", "Shared under a Creative Commons Attribution-ShareAlike International License.", "License: CC BY-SA 4.0."],
-    "proprietary": ["Copyright 2021, all rights reserved.", "All rights are reserved by the company.", "(c) 2019 Example Ltd, all rights reserved.", "Copyright by the authors. All rights reserved.", "Copying this file without permission is strictly prohibited, it is confidential and proprietary.", "Confidential and proprietary: unauthorized use or copying of any part is prohibited.", "All rights reserved worldwide.", "All rights reserved 2020.", "All rights reserved", "all rights reserved", "All rights are reserved.", "All rights reserved, by the owner.", "Example Ltd. All rights reserved"],
+    "proprietary": ["Copyright 2021, all rights reserved.", "All rights are reserved by the company.", "(c) 2019 Example Ltd, all rights reserved.", "Copyright by the authors. All rights reserved.", "Copying this file without permission is strictly prohibited, it is confidential and proprietary.", "Confidential and proprietary: unauthorized use or copying of any part is prohibited.", "All rights reserved worldwide.", "All rights reserved 2020.", "All rights reserved", "all rights reserved.", "All Rights Reserved.", "ALL RIGHTS RESERVED", "(c) All rights reserved", "All rights are reserved.", "All rights reserved, by the owner.", "Example Ltd. All rights reserved"],
 }
 #: Sentences that share words with notices and license nothing; one in two is held out.
 NEAR_MISSES = [
@@ -210,10 +210,12 @@ def _sample(docs: DataFrame) -> list[tuple[str, bool]]:
     lookup = _lookup({})
     held = lambda t: let(grams_of(words_of(t)), lambda gs: let(F.filter(F.transform(gs, lookup), lambda h: h.isNotNull()), lambda hits: F.array_max(F.array(*[F.size(F.filter(hits, lambda h, k=k: F.array_contains(h["t"], k))) / len(g) for k, (_, g, _) in enumerate(_TEMPLATES)]))))
     each = some.select(F.explode(pieces_of(F.col("text"))).alias("piece"))
-    each = each.where(F.length("piece") < 2000).withColumns({"told": F.col("piece").rlike(LICENCE_WORDS), "h": F.xxhash64("piece")}).where(F.col("piece").rlike(r"\p{L}"))
+    each = each.where((F.length("piece") < 2000) & F.col("piece").rlike(r"\p{L}")).select("piece", F.col("piece").rlike(LICENCE_WORDS).alias("told"), F.xxhash64("piece").alias("h"))
+    number = {r.told: r.n for r in each.groupBy("told").agg(F.count("*").alias("n")).collect()}
     out = []
     for told, most in ((True, SAMPLE_TOLD), (False, SAMPLE_PLAIN)):
-        few = each.where(F.col("told") == told).select("piece", "h").distinct().orderBy("h", "piece").limit(2 * most)
+        share = min(1.0, 8 * most / max(1, number.get(told, 0)))  # so that few rows are left to be put in order
+        few = each.where((F.col("told") == told) & (F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))).select("piece", "h").distinct().orderBy("h", "piece").limit(2 * most)
         out += [(r.piece, told) for r in few.where(held(F.col("piece")) < APART).orderBy("h", "piece").limit(most).collect()]
     return out
 
