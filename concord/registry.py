@@ -172,23 +172,32 @@ def computed_columns(spark, sf_dir):
     return mapping.computed(c, [("title", "concat(c_name, ' of ', n_name)"), ("size", "length(title)")]).select("c_custkey", "title", "size")
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS berlin FROM orders WHERE month(o_orderdate) IN (1, 2, 11, 12)")
-def zone_conversion(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.month("o_orderdate").isin(1, 2, 11, 12))
-    return o.select("o_orderkey", F.date_format(fn.shift_zone(F.col("o_orderdate"), "UTC", "Europe/Berlin").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("berlin"))
-
-
 #: 01:00 UTC of the last Sunday of a month, given by its last day.
-_last_sunday = lambda month, day: f"(make_timestamp(year(o_orderdate), {month}, {day}, 1, 0, 0) - to_days(dayofweek(make_date(year(o_orderdate), {month}, {day}))::INT))"
-#: Summer time in Berlin (from 1981) ends in October, before 1996 in September.
+_last_sunday = lambda month, day, hour=1: f"(make_timestamp(year(o_orderdate), {month}, {day}, {hour}, 0, 0) - to_days(dayofweek(make_date(year(o_orderdate), {month}, {day}))::INT))"
+#: Summer time in Berlin (from 1981) ends in October, before 1996 in September; in New York (1987 to 2006) it lasts from the first Sunday of April to the last of October.
 _SUMMER = f"o_orderdate >= {_last_sunday(3, 31)} AND o_orderdate < CASE WHEN year(o_orderdate) < 1996 THEN {_last_sunday(9, 30)} ELSE {_last_sunday(10, 31)} END"
+_SUMMER_WEST = f"o_orderdate >= make_timestamp(year(o_orderdate), 4, 1, 7, 0, 0) + to_days(((7 - dayofweek(make_date(year(o_orderdate), 4, 1))) % 7)::INT) AND o_orderdate < {_last_sunday(10, 31, 6)}"
+
+
+def _in_zone(spark, sf_dir, zone: str, name: str) -> DataFrame:
+    hours = F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    o = table(spark, sf_dir, "orders").withColumn("o_orderdate", hours)
+    return o.select("o_orderkey", F.date_format(fn.shift_zone(F.col("o_orderdate"), "UTC", zone).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias(name))
+
 
+_BY_HOUR = "(SELECT o_orderkey, o_orderdate + to_hours((o_orderkey % 24)::INT) AS o_orderdate FROM orders)"
 
-@query(f"SELECT o_orderkey, strftime(o_orderdate + to_hours(CASE WHEN {_SUMMER} THEN 2 ELSE 1 END), '%Y-%m-%d %H:%M:%S') AS berlin FROM orders")
+
+@query(f"SELECT o_orderkey, strftime(o_orderdate + to_hours(CASE WHEN {_SUMMER_WEST} THEN -4 ELSE -5 END), '%Y-%m-%d %H:%M:%S') AS new_york FROM {_BY_HOUR}")
+def zone_conversion(spark, sf_dir):
+    """All orders, at all hours."""
+    return _in_zone(spark, sf_dir, "America/New_York", "new_york")
+
+
+@query(f"SELECT o_orderkey, strftime(o_orderdate + to_hours(CASE WHEN {_SUMMER} THEN 2 ELSE 1 END), '%Y-%m-%d %H:%M:%S') AS berlin FROM {_BY_HOUR}")
 def zone_conversion_all_year(spark, sf_dir):
-    """zone_conversion of all orders, in summer time too."""
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.date_format(fn.shift_zone(F.col("o_orderdate"), "UTC", "Europe/Berlin").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("berlin"))
+    """All orders, at all hours."""
+    return _in_zone(spark, sf_dir, "Europe/Berlin", "berlin")
 
 
 def _orders_with_lines(spark, sf_dir) -> DataFrame:
@@ -572,7 +581,7 @@ def snapshot_digest(spark, sf_dir):
 
 @query("SELECT l_orderkey, count(*) AS n_lines, sum(l_extendedprice::DECIMAL(15,2)) AS total FROM lineitem GROUP BY 1")
 def group_source_records(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(38,2)").alias("total"))
+    return tables.grouped(table(spark, sf_dir, "lineitem"), ["l_orderkey"], {"total": ("l_extendedprice", "decimal(15,2)")}, "n_lines")
 
 
 # state

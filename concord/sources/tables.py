@@ -109,6 +109,12 @@ def increment(df: DataFrame, modified: str, creation: str | None, watermark: Col
     return out.where(effective_modified(F.col(modified), made, assumed, target) >= watermark)
 
 
+def grouped(rows: DataFrame, keys: list[str], sums: dict[str, tuple[str, str]], count: str) -> DataFrame:
+    """A record for each key of source rows: how many there are, and exact sums (name: column and the decimal type that its values have)."""
+    totals = [F.sum(F.col(c).cast(kind)).cast("decimal(38," + kind.rstrip(")").split(",")[1] + ")").alias(name) for name, (c, kind) in sums.items()]
+    return rows.groupBy(*keys).agg(F.count("*").alias(count), *totals)
+
+
 def with_children(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, position: str, name: str, fields: list[str]) -> DataFrame:
     """Each parent with its child rows in order of position; an empty list if it has none."""
     rows = children.groupBy(F.col(child_key).alias("_parent")).agg(F.array_sort(F.collect_list(F.struct(position, *[f for f in fields if f != position]))).alias(name))
