@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as fn
 from .operators import apply, mapping, matching, predicates
 from .operators.diff import field_changes
-from .operators.shared import shared_folder
+from .operators.shared import checkpoint, shared_folder
 from .plans import decide, runs, state
 from .plans.spec import Definition, Fallback, FieldMap, Identity
 from .sources import tables
@@ -413,7 +413,7 @@ def manual_payloads(spark, sf_dir):
 
 @query(f"{_BOTH_PLAN} SELECT 'number:' || k AS record_key, CASE k % 2 WHEN 0 THEN 'push' ELSE 'pull' END AS write_direction, 'updated' AS action, CASE k % 2 WHEN 0 THEN {TO_STATE} ELSE {TO_SEGMENT} END AS written FROM q JOIN ll l ON l.n = q.k JOIN rl ON rl.id = q.k WHERE action = 'conflict'")
 def apply_resolution(spark, sf_dir):
-    plan = _both(spark, sf_dir)
+    plan = checkpoint(_both(spark, sf_dir))  # a reviewer's choices come when the run is done
     n = F.regexp_extract("record_key", r"(\d+)$", 1).cast("long")
     choices = plan.select("record_key", F.when(n % 2 == 0, "push").otherwise("pull").alias("choice"))
     out = decide.apply_resolutions(plan, choices)

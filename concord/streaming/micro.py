@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalars import valid_key
 from ..operators.apply import upsert
@@ -63,8 +64,9 @@ class VersionedTable:
         """The rows that these buckets, or all, have from now on."""
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
         to = list(range(self.buckets)) if buckets is None else buckets
-        self.bucketed(df.select(*[f.name for f in self.spark.createDataFrame([], self.schema).schema.fields])).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
-        there = {r[0] for r in self.spark.read.parquet(path).select("_bucket").distinct().collect()} if df.take(1) else set()
+        schema = self.spark.createDataFrame([], self.schema).schema
+        self.bucketed(df.select(*schema.names)).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        there = {r[0] for r in self.spark.read.schema(StructType([*schema.fields, StructField("_bucket", IntegerType())])).parquet(path).select("_bucket").distinct().collect()}
         empty = f"{path}/none"
         if set(to) - there:
             self.spark.createDataFrame([], self.schema).coalesce(1).write.parquet(empty)
@@ -97,7 +99,7 @@ def pull_batch(table: VersionedTable, batch: DataFrame, number: int, d: Definiti
     if not to:
         return
     local = table.read(to)
-    plan = one_way_plan(local, batch, d, "pull")
+    plan = checkpoint(one_way_plan(local, batch, d, "pull"))
     table.write(apply_plan(local, plan, d, "pull"), number, to)
     if items:
         audit(plan, f"batch-{number}", F.lit(None).cast("timestamp")).write.mode("append").parquet(items)
