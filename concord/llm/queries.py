@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, pack, secrets, spelling, substring_dedup, token_counts, url_filter, warc
+from . import decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, pack, prefix_trie, secrets, spelling, substring_dedup, token_counts, url_filter, warc
 from .common import small_batches
 
 
@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
         "op11_warc": warc.op11_warc,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_spelling": spelling.op13_spelling,
     }
     return {name: _in_small_batches(f) for name, f in found.items()} | {"op9_pack": pack.op9_pack, "pipeline": corpus_pipeline.run}  # op9 cuts its own slices, and larger ones cost less
@@ -47,5 +48,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": embedding_dedup.OP6_SQL,
         "op8_url_filter": url_filter.OP8_SQL,
         "op11_warc": warc.OP11_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
         "op13_spelling": spelling.OP13_SQL,
     }
