@@ -42,10 +42,31 @@ FOLD_WORDS = bytes(int(FOLD[b]) if FOLDED[FOLD[b]] else 0x20 for b in range(256)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows in this session from now on, as rows may hold whole texts. Queries and pipeline stages ask for it; operators leave the session as it is."""
+    """Arrow batches of few rows in this session from now on, as rows may hold whole texts. Queries ask for it in a session of their own, pipeline stages in the one that they get; operators leave the session as it is."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
 
 
+def small_session(spark: SparkSession) -> SparkSession:
+    """A session as this one is, but with Arrow batches of few rows; this one is left as it is."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name) and own.conf.get(name, None) != value:
+            own.conf.set(name, value)
+    small_batches(own)
+    return own
+
+
+#: The remainders of CRC-32 for four bits at a time.
+_CRC = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's bytes, in SQL."""
+    half = lambda x: f"xor(({x}) >> 4, {_CRC}[(({x}) & 15) + 1])"
+    of_bytes = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || hex(encode({text}))[2 * i + 1 : 2 * i + 2])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {of_bytes}), lambda c, b: {half(half('xor(c, b)'))}), 4294967295)"
+
+
 # words
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,8 @@ def learn(labelled: DataFrame, by: str = "doc_id") -> dict[str, bytes]:
     """A dictionary for each lang of labelled (lang, text and the column named by), most frequent language first.
 
     Of each language pieces of PIECE_BYTES characters at most are taken, from texts in order of a hash, until they give
-    DICTIONARY_BYTES, or its part of ALL_BYTES if that is less. Rows of null lang or text are left out, and no rows give no dictionary.
+    DICTIONARY_BYTES, or its part of ALL_BYTES if that is less. Rows of null lang or text are left out, repeated pieces count once, and no rows (an empty
+    table) give no dictionary.
     More languages than ALL_BYTES has pieces are an error, as then lang is no language.
     """
     rows = labelled.where("lang is not null and text is not null")
@@ -48,7 +49,10 @@ def learn(labelled: DataFrame, by: str = "doc_id") -> dict[str, bytes]:
     known = F.broadcast(labelled.sparkSession.createDataFrame([(k, min(1.0, want / n)) for k, n in counts.items()], "lang string, share double"))  # a row for each language
     drawn = rows.join(known, "lang").where(F.pmod(order, F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", order.alias("h"), F.substring("text", 1, PIECE_BYTES).alias("piece")).distinct()
     pieces = {k: bytearray() for k in counts}
-    for r in drawn.orderBy("h", "lang", "piece").limit(4 * want * len(counts)).collect():
+    # Only the first of each language reach the driver: 4 characters for each byte of a dictionary, as folding leaves less.
+    upto = F.sum(F.length("piece")).over(Window.partitionBy("lang").orderBy("h", "piece").rowsBetween(Window.unboundedPreceding, -1))
+    first = drawn.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < 4 * size).select("lang", "h", "piece")
+    for r in first.orderBy("h", "lang", "piece").limit(4 * want * len(counts)).collect():
         if len(pieces[r.lang]) < size and (p := folded(r.piece)):
             pieces[r.lang] += p + b" "
     return {k: bytes(p[:size]) for k, p in pieces.items() if p}
@@ -88,7 +92,7 @@ def language_id(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
 
     docs has text; no other column bears on the prediction. lang_pred is `und`, rejected, where the text is null or
     empty or has no letter, or nothing was learned. Otherwise it is the best language even if rejected, which is where
-    score is below margin. Texts are compressed whole, in chunks whose sizes are added up. With one language all are of it, with score 0.5.
+    score is below margin. Repeated rows are told each, and an empty table gives an empty one. Texts are compressed whole, in chunks whose sizes are added up. With one language all are of it, with score 0.5.
     """
     out = docs.drop("lang_pred", "score", "rejected").withColumn("_p", predicted(F.col("text"), dictionaries))
     return out.withColumns({"lang_pred": F.col("_p.lang"), "score": F.col("_p.score"), "rejected": (F.col("_p.lang") == UNKNOWN) | (F.col("_p.score") < margin)}).drop("_p")

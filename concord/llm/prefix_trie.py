@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import join_hot
 from ..operators.shared import checkpoint
-from .spelling import crc_sql
+from .common import crc_sql
 
 PRIME, LANES = (1 << 31) - 1, 3
 #: Ids of conversations that end in one node, joined in one row.

@@ -8,14 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, pack, prefix_trie, secrets, spelling, substring_dedup, token_counts, url_filter, warc
-from .common import small_batches
+from .common import small_session
 
 
 def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query in a session of its own, so that what runs after it finds the caller's settings."""
+
     @functools.wraps(query)
     def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-        small_batches(spark)
-        return query(spark, sf_dir)
+        return query(small_session(spark), sf_dir)
 
     return asked
 

@@ -41,8 +41,8 @@ RULES = [
 _SPAN = "array<struct<start: int, rank: int, kind: string, end: int>>"
 
 
-#: Matches whose places are found in one go; places of more are found block by block, so that the work is in proportion to them.
-MATCHES = 256
+#: Values that are added up in one go where sums of all values before each are made (see before).
+BLOCK = 32
 
 
 def let(value: Column, use) -> Column:
@@ -50,18 +50,26 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _places(pieces: Column) -> Column:
-    """From pieces (gap, n, match), match after match, array<struct<start, end, match>>."""
-    empty = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<start: int, end: int, match: string>>").alias("out"))
+def before(values: Column) -> Column:
+    """For each value of an array of whole numbers the sum of those before it, from sums of BLOCK values and of BLOCK such sums, so that the work is in proportion to their number."""
+    add = lambda array, lo, hi: F.aggregate(F.sequence(lo, hi), F.lit(0).cast("long"), lambda acc, i: acc + F.get(array, i))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    sums = lambda array: F.transform(F.sequence(F.lit(0), block(F.size(array) - 1)), lambda b: add(array, b * BLOCK, F.least((b + 1) * BLOCK, F.size(array)) - 1))
+    # up to and with the value itself, which is taken off again: a range is never empty
+    inside = lambda array, i: add(array, block(i) * BLOCK, i) - F.get(array, i)
+
+    def whole(v: Column) -> Column:
+        tops = lambda one, two: let(F.transform(two, lambda x, k: add(two, F.lit(0), k) - x), lambda top: F.transform(v, lambda _, i: F.get(top, block(block(i))) + inside(one, block(i)) + inside(v, i)))
+        return let(sums(v), lambda one: let(sums(one), lambda two: tops(one, two)))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["to"] + x["gap"]
-        return F.struct((start + x["n"]).alias("to"), F.array_append(acc["out"], F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["match"].alias("match"))).alias("out"))
+    return F.when(F.size(values) > 0, let(values, whole)).otherwise(F.array().cast("array<bigint>"))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / MATCHES).cast("int")), lambda b: F.aggregate(F.slice(pieces, b * MATCHES + 1, MATCHES), empty, add))
-    shifted = lambda block, by: F.transform(block["out"], lambda p: F.struct((p["start"] + by).alias("start"), (p["end"] + by).alias("end"), p["match"].alias("match")))
-    start = F.struct(F.lit(0).alias("to"), F.array().cast("array<array<struct<start: int, end: int, match: string>>>").alias("out"))
-    return F.flatten(F.aggregate(blocks, start, lambda acc, b: F.struct((acc["to"] + b["to"]).alias("to"), F.array_append(acc["out"], shifted(b, acc["to"])).alias("out")))["out"])
+
+def _places(pieces: Column) -> Column:
+    """From pieces (gap, n, match), match after match, array<struct<start, end, match>>."""
+    at = before(F.transform(pieces, lambda x: (x["gap"] + x["n"]).cast("long")))
+    place = lambda x, b: F.struct((b + x["gap"]).cast("int").alias("start"), (b + x["gap"] + x["n"]).cast("int").alias("end"), x["match"].alias("match"))
+    return F.zip_with(pieces, at, place)
 
 
 def spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -141,7 +149,9 @@ def findings(counts: DataFrame, ledger: Ledger, rules: list[Rule] = RULES) -> Da
     """(blob, n, spans): of blobs with n versions what rules have found, by what the ledger has of them; none without a finding."""
     asked = F.transform(F.array_intersect("rules", F.array(*[F.lit(r.name) for r in rules])), lambda r: F.substring_index(r, "@", 1))
     found = ledger.read().select("blob", F.filter("spans", lambda s: F.array_contains(asked, s["kind"])).alias("spans")).where(F.size("spans") > 0)
-    found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    # repeated ones are next to each other once all are sorted; comparing each with all others would take the square of their number
+    every = F.array_sort(F.flatten(F.collect_list("spans")))
+    found = found.groupBy("blob").agg(every.alias("spans")).withColumn("spans", let(F.col("spans"), lambda a: F.filter(a, lambda s, i: (i == 0) | (s != F.get(a, i - 1)))))
     return checkpoint(found.join(counts, "blob").select("blob", "n", "spans"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import join_kept
 from ..operators.shared import checkpoint
+from .common import crc_sql
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 SMALL = {c: c + 32 for c in range(65, 91)}
@@ -270,17 +271,6 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: The remainders of CRC-32 for four bits at a time.
-_CRC = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
-
-
-def crc_sql(text: str) -> str:
-    """The unsigned CRC-32 of a text's bytes, in SQL."""
-    half = lambda x: f"xor(({x}) >> 4, {_CRC}[(({x}) & 15) + 1])"
-    of_bytes = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || hex(encode({text}))[2 * i + 1 : 2 * i + 2])::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295, {of_bytes}), lambda c, b: {half(half('xor(c, b)'))}), 4294967295)"
-
-
 OP13_SQL = f"""
 WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS raw FROM documents),
 low AS (SELECT doc, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY 1, 2),

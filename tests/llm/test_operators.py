@@ -134,9 +134,9 @@ def test_only_unseen_blobs_are_scanned(spark, tmp_path, monkeypatch):
 
 
 def test_many_secrets_of_one_text(spark):
-    text = " ".join(f"token=abcdefgh{i:06}" for i in range(5000))
+    text = " ".join(f"token=abcdefgh{i:06}" for i in range(100_000))
     got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), secrets.Ledger(spark)).first().spans
-    assert [tuple(s) for s in got] == base_spans(text) and len(got) == 5000
+    assert [tuple(s) for s in got] == base_spans(text) and len(got) == 100_000
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
