@@ -33,12 +33,14 @@ def positive_int(v: Column, default: int) -> Column:
     return F.when(n > 0, n).otherwise(F.lit(default))
 
 
-#: Largest exponent that is written out; beyond it the digits and a power of ten stand for the number.
+#: Digits before and after the point that are written out; beyond, the digits and a power of ten stand for the number.
 WRITTEN_OUT = 10_000
+#: A numeral that is its own canonical text.
+CANONICAL = r"^(0|-?[1-9]\d*|-?(0|[1-9]\d*)\.\d*[1-9])$"
 
 
 def _written_out(t: Column) -> Column:
-    """An exponent form as a plain numeral: the point is moved in the text, so that no digit is lost."""
+    """An exponent form as a plain numeral: the point is moved in the text, so that no digit is lost. Which numbers are too long for it is told by their value alone."""
     part = lambda n: F.regexp_extract(t, r"^([+-]?)(\d*)\.?(\d*)[eE]([+-]?\d+)$", n)
     parts = F.struct(part(1).alias("sign"), F.concat(part(2), part(3)).alias("digits"), F.length(part(2)).alias("whole"), part(4).try_cast("long").alias("by"))
 
@@ -46,9 +48,11 @@ def _written_out(t: Column) -> Column:
         digits, point = x["digits"], x["whole"] + x["by"]
         zeros = lambda n: F.repeat(F.lit("0"), F.greatest(F.lit(0), F.least(n, F.lit(2 * WRITTEN_OUT))).cast("int"))
         near = F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits)).when(point >= F.length(digits), F.concat(digits, zeros(point - F.length(digits)))).otherwise(F.concat(F.substring(digits, F.lit(1), point.cast("int")), F.lit("."), F.substring(digits, point.cast("int") + 1, F.length(digits))))
-        tail = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
-        far = F.when(F.trim(digits, F.lit("0")) == "", F.lit("0")).otherwise(F.concat(F.trim(digits, F.lit("0")), F.lit("e"), (x["by"] - F.length(digits) + x["whole"] + tail).cast("string")))
-        return F.concat(x["sign"], F.when(F.abs(x["by"]) <= WRITTEN_OUT, near).otherwise(far))
+        bare = F.trim(digits, F.lit("0"))
+        first = point - (F.length(digits) - F.length(F.ltrim(digits, F.lit("0"))))  # digits before the point, and the power of the last digit that is no zero
+        last = first - F.length(bare)
+        far = F.when(bare == "", F.lit("0")).otherwise(F.concat(bare, F.lit("e"), last.cast("string")))
+        return F.concat(x["sign"], F.when((bare == "") | (first > WRITTEN_OUT) | (last < -WRITTEN_OUT), far).otherwise(near))
 
     return F.get(F.transform(F.array(parts), moved), F.lit(0))
 
@@ -56,15 +60,21 @@ def _written_out(t: Column) -> Column:
 def norm_number(v: Column) -> Column:
     """Canonical decimal text of a number's exact value, null if v is no finite number.
 
-    Digits are never rounded. Of an exponent beyond WRITTEN_OUT the text is the digits, e and the power of ten, which is as canonical;
-    an exponent of more than 18 digits makes no number.
+    Digits are never rounded. Of a number that has more than WRITTEN_OUT digits before or after the point the text is its digits, e and the power of ten,
+    however it was written; an exponent of more than 18 digits makes no number.
     """
     t = F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "")
-    out = F.when(t.rlike(PLAIN), t).when(t.rlike(EXPONENT), _written_out(t))
+    short = F.length(t) <= WRITTEN_OUT
+    plain = t.rlike(PLAIN)
+    out = F.when(short & plain, t).when(plain | t.rlike(EXPONENT), _written_out(F.when(plain, F.concat(t, F.lit("e0"))).otherwise(t)))
     # sign +, leading zeros, a bare point in front, trailing zeros, a bare point at the end, minus zero
     for pattern, to in ((r"^\+", ""), (r"^(-?)0+(?=\d)", "$1"), (r"^(-?)\.", "$10."), (r"(\.\d*?)0+$", "$1"), (r"\.$", ""), (r"^-0$", "0")):
         out = F.regexp_replace(out, pattern, to)
-    return out
+    return F.when(short & t.rlike(CANONICAL), t).otherwise(out)
+
+
+#: Types whose text is a canonical number.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def number_of(v: Column, dtype: str) -> Column:
@@ -86,8 +96,8 @@ def norm_datetime_key(v: Column) -> Column:
 
 def norm_key(v: Column, dtype: str = "string") -> Column:
     """One comparable text for a key's part: null stays null, blank is '', and 1, 1.0, '001' and true are equal."""
-    if dtype == "boolean":
-        v = v.cast("int")
+    if dtype in ("boolean", *WHOLE):
+        return F.concat(F.lit("number:"), (v.cast("int") if dtype == "boolean" else v).cast("string"))
     t = F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "")
     tagged = F.coalesce(F.concat(F.lit("datetime:"), norm_datetime_key(t)), F.concat(F.lit("number:"), norm_number(t)), F.concat(F.lit("text:"), t))
     return F.when(t == "", t).otherwise(tagged)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blank
 from .matching import last_per_key
+from .shared import claim, claims
 
 #: Columns that the storage keeps by itself.
 SYSTEM_COLUMNS = ("name", "owner", "creation", "modified", "modified_by", "docstatus", "idx", "_user_tags", "_comments", "_assign", "_liked_by")
@@ -42,6 +43,12 @@ def merge_sql(table: str, staged: str, keys: list[str], columns: list[str]) -> s
     return f"MERGE INTO {table} t USING {staged} s ON {on} WHEN MATCHED THEN UPDATE SET {', '.join(f'{c} = s.{c}' for c in rest)} WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({', '.join(f's.{c}' for c in columns)})"
 
 
+def delete_sql(table: str, staged: str, keys: list[str]) -> str:
+    """The statement by which a database deletes the rows of staged keys."""
+    on = " AND ".join(f"s.{k} = {table}.{k}" for k in keys)
+    return f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {staged} s WHERE {on})"
+
+
 def with_modified(target: DataFrame, written: DataFrame, keys: list[str], column: str) -> DataFrame:
     """target after a write, with the mapped stamp of written rows put over what the storage has set; of rows with one key the latest stamp."""
     stamps = written.dropna(subset=keys).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(column).alias("_stamp"))
@@ -79,6 +86,15 @@ def allocate_ids(new: DataFrame, order: list[str], id_column: str, strategy: str
     return out.join(F.broadcast(top), how="cross").withColumn(id_column, F.col("_top") + F.col("_seq")).drop("_seq", "_top")  # a single row
 
 
+def reserve_ids(spark: SparkSession, folder: str, name: str, n: int, start: int = 1) -> int:
+    """The first of n consecutive ids that no other run gets: a block above the mark that folder keeps under name. What a run reserves and does not use stays unused."""
+    while True:
+        taken = claims(spark, f"{folder}/{name}")
+        k, last = (int(max(taken)), int(taken[max(taken)])) if taken else (0, start - 1)
+        if claim(spark, f"{folder}/{name}", f"{k + 1:012d}", str(last + n)):
+            return last + 1
+
+
 def write_back(table: DataFrame, created: DataFrame, key: str, id_column: str) -> DataFrame:
     """table with the ids that created (key, id_column) brings, where they differ."""
     new = created.select(key, F.col(id_column).alias("_new")).where("_new is not null").groupBy(key).agg(F.max("_new").alias("_new"))

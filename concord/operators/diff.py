@@ -20,12 +20,19 @@ def field_changes(new: dict[str, Column], old: dict[str, Column], kinds: dict[st
     if not fields:
         return F.array().cast(CHANGES)
 
-    def one(f: str) -> Column:
-        kind, before, after = kinds.get(f, "string"), old[f].cast("string"), new[f].cast("string")
-        changed = ~norm_diff(new[f], kind).eqNullSafe(norm_diff(old[f], kind))
-        if not kind.startswith(("array", "struct", "map")):
-            changed = F.when(before.eqNullSafe(after), F.lit(False)).otherwise(changed)
-        return F.struct(F.lit(rename.get(f, f)).alias("field"), before.alias("old"), after.alias("new"), changed.alias("changed"))
-
-    each = [one(f) for f in fields]
-    return F.transform(F.filter(F.array(*each), lambda c: c["changed"]), lambda c: F.struct(c["field"], c["old"], c["new"])).cast(CHANGES)
+    def text(v: Column, kind: str) -> Column:
+        """A value as what norm_diff makes of it depends on."""
+        if kind.startswith(("array", "struct", "map")):
+            return F.concat(F.lit("j:"), F.to_json(v))
+        return (v.cast("int") if kind == "boolean" else v).cast("string")
+
+    def row(f: str) -> Column:
+        kind = kinds.get(f, "string")
+        return F.struct(F.lit(rename.get(f, f)).alias("field"), old[f].cast("string").alias("old"), new[f].cast("string").alias("new"), text(old[f], kind).alias("a"), text(new[f], kind).alias("b"))
+
+    def changed(c: Column) -> Column:
+        forms = F.transform(F.array(c["a"], c["b"]), lambda v: norm_diff(v))
+        return F.when(c["a"].eqNullSafe(c["b"]), F.lit(False)).otherwise(~F.get(forms, F.lit(0)).eqNullSafe(F.get(forms, F.lit(1))))
+
+    # one expression for all fields: the plan does not grow with what norm_diff has to try
+    return F.transform(F.filter(F.array(*[row(f) for f in fields]), changed), lambda c: F.struct(c["field"], c["old"], c["new"])).cast(CHANGES)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blank, norm_key, valid_key
 from .joins import dealt_key
 from .mapping import key_parts
+from .shared import checkpoint
 
 SEPARATOR = "\x1f"
 
@@ -81,6 +85,43 @@ def candidates(local: DataFrame, remote: DataFrame, pk: str, local_id: str | Non
     return out.dropDuplicates([pk])
 
 
+#: Bits of a filter of keys (a power of two), and of one of its rows, which is as Spark's bitmaps are. A filter has two hashes: 16 MiB at most.
+FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
+
+
+def key_filter(values: DataFrame) -> DataFrame:
+    """(which, row, bits): a filter of the one column of values; at most 2 * FILTER_BITS / ROW_BITS rows, whatever the number of values."""
+    v = F.col(values.columns[0])
+    places = F.array(*[F.struct(F.lit(k).alias("which"), (F.pmod(F.xxhash64(F.lit(k), v), F.lit(FILTER_BITS)) + 1).alias("at")) for k in (0, 1)])
+    set_ = values.where(v.isNotNull()).select(F.explode(places).alias("p"))
+    return set_.groupBy("p.which", F.bitmap_bucket_number("p.at").alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p.at")).alias("bits"))
+
+
+def in_filter(df: DataFrame, value: Column, filter_: DataFrame, name: str) -> DataFrame:
+    """df with name: whether value may be one of the filter's. False is certain; true is wrong for about (values / FILTER_BITS)^2 of other values."""
+    hit, columns = F.lit(True), df.columns
+    for k in (0, 1):
+        at = F.pmod(F.xxhash64(F.lit(k), value), F.lit(FILTER_BITS)) + 1
+        row = filter_.where(F.col("which") == k).select(F.col("row").alias(f"_row{k}"), F.col("bits").alias(f"_bits{k}"))
+        df = df.withColumn(f"_at{k}", at).join(F.broadcast(row), F.bitmap_bucket_number(f"_at{k}") == F.col(f"_row{k}"), "left")
+        bit = F.bitmap_bit_position(f"_at{k}")
+        byte = F.conv(F.hex(F.substring(F.col(f"_bits{k}"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = hit & F.coalesce(F.bit_get(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return df.select(*columns, (value.isNotNull() & hit).alias(name))
+
+
+def might_match(target: DataFrame, source: DataFrame, target_id: str | None = None, source_id: str | None = None, key: str = "key") -> DataFrame:
+    """Target rows that some source row may match, by key or by identity; those that cannot are left out where they lie, before any shuffle.
+
+    Pays where the source is an increment and the target is large. Only filters of fixed size are broadcast.
+    """
+    out = in_filter(target, F.col(key), checkpoint(key_filter(source.select(key))), "_near")
+    if target_id and source_id:
+        ids = checkpoint(key_filter(source.select(F.nullif(norm_key(F.col(source_id)), F.lit("")).alias("id"))))
+        out = in_filter(out, F.nullif(norm_key(F.col(target_id)), F.lit("")), ids, "_known").withColumn("_near", F.col("_near") | F.col("_known"))
+    return out.where("_near").select(target.columns)
+
+
 def missing(target: DataFrame, source: DataFrame, key: str = "key") -> DataFrame:
     """Target rows whose key no source row has; source must be read completely. Rows without a valid key stay out."""
     return target.where(F.col(key).isNotNull()).join(source.select(key).distinct(), key, "left_anti").select(target.columns)
@@ -106,6 +147,15 @@ def write_key(remote_id: Column, keys: Column) -> Column:
     return F.when(~blank(remote_id), F.concat(F.lit("id="), remote_id.cast("string"))).otherwise(keys)
 
 
+def address(value: Callable[[str], Column], own_id: str | None, keys: list[str]) -> Column:
+    """write_key of a row whose columns value gives: by its own id if it has one, else by its raw keys; null if some key is null."""
+    raw = F.lit(None).cast("string")
+    if keys:
+        parts = [value(k).cast("string") for k in keys]
+        raw = F.when(~reduce(lambda a, b: a | b, [p.isNull() for p in parts]), F.concat(F.lit("key="), F.to_json(F.array(*parts))))
+    return write_key(value(own_id), raw) if own_id else raw
+
+
 # Identities: local (pk, rid) against remote (rid, link), all texts or null.
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,52 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+# names that only one job can take
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def claim(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Makes a file of this name and text unless there is one: of several jobs that try, one alone gets True, and none ever sees half a text.
+
+    The text is written elsewhere and then gets its name: by a link on a local disk, by a rename on a store whose renames refuse a name that
+    is taken (as HDFS does).
+    """
+    files, own = _at(spark, f"{folder}/.new-{uuid.uuid4().hex}")
+    out = files.create(own, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    target = _at(spark, f"{folder}/{name}")[1]
+    try:
+        if files.getUri().getScheme() != "file":
+            return not files.exists(target) and files.rename(own, target)
+        os.link(own.toUri().getPath(), target.toUri().getPath())
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        if files.exists(own):
+            files.delete(own, False)
+
+
+def claims(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Names that are taken in a folder, in order, with their texts."""
+    files, at = _at(spark, folder)
+    if not files.exists(at):
+        return {}
+    names = sorted(f.getPath().getName() for f in files.listStatus(at) if not f.getPath().getName().startswith("."))
+    read = spark._jvm.org.apache.commons.io.IOUtils.toString
+
+    def text(name: str) -> str:
+        stream = files.open(_at(spark, f"{folder}/{name}")[1])
+        try:
+            return read(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    return {n: text(n) for n in names}

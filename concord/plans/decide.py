@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blank, changed_fields, changed_since, compare_modified, effective_modified, fit
 from ..operators.diff import CHANGES, field_changes
+from ..operators.joins import join_hot
 from ..operators.mapping import project
-from ..operators.matching import identity_pairs, key_set, last_per_key, match_all, match_first, match_identity_all, match_identity_first, missing, pair_by_token, prefixed, with_key
+from ..operators.matching import address, identity_pairs, key_set, last_per_key, match_all, match_first, match_identity_all, match_identity_first, might_match, missing, pair_by_token, prefixed, with_key
 from ..operators.shared import checkpoint
-from .spec import Definition
+from .spec import Definition, DefinitionError
 
 PLAN = ["definition", "direction", "write_direction", "action", "status", "message", "record_key", "match_kind", "change_count", "changed_fields", "changes", "payload", "local_before", "remote_before"]
+#: By what a plan is applied: the target row's address (null for a new one), what a new row is known by should it be there already,
+#: the source's stamps as text, and the source's order, by which the last of several writes to one row counts.
+APPLIED = ["address", "create_key", "source_modified", "source_creation", "ordinal"]
 
 
 def resolve_conflict(local: Column, remote: Column, watermark: Column | None, buffer_ms: int = 100, policy: str = "newest_wins", tie_breaker: str = "manual") -> Column:
@@ -40,52 +44,103 @@ def _classified(d: Definition, way: str, valid: Column, matched: Column, changes
     return {"action": action, "status": F.when(action == "error", "error").otherwise("success"), "message": message}
 
 
+def misfits(new: dict[str, Column], kinds: dict[str, str]) -> Column:
+    """Which new values the target's columns cannot hold, as text; null if all fit. A value that does not fit must not become null in silence."""
+    told = [F.when(v.isNotNull() & v.cast("string").try_cast(kinds[f]).isNull(), F.concat(F.lit(f"{f}: '"), fit(v.cast("string"), 40), F.lit(f"' is no {kinds[f]}"))) for f, v in new.items() if f in kinds and not kinds[f].startswith(("array", "struct", "map", "string", "binary"))]
+    return F.nullif(F.concat_ws("; ", *told), F.lit("")) if told else F.lit(None).cast("string")
+
+
+def _refused(out: DataFrame, told: Column) -> DataFrame:
+    """Writes of values that do not fit are errors instead."""
+    bad = F.col("action").isin("created", "updated") & told.isNotNull()
+    return out.withColumns({"message": F.when(bad, told).otherwise(F.col("message")), "status": F.when(bad, "error").otherwise(F.col("status")), "action": F.when(bad, "error").otherwise(F.col("action"))})
+
+
+def _as_one(met: DataFrame, d: Definition, target: DataFrame, own_id: str | None, order: list[str]) -> DataFrame:
+    """Matches of one source row that cannot be written one by one, as some lack an id, as one row: one write by key covers them all.
+
+    Rows of the target that share a key are counted within tasks, and what they say about it is sent to hot keys in parts. The
+    row kept is the last match; it counts as changed if any match differs.
+    """
+    has = ~blank(F.col(own_id)) if own_id else F.lit(False)
+    groups = checkpoint(target.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min(has).alias("_each")).where("n > 1 and not _each").select("key", "n"))
+    alone = [F.lit(False).alias("_all"), F.lit(None).cast("long").alias("_n")]
+    if groups.isEmpty():
+        return met.select("*", *alone)
+    met = checkpoint(met)
+    by_key = join_hot(met.where("match_kind = 'key'"), groups, ["key"], [F.xxhash64(F.to_json("_row"))])
+    last = F.struct((F.size("changes") > 0).cast("int"), *[F.col(f"t_{c}") for c in order], F.xxhash64(*[F.col(c) for c, kind in met.dtypes if c.startswith("t_") and "map<" not in kind]))
+    many = by_key.groupBy("key", F.md5(F.to_json("_row")).alias("_source")).agg(F.max_by(F.struct(*met.columns), last).alias("r"), F.max("n").alias("_n"))
+    one = many.select("r.*", F.lit(True).alias("_all"), "_n")
+    others = met.where("match_kind = 'key'").join(groups.select("key"), "key", "left_anti").select(*met.columns, *alone)
+    return one.unionByName(others).unionByName(met.where("match_kind <> 'key'").select("*", *alone))
+
+
 def _row_json(df: DataFrame, prefix: str, but: set[str]) -> Column:
     names = [c for c in df.columns if c.startswith(prefix) and c[len(prefix) :] not in but]
     return F.to_json(F.struct(*[F.col(c).cast("string").alias(c[len(prefix) :]) for c in names]), {"ignoreNullFields": "false"})
 
 
-def one_way_plan(local: DataFrame, remote: DataFrame, d: Definition, way: str | None = None, images: bool = False) -> DataFrame:
+def one_way_plan(local: DataFrame, remote: DataFrame, d: Definition, way: str | None = None, images: bool = False, prefetch: bool = False) -> DataFrame:
     """The plan of a push or a pull. images adds the rows before the write as JSON.
 
     If the definition deletes what is missing, target rows whose key no source row has are part of the plan; both sides must then
-    be read completely.
+    be read completely. With prefetch, target rows that no source row can match are left out before they are shuffled, by a filter
+    of the source's keys (see might_match). A definition of both directions is no one-way plan, unless way says which half is meant.
     """
     way = way or d.direction
+    if way not in ("push", "pull"):
+        raise DefinitionError("a definition of both directions has no one-way plan")
     source, target = (local, remote) if way == "push" else (remote, local)
     source_keys, target_keys = (list(d.match_fields), d.remote_keys) if way == "push" else (d.remote_keys, list(d.match_fields))
     order = list(d.remote_order if way == "push" else d.local_order)
-    fields = [m.remote if way == "push" else m.local for m in d.mapped(way)]
+    source_order = list(d.local_order if way == "push" else d.remote_order)
     flat = with_key(source, source_keys)
-    own = project(flat.withColumn("_row", F.struct(*source.columns)), d, way, keep=["key", "_row"]).select("key", "_row", F.struct(*[F.col(f) for f in fields]).alias("_payload"))
+    own = project(flat.withColumn("_row", F.struct(*source.columns)), d, way, keep=["key", "_row"])
+    own = stamp_links(own, d, way) if d.identity else own
+    fields = [c for c in own.columns if c not in ("key", "_row")]
+    own = own.select("key", "_row", F.struct(*[F.col(f"`{f}`") for f in fields]).alias("_payload"))
     if way == "pull":
         own = own.where("key is null").unionByName(last_per_key(own.withColumn("_order", F.struct(*[F.col("_row")[c] for c in d.remote_order]) if d.remote_order else F.lit(0)), ["key"], ["_order"]).drop("_order")) if d.match_mode == "first_match" else own
-    target = with_key(target, target_keys)
+    whole, target = target, with_key(target, target_keys)
     if d.identity:
         ids = (d.identity.local_remote_id, d.identity.remote_id) if way == "push" else (d.identity.remote_id, d.identity.local_remote_id)
         own = own.withColumn("_id", F.col("_row")[ids[0]])
-        met = match_identity_first(own, target, "_id", ids[1], order) if d.match_mode == "first_match" else match_identity_all(own, target, "_id", ids[1])
+        near = might_match(target, own, ids[1], "_id") if prefetch else target
+        met = match_identity_first(own, near, "_id", ids[1], order) if d.match_mode == "first_match" else match_identity_all(own, near, "_id", ids[1])
     else:
-        met = match_first(own, target, order) if d.match_mode == "first_match" else match_all(own, target)
+        near = might_match(target, own) if prefetch else target
+        met = match_first(own, near, order) if d.match_mode == "first_match" else match_all(own, near)
         met = met.withColumn("match_kind", F.when(F.col("t_key").isNotNull(), "key").otherwise("none"))
-    kinds = dict(target.dtypes)
+    typed = dict(target.dtypes)
     new, old = {f: F.col("_payload")[f] for f in fields if f in target.columns}, {f: F.col(f"t_{f}") for f in fields if f in target.columns}
     stamps = tuple(s for s in (d.local_modified, d.local_creation, d.remote_modified, d.remote_creation) if s)
     rename = {m.remote: m.local for m in d.mapped(way)} if way == "push" else {}
-    kinds = {f: ("boolean" if k == "boolean" else k if k.startswith(("array", "struct", "map")) else "string") for f, k in kinds.items()}
+    kinds = {f: ("boolean" if k == "boolean" else k if k.startswith(("array", "struct", "map")) else "string") for f, k in typed.items()}
     matched = F.col("match_kind") != "none"
-    met = met.withColumn("changes", F.when(matched, field_changes(new, old, kinds, stamps, rename)).otherwise(F.array().cast("array<struct<field: string, old: string, new: string>>")))
+    met = met.withColumn("changes", F.when(matched, field_changes(new, old, kinds, stamps, rename)).otherwise(F.array().cast(CHANGES)))
+    columns = met.columns
+    grouped = d.match_mode == "all_matches"
+    met = _as_one(met, d, near, d.own_id(way), order) if grouped else met
     by_id = matched & (F.col("match_kind") == "id")
     out = met.withColumns(_classified(d, way, F.col("key").isNotNull() | by_id, matched, F.col("changes")))
-    before = _row_json(met, "t_", {"key"})
+    if grouped:
+        out = out.withColumn("message", F.when(F.col("_all") & (F.col("action") == "updated"), F.concat(F.lit("one write for "), F.col("_n").cast("string"), F.lit(" matched rows"))).otherwise(F.col("message")))
+    out = _refused(out, misfits(new, typed))
+    before = _row_json(met.select(*columns), "t_", {"key"})
     source_json = F.to_json(F.col("_row"))
     extra = {"local_before": source_json if way == "push" else before, "remote_before": before if way == "push" else source_json} if images else {"local_before": F.lit(None).cast("string"), "remote_before": F.lit(None).cast("string")}
-    out = _planned(out.withColumns({"payload": F.to_json("_payload", {"ignoreNullFields": "false"}), "write_direction": F.lit(way), **extra}), d, F.col("key"))
-    return out.unionByName(deletions(local, remote, d, way)) if d.delete_missing and d.match_fields else out
+    at = F.when(matched, address(lambda c: F.col(f"t_{c}"), d.own_id(way), target_keys))
+    at = F.when(F.col("_all"), F.concat(F.lit("all="), F.col("key"))).otherwise(at) if grouped else at
+    row = lambda c: F.col("_row")[c].cast("string") if c and c in source.columns else F.lit(None).cast("string")
+    modified, creation = (d.local_modified, d.local_creation) if way == "push" else (d.remote_modified, d.remote_creation)
+    applied = {"address": at, "create_key": F.col("key"), "source_modified": row(modified), "source_creation": row(creation), "ordinal": F.struct(*[F.col("_row")[c].alias(c) for c in source_order], F.xxhash64(source_json).alias("_hash"))}
+    out = _planned(out.withColumns({"payload": F.to_json("_payload", {"ignoreNullFields": "false"}), "write_direction": F.lit(way), **extra, **applied}), d, F.col("key"))
+    return out.unionByName(deletions(*((local, whole) if way == "push" else (whole, remote)), d, way), allowMissingColumns=True) if d.delete_missing and d.match_fields else out
 
 
 def _planned(df: DataFrame, d: Definition, key: Column) -> DataFrame:
-    return df.withColumns({"definition": F.lit(d.name), "direction": F.lit(d.direction), "record_key": key, "change_count": F.size("changes"), "changed_fields": fit(changed_fields(F.col("changes")))}).select(*PLAN)
+    return df.withColumns({"definition": F.lit(d.name), "direction": F.lit(d.direction), "record_key": key, "change_count": F.size("changes"), "changed_fields": fit(changed_fields(F.col("changes")))}).select(*PLAN, *[c for c in APPLIED if c in df.columns])
 
 
 def deletions(local: DataFrame, remote: DataFrame, d: Definition, way: str) -> DataFrame:
@@ -94,7 +149,7 @@ def deletions(local: DataFrame, remote: DataFrame, d: Definition, way: str) -> D
     names = (list(d.match_fields), d.remote_keys) if way == "push" else (d.remote_keys, list(d.match_fields))
     gone = missing(with_key(target, names[1]), key_set(with_key(source, names[0])))
     none = F.lit(None).cast("string")
-    out = gone.withColumns({"action": F.lit("deleted" if d.delete_missing else "skipped"), "status": F.lit("success"), "message": F.lit("missing in the source"), "match_kind": F.lit("none"), "changes": F.array().cast("array<struct<field: string, old: string, new: string>>"), "payload": none, "write_direction": F.lit(way), "local_before": none, "remote_before": none})
+    out = gone.withColumns({"action": F.lit("deleted" if d.delete_missing else "skipped"), "status": F.lit("success"), "message": F.lit("missing in the source"), "match_kind": F.lit("none"), "changes": F.array().cast("array<struct<field: string, old: string, new: string>>"), "payload": none, "write_direction": F.lit(way), "local_before": none, "remote_before": none, "address": address(F.col, d.own_id(way), names[1])})
     return _planned(out, d, F.col("key"))
 
 
@@ -137,7 +192,16 @@ def _compared(pairs: DataFrame, d: Definition, watermark: Column | None) -> Data
     # A conflict carries what either choice would write.
     choices = F.to_json(F.struct(F.col("r_payload").alias("to_local"), F.col("l_payload").alias("to_remote")), {"ignoreNullFields": "false"})
     payload = F.when(conflict & ~same & ~alone_l & ~alone_r, choices).when(way == "push", F.to_json("l_payload", {"ignoreNullFields": "false"})).when(way == "pull", F.to_json("r_payload", {"ignoreNullFields": "false"}))
-    return out.withColumns({"action": action, "status": F.when(action == "conflict", "conflict").otherwise("success"), "message": F.when(alone_l | alone_r | same, none).otherwise(F.col("outcome")), "changes": changes, "payload": payload, "write_direction": way, "local_before": none, "remote_before": none})
+    ours_at, theirs_at = address(lambda c: l[c], d.own_id("pull"), d.target_keys("pull")), address(lambda c: r[c], d.own_id("push"), d.target_keys("push"))
+    from_ = lambda side, c: side[c].cast("string") if c else none
+    applied = {
+        "address": F.when(~alone_l & (way == "push"), theirs_at).when(~alone_r & (way == "pull"), ours_at),
+        "source_modified": F.when(way == "push", from_(l, d.local_modified)).when(way == "pull", from_(r, d.remote_modified)), "source_creation": F.when(way == "push", from_(l, d.local_creation)).when(way == "pull", from_(r, d.remote_creation)),
+    }
+    out = out.withColumns({"action": action, "status": F.when(action == "conflict", "conflict").otherwise("success"), "message": F.when(alone_l | alone_r | same, none).otherwise(F.col("outcome")), "changes": changes, "payload": payload, "write_direction": way, "local_before": none, "remote_before": none, **applied})
+    theirs_kinds, ours_kinds = (dict(pairs.select(f"{x}.*").dtypes) for x in ("r__row", "l__row"))
+    told = F.when(F.col("write_direction") == "push", misfits({f: F.col("l_payload")[f] for f in to_remote}, theirs_kinds)).when(F.col("write_direction") == "pull", misfits({f: F.col("r_payload")[f] for f in to_local}, ours_kinds))
+    return _refused(out, told)
 
 
 def both_ways_plan(local: DataFrame, remote: DataFrame, d: Definition, watermark: Column | None = None) -> DataFrame:
@@ -147,7 +211,7 @@ def both_ways_plan(local: DataFrame, remote: DataFrame, d: Definition, watermark
     right = right.select(F.col("key").alias("token"), "_row", "payload", *[F.col("_row")[c].alias(f"_o{i}") for i, c in enumerate(d.remote_order)])
     pairs = pair_by_token(left, right, [f"_o{i}" for i in range(len(d.local_order))], [f"_o{i}" for i in range(len(d.remote_order))])
     out = _compared(pairs, d, watermark)
-    return _planned(out.withColumn("match_kind", F.when(F.col("l_token").isNull() | F.col("r_token").isNull(), "none").otherwise("key")), d, F.col("token"))
+    return _planned(out.withColumns({"match_kind": F.when(F.col("l_token").isNull() | F.col("r_token").isNull(), "none").otherwise("key"), "create_key": F.col("token")}), d, F.col("token"))
 
 
 def identity_plan(local: DataFrame, remote: DataFrame, d: Definition, watermark: Column | None = None, full: bool = True) -> DataFrame:
@@ -176,16 +240,17 @@ def identity_plan(local: DataFrame, remote: DataFrame, d: Definition, watermark:
     rows = rows.unionByName(alone_l.where("l_rid is null").withColumn("match_kind", F.lit("none")), allowMissingColumns=True)
     rows = rows.unionByName(alone_r.where("r_link is null").withColumn("match_kind", F.lit("none")), allowMissingColumns=True)
     ids = lambda pk, rid: F.to_json(F.struct(F.col(pk).alias("local"), F.col(rid).alias("remote")))
-    out = _planned(_compared(rows, d, watermark), d, ids("l_pk", "r_rid"))
+    out = _planned(_compared(rows, d, watermark).withColumn("create_key", F.coalesce("l_pk", "r_rid")), d, ids("l_pk", "r_rid"))
     none = F.lit(None).cast("string")
     plain = {"match_kind": F.lit("none"), "changes": F.array().cast(CHANGES), "payload": none, "local_before": none, "remote_before": none}
     told = conflicts.withColumns({"action": F.lit("conflict"), "status": F.lit("conflict"), "write_direction": none, **plain})
-    out = out.unionByName(_planned(told, d, ids("pk", "rid")))
+    out = out.unionByName(_planned(told, d, ids("pk", "rid")), allowMissingColumns=True)
     if d.delete_missing and full:
         gone = alone_l.where("l_pk is not null and l_rid is not null").select(F.col("l_pk").alias("pk"), F.col("l_rid").alias("rid"), F.lit("pull").alias("write_direction"))
         gone = gone.unionByName(alone_r.where("r_rid is not null and r_link is not null").select(F.col("r_link").alias("pk"), F.col("r_rid").alias("rid"), F.lit("push").alias("write_direction")))
-        gone = gone.withColumns({"action": F.lit("deleted"), "status": F.lit("success"), "message": F.lit("missing on the other side"), **plain})
-        out = out.unionByName(_planned(gone, d, ids("pk", "rid")))
+        at = F.concat(F.lit("id="), F.when(F.col("write_direction") == "pull", F.col("pk")).otherwise(F.col("rid")))
+        gone = gone.withColumns({"action": F.lit("deleted"), "status": F.lit("success"), "message": F.lit("missing on the other side"), "address": at, **plain})
+        out = out.unionByName(_planned(gone, d, ids("pk", "rid")), allowMissingColumns=True)
     return out
 
 

@@ -80,6 +80,9 @@ class Definition:
     sequence_start: int | None = None
     local_order: tuple[str, ...] = ()
     remote_order: tuple[str, ...] = ()
+    #: By which a row of a side is written, where it has one; the identity's own ids by default.
+    local_id: str | None = None
+    remote_id: str | None = None
 
     def __post_init__(self):
         put = lambda k, v: object.__setattr__(self, k, v)
@@ -108,6 +111,9 @@ class Definition:
                     raise DefinitionError(f"match field {f} is not mapped for all directions")
         elif not all((self.identity.local_pk, self.identity.local_remote_id, self.identity.remote_id, self.identity.remote_link)):
             raise DefinitionError("all identity fields are required")
+        if self.identity:
+            put("local_id", self.local_id or self.identity.local_pk)
+            put("remote_id", self.remote_id or self.identity.remote_id)
         if self.match_mode not in ("first_match", "all_matches"):
             raise DefinitionError(f"no match mode: {self.match_mode}")
         if self.delete_missing and self.read_query:
@@ -139,12 +145,29 @@ class Definition:
         by = {m.local: m.remote for m in self.mapping}
         return [by[f] for f in self.match_fields]
 
+    def own_id(self, way: str) -> str | None:
+        """The column by which rows of the target of a push or a pull are written."""
+        return self.remote_id if way == "push" else self.local_id
+
+    def target_keys(self, way: str) -> list[str]:
+        return self.remote_keys if way == "push" else list(self.match_fields)
+
+    def link(self, way: str) -> str | None:
+        """The target's column that names the source row, if there are identities."""
+        return (self.identity.remote_link if way == "push" else self.identity.local_remote_id) if self.identity else None
+
+    def written(self, way: str) -> dict[str, str]:
+        """Columns of the target that a push or a pull writes, and what changes call them."""
+        out = {(m.remote if way == "push" else m.local): m.local for m in self.mapped(way)}
+        return out | ({self.link(way): self.link(way)} if self.identity else {})
+
     def required(self, side: str) -> list[str]:
         """Columns that a plan reads of one side."""
         out = [m.local if side == "local" else m.remote for m in self.mapping]
         out += [self.local_modified, self.local_creation] if side == "local" else [self.remote_modified, self.remote_creation]
         if self.identity:
             out += [self.identity.local_pk, self.identity.local_remote_id] if side == "local" else [self.identity.remote_id, self.identity.remote_link]
+        out += [self.local_id] if side == "local" else [self.remote_id]
         out += self.local_order if side == "local" else self.remote_order
         return list(dict.fromkeys(c.split(".")[0] for c in out if c))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import idempotency_key
+from ..operators.shared import checkpoint, claim, claims
 from .runs import counters
 
 DECISIONS = ("create", "reverse", "replace", "skip", "error")
@@ -183,6 +185,11 @@ def job(definition: str, records: DataFrame, state: DataFrame, targets: DataFram
     unsettled = unsettled.where(F.coalesce("has", F.lit(True)) | ~F.col("alias_of").eqNullSafe(F.col("record_key"))).select("record_key").distinct().withColumn("unsettled", F.lit(True))
     own = own.join(first, "record_key", "left").join(unsettled, "record_key", "left").withColumn("unsettled", F.coalesce("unsettled", F.lit(False)))
     decided = decide(own, rule, create_new, update_existing)
+    return _come_to(definition, decided, records, state, reversed_, log_unchanged)
+
+
+def _come_to(definition: str, decided: DataFrame, records: DataFrame, state: DataFrame, reversed_: DataFrame | None, log_unchanged: bool) -> Job:
+    """What decisions come to over a state."""
     seen = records.select("record_key").unionByName(decided.where("action <> 'error'").select(F.explode("aliases").alias("record_key")))
     lost = unseen(state, seen)
     warn = F.concat_ws("; ", "warnings") if "warnings" in records.columns else F.lit("")
@@ -193,3 +200,59 @@ def job(definition: str, records: DataFrame, state: DataFrame, targets: DataFram
     counted = shown(decided).unionByName(gone).withColumn("status", F.when(F.col("action") == "error", "error").when(F.col("action") == "skipped", "skipped").otherwise("success"))
     done = reversed_ if reversed_ is not None else decided.sparkSession.createDataFrame([], "reversal_of string")
     return Job(decided, items, reversals(decided, done, definition), next_state(decided, state), counters(counted))
+
+
+class StateTable:
+    """A state table in versions, of which each is committed by one job only: by taking its number."""
+
+    SCHEMA = "record_key string, fingerprint string, revision int, documents array<string>, state string, alias_of string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def read(self) -> tuple[int, DataFrame]:
+        """The last version and its rows; 0 and none if there is no version yet."""
+        done = claims(self.spark, f"{self.folder}/commits")
+        if not done:
+            return 0, self.spark.createDataFrame([], self.SCHEMA)
+        last = max(done)
+        return int(last), self.spark.read.schema(self.SCHEMA).parquet(done[last])
+
+    def commit(self, after: int, rows: DataFrame) -> bool:
+        """Makes rows the version after the one that was read; False, and nothing is changed, if another job has been faster."""
+        path = f"{self.folder}/data/{uuid.uuid4().hex}"
+        rows.select(*self.spark.createDataFrame([], self.SCHEMA).columns).write.parquet(path)
+        return claim(self.spark, f"{self.folder}/commits", f"{after + 1:012d}", path)
+
+
+def moved_since(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(record_key): records whose state another job has written, made or taken away between two versions."""
+    was, is_ = (df.select("record_key", F.struct("fingerprint", "revision", "documents", "state", "alias_of").alias(name)) for df, name in ((before, "_was"), (now, "_is")))
+    return was.join(is_, "record_key", "full_outer").where(~F.col("_was").eqNullSafe(F.col("_is"))).select("record_key")
+
+
+def run_state(table: StateTable, definition: str, records: DataFrame, targets: Callable[[], DataFrame] | None = None, reversed_: DataFrame | None = None, log_unchanged: bool = False, **more) -> Job:
+    """A whole stateful job whose state is written only over the state that it was planned with.
+
+    If another job has committed since, what that job has written is compared with what this one was planned with: records (and those that absorb them) whose
+    state has moved, and those whose target documents have, become errors and keep what the other job has left; the others are put over the
+    new state and committed again, until no job comes between. targets is read again each time.
+    """
+    version, known = table.read()
+    found = targets() if targets else None
+    first = job(definition, records, known, found, reversed_, log_unchanged=log_unchanged, **more)
+    decided = checkpoint(first.decided)
+    done = _come_to(definition, decided, records, known, reversed_, log_unchanged)
+    while not table.commit(version, done.state):
+        version, now = table.read()
+        moved = moved_since(known, now)
+        names = decided.select("record_key", F.explode(F.array_append("aliases", F.col("record_key"))).alias("_name"))
+        stale = names.join(moved.withColumnRenamed("record_key", "_name"), "_name", "left_semi").select("record_key").distinct().withColumn("_moved", F.lit(True))
+        late = decided.join(stale, "record_key", "left")
+        again = late.withColumns({"fault": F.when(F.col("_moved"), F.coalesce("fault", F.lit("state has changed since"))).otherwise(F.col("fault")), "action": F.when(F.col("_moved"), "error").otherwise(F.col("action"))}).drop("_moved")
+        if targets:
+            seen = again.select("record_key", F.explode("existing").alias("e")).select("record_key", F.col("e.name").alias("name"), F.col("e.modified").alias("_old"))
+            other = seen.join(targets().select("name", "modified"), "name", "left").where(~F.col("_old").eqNullSafe(F.col("modified"))).select("record_key").distinct().withColumn("_moved", F.lit(True))
+            again = again.join(other, "record_key", "left").withColumns({"fault": F.coalesce("fault", F.when(F.col("_moved"), "a document has changed since")), "action": F.when(F.col("_moved"), "error").otherwise(F.col("action"))}).drop("_moved")
+        done = _come_to(definition, checkpoint(again), records, now, reversed_, log_unchanged)
+    return done

@@ -16,7 +16,7 @@ from .functions import scalars as fn
 from .operators import apply, mapping, matching, predicates
 from .operators.diff import field_changes
 from .operators.shared import checkpoint, shared_folder
-from .plans import decide, runs, state
+from .plans import decide, execute, runs, state
 from .plans.spec import Definition, Fallback, FieldMap, Identity
 from .sources import tables
 from .streaming import micro
@@ -473,6 +473,91 @@ def display_keys(spark, sf_dir):
     return local.select("n", fn.display_key({"code": F.col("code")}, {}, F.col("name")).alias("shown"), fn.fit(F.repeat("name", F.lit(30))).alias("fitted"))
 
 
+# runs that write
+
+
+@query(f"""{BOTH_SQL} SELECT CASE WHEN r.id % 4 <> 0 THEN r.id * 10 + (r.updated_at <> rl.updated_at)::INT END AS nr, r.id AS code, CASE WHEN l.n IS NULL THEN r.state ELSE {TO_STATE} END AS state, CASE WHEN l.n IS NULL THEN r.balance ELSE l.bal END AS balance
+  FROM r JOIN rl USING (id) LEFT JOIN l ON l.n = r.id AND l.code <> ''
+  UNION ALL SELECT NULL, n, {TO_STATE}, bal FROM l WHERE code <> '' AND NOT EXISTS (SELECT 1 FROM r WHERE r.id = l.n)""")
+def apply_push_all_matches(spark, sf_dir):
+    """Customers are pushed to all rows of their key: each by its own nr, or at once where one has none. One in ten comes twice, and the later one counts."""
+    local, remote = sides(spark, sf_dir)
+    last = matching.last_per_key(remote, ["id"], ["updated_at"]).select("id", F.col("updated_at").alias("last"))
+    nr = F.when(F.col("id") % 4 != 0, F.col("id") * 10 + (F.col("updated_at") != F.col("last")).cast("int"))
+    remote = remote.join(last, "id").select(nr.alias("nr"), F.col("id").alias("code"), "state", "balance")
+    early = local.where("n % 10 = 0").withColumns({"modified": F.col("modified") - F.expr("interval 1 day"), "segment": F.lit("MACHINERY"), "bal": F.lit(0).cast("decimal(15,2)")})
+    d = Definition("customers", "push", (FieldMap("code", "code"), FieldMap("segment", "state"), FieldMap("bal", "balance")), ("code",), match_mode="all_matches", value_map={"segment": PAIRS}, local_order=("modified", "name"), remote_id="nr")
+    return execute.apply_plan(remote, checkpoint(decide.one_way_plan(local.unionByName(early), remote, d)), d, "push")
+
+
+_PULLED = f"(r.id IS NOT NULL AND (l.code = '' OR l.n % 6 = 0 OR l.partner_nr IS NULL OR {TO_SEGMENT.replace('rl.', 'r.')} IS DISTINCT FROM l.segment OR l.bal <> r.balance))"
+
+
+@query(f"""{BOTH_SQL}, m AS (SELECT * REPLACE (CASE WHEN n % 6 = 0 THEN 'X' || n ELSE code END AS code) FROM l)
+  SELECT l.n, CASE WHEN r.id IS NOT NULL AND (l.code = '' OR l.n % 6 = 0) THEN r.id::VARCHAR ELSE l.code END AS code, CASE WHEN r.id IS NULL THEN l.segment ELSE {TO_SEGMENT.replace('rl.', 'r.')} END AS segment,
+    CASE WHEN r.id IS NULL THEN l.bal ELSE r.balance END AS bal, CASE WHEN r.id IS NULL THEN l.partner_nr ELSE r.id::VARCHAR END AS partner_nr, CASE WHEN {_PULLED} THEN r.updated_at ELSE l.modified END AS modified
+  FROM m l LEFT JOIN rl r ON l.n = r.id AND (l.partner_nr IS NOT NULL OR l.code <> '')
+  UNION ALL SELECT NULL, id::VARCHAR, {TO_SEGMENT}, balance, id::VARCHAR, updated_at FROM rl WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.n = rl.id AND (m.partner_nr IS NOT NULL OR m.code <> ''))""")
+def apply_identity_pull(spark, sf_dir):
+    """Customers are pulled to the rows that hold their id, also where the code has changed, else to those of their code; links are kept."""
+    local, remote = sides(spark, sf_dir)
+    local = local.withColumn("code", F.when(F.col("n") % 6 == 0, F.concat(F.lit("X"), F.col("n").cast("string"))).otherwise(F.col("code")))
+    d = definition("pull", identity=Identity("name", "partner_nr", "id", "link"))
+    plan = checkpoint(decide.one_way_plan(local, remote.withColumn("link", F.lit("")), d))
+    return execute.apply_plan(local, plan, d, "pull").select("n", "code", "segment", "bal", "partner_nr", "modified")
+
+
+@query(f"""{_push_sql()} SELECT CASE WHEN code <> '' THEN 'number:' || k END AS record_key, CASE WHEN k % 7 = 0 THEN 'error' ELSE action END AS action, CASE WHEN k % 7 = 0 OR action = 'error' THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN action = 'error' THEN 'match key is missing or blank' WHEN k % 7 = 0 THEN 'state: ''odd'' is no int' END AS message FROM q""")
+def error_items(spark, sf_dir):
+    """Values that the target's columns cannot hold are error items of their own, and the other records go on."""
+    local, remote = sides(spark, sf_dir)
+    local = local.withColumn("segment", F.when(F.col("n") % 7 == 0, "odd").otherwise(F.col("segment")))
+    return decide.one_way_plan(local, remote.withColumn("state", F.col("state").cast("int")), definition("push")).select("record_key", "action", "status", "message")
+
+
+class Files:
+    """A side that is a folder for each version."""
+
+    def __init__(self, df: DataFrame, folder: str):
+        self.spark, self.folder = df.sparkSession, folder
+        self.write(df)
+
+    def write(self, df: DataFrame) -> None:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.path = path
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def side(self) -> execute.Side:
+        return execute.Side(self.read, self.write)
+
+
+@query(f"""{_BOTH_PLAN}, w AS (SELECT *, {_BOTH_WAY} AS way FROM q)
+  SELECT 'local' AS side, l.n AS k, CASE WHEN w.way = 'pull' AND action = 'updated' THEN {TO_SEGMENT} ELSE l.segment END AS what, CASE WHEN w.way = 'pull' AND action = 'updated' THEN rl.balance ELSE l.bal END AS bal FROM l LEFT JOIN w ON w.ln = l.n AND l.code <> '' LEFT JOIN rl ON rl.id = w.k
+  UNION ALL SELECT 'local', k, {TO_SEGMENT}, rl.balance FROM w JOIN rl ON rl.id = k WHERE way = 'pull' AND action = 'created'
+  UNION ALL SELECT 'remote', r.id, CASE WHEN w.way = 'push' AND action = 'updated' THEN {TO_STATE} ELSE r.state END, CASE WHEN w.way = 'push' AND action = 'updated' THEN l.bal ELSE r.balance END FROM r LEFT JOIN w ON w.rn = r.id LEFT JOIN ll l ON l.n = w.k
+  UNION ALL SELECT 'remote', k, {TO_STATE}, l.bal FROM w JOIN ll l ON l.n = k WHERE way = 'push' AND action = 'created'""")
+def both_run(spark, sf_dir):
+    """Both sides after a run that writes both."""
+    at = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    local, remote = (Files(df, f"{at}/{name}") for df, name in zip(sides(spark, sf_dir), ("local", "remote")))
+    now = F.lit("2026-04-01 00:00:00").cast("timestamp")
+    execute.run_both(definition("both"), local.side(), remote.side(), f"{at}/log", "r1", now, now, F.lit(WATERMARK).cast("timestamp_ntz"))
+    ours = local.read().select(F.lit("local").alias("side"), F.coalesce("n", F.col("code").cast("long")).alias("k"), F.col("segment").alias("what"), "bal")
+    return ours.unionByName(remote.read().select(F.lit("remote").alias("side"), F.col("id").alias("k"), F.col("state").alias("what"), F.col("balance").alias("bal")))
+
+
+@query(f"""{_PULL_SQL} SELECT 'number:' || k AS record_key, action, names AS changed_fields FROM q JOIN rl ON rl.id = k WHERE rl.updated_at >= TIMESTAMP '2026-03-20'""")
+def prefetch_pull_plan(spark, sf_dir):
+    """The pull plan of an increment; local rows that it cannot touch are left out before they are shuffled."""
+    local, remote = sides(spark, sf_dir)
+    news = tables.increment(remote, "updated_at", None, F.lit("2026-03-20 00:00:00").cast("timestamp_ntz"))
+    return decide.one_way_plan(local, news, definition("pull"), prefetch=True).select("record_key", "action", "changed_fields")
+
+
 # writes
 
 
@@ -574,11 +659,22 @@ def union_discovered_tables(spark, sf_dir):
     return tables.union_tables(found, "dim_").select(F.lower(F.substring("table", 5, 20)).alias("source"), "id", "label")
 
 
-@query()
+def _digest_sql(names: list[str], source: str, by: str = "") -> str:
+    text = ", ".join(f"coalesce('=' || {c}::VARCHAR, '-')" for c in sorted(names))
+    return f"SELECT {by + ' AS range, ' if by else ''}count(*) AS n_rows, bit_xor(h) AS xored, sum(h % 2147483648)::BIGINT AS summed FROM (SELECT *, ('0x' || left(md5(concat_ws(chr(31), {text})), 15))::BIGINT AS h FROM {source}) {'GROUP BY 1' if by else ''}"
+
+
+@query(_digest_sql(["event_id", "ts", "user_id", "event_type", "value", "props"], "events"))
 def snapshot_digest(spark, sf_dir):
     return tables.digest(table(spark, sf_dir, "events"))
 
 
+@query(_digest_sql(["event_id", "ts", "user_id", "event_type", "value", "props"], "events", "CASE WHEN event_type < 'click' THEN 0 WHEN event_type < 'pz' THEN 1 WHEN event_type < 'signup' THEN 2 ELSE 3 END"))
+def range_digests(spark, sf_dir):
+    """The leaves of a digest tree: a digest for each range of a text key."""
+    return tables.range_digests(table(spark, sf_dir, "events"), "event_type", ["click", "pz", "signup"])
+
+
 @query("SELECT l_orderkey, count(*) AS n_lines, sum(l_extendedprice::DECIMAL(15,2)) AS total FROM lineitem GROUP BY 1")
 def group_source_records(spark, sf_dir):
     return tables.grouped(table(spark, sf_dir, "lineitem"), ["l_orderkey"], {"total": ("l_extendedprice", "decimal(15,2)")}, "n_lines")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import uuid
 from collections.abc import Callable
@@ -122,10 +123,164 @@ def with_children(parents: DataFrame, children: DataFrame, parent_key: str, chil
     return out.withColumn(name, F.coalesce(name, F.array().cast(dict(rows.dtypes)[name])))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """60 bits of MD5 of a row's values as text, in order of their names, which other systems can give too; null is not the same as empty."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in sorted(df.columns)]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 15), 16, 10).cast("long")
+
+
+MARKS = ("n_rows", "xored", "summed")
+
+
+def _marks(h: Column) -> list[Column]:
+    return [F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xored"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 31))), F.lit(0)).alias("summed")]
+
+
 def digest(df: DataFrame) -> DataFrame:
     """One row that tells whether contents are equal, in whatever order: number of rows and two combined hashes."""
-    h = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xored"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 31))), F.lit(0)).alias("summed"))
+    return df.agg(*_marks(row_hash(df)))
+
+
+# ranges of a key
+
+#: Ranges of a digest tree, and nodes of one level that make one of the next.
+RANGES, FAN = 256, 16
+
+
+def bounds_of(df: DataFrame, key: str, ranges: int = RANGES, rows: int = 20_000) -> list:
+    """Where ranges of about equal rows begin, but for the first: from keys drawn by hash, so many rows at most."""
+    drawn = df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(rows).distinct().collect()
+    values = sorted(r[0] for r in drawn)
+    return sorted({values[len(values) * k // ranges] for k in range(1, ranges)} - {values[0]}) if values else []
+
+
+def range_of(key: Column, bounds: list) -> Column:
+    """The number of a key's range: how many bounds are at or below it; a null key is in the first."""
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)), F.lit(0)) if bounds else F.lit(0)
+
+
+def in_ranges(key: Column, bounds: list, wanted: list[int]) -> Column:
+    """A condition that the storage can use: whether a key is in one of these ranges."""
+    edges = [None, *bounds, None]
+    out = F.lit(False)
+    for k in wanted:
+        low, high = edges[k], edges[k + 1]
+        one = (F.lit(True) if low is None else key >= low) & (F.lit(True) if high is None else key < high)
+        out = out | (one | key.isNull() if k == 0 else one)
+    return out
+
+
+def range_digests(df: DataFrame, key: str, bounds: list) -> DataFrame:
+    """digest of each range that has rows: (range, n_rows, xored, summed)."""
+    return df.withColumn("_h", row_hash(df)).groupBy(range_of(F.col(key), bounds).alias("range")).agg(*_marks(F.col("_h")))
+
+
+def digest_tree(leaves: DataFrame, ranges: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(level, node) and digest of all nodes above ranges, the root last: FAN of them make one. Its size is that of the number of ranges."""
+    level = {r["range"]: tuple(r[m] for m in MARKS) for r in leaves.collect()}  # a row for each range
+    tree, k, width = {}, 0, ranges
+    while True:
+        tree |= {(k, node): mark for node, mark in level.items()}
+        if width <= 1:
+            return tree
+        up: dict[int, tuple[int, int, int]] = {}
+        for node, (n, x, s) in level.items():
+            m, y, t = up.get(node // FAN, (0, 0, 0))
+            up[node // FAN] = (n + m, x ^ y, s + t)
+        level, k, width = up, k + 1, -(-width // FAN)
+
+
+def moved_ranges(one: dict, other: dict, ranges: int) -> list[int]:
+    """Ranges in which two trees differ, looked for only below nodes that do."""
+    top, width = 0, ranges
+    while width > 1:
+        top, width = top + 1, -(-width // FAN)
+    open_ = [0]
+    for level in range(top, -1, -1):
+        differ = [n for n in open_ if one.get((level, n)) != other.get((level, n))]
+        open_ = differ if level == 0 else [c for n in differ for c in range(n * FAN, (n + 1) * FAN)]
+    return [n for n in open_ if n < ranges]
+
+
+def snapshot_in_ranges(read: Callable[[Column | None], DataFrame], folder: str, key: str, bounds: list, tries: int = 3) -> tuple[DataFrame, dict]:
+    """A verified snapshot (see snapshot) of a source that may move: only ranges of its key that differ between two reads are read again.
+
+    read gets a condition on the key, or None for all rows, which the source is to apply itself. Each range's rows are files of their
+    own. The manifest names the files and has the digest tree.
+    """
+    ranges = len(bounds) + 1
+
+    def stage(rows: DataFrame) -> str:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        rows.withColumn("_range", range_of(F.col(key), bounds)).repartition("_range").write.partitionBy("_range").parquet(path)
+        return path
+
+    def staged() -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), [spark.read.schema(kinds).parquet(p).where(F.col("_range").isin(mine)).drop("_range") for p, mine in held.items()])
+
+    source = read(None)
+    spark, columns = source.sparkSession, source.columns
+    kinds = spark.createDataFrame([], source.schema).withColumn("_range", F.lit(0)).schema
+    held: dict[str, list[int]] = {stage(source): list(range(ranges))}
+    tree = digest_tree(range_digests(staged(), key, bounds), ranges)
+    seen = digest_tree(range_digests(read(None).select(columns), key, bounds), ranges)
+    for _ in range(tries):
+        moved = moved_ranges(tree, seen, ranges)
+        if not moved:
+            return staged(), {"paths": held, "tree": {f"{k}/{n}": m for (k, n), m in tree.items()}, **dict(zip(MARKS, tree.get((max(k for k, _ in tree), 0), (0, 0, 0)) if tree else (0, 0, 0)))}
+        again = stage(read(in_ranges(F.col(key), bounds, moved)).select(columns))
+        held = {p: [k for k in mine if k not in moved] for p, mine in held.items()} | {again: moved}
+        tree = digest_tree(range_digests(staged(), key, bounds), ranges)
+        news = digest_tree(range_digests(read(in_ranges(F.col(key), bounds, moved)).select(columns), key, bounds), ranges)
+        leaves = {n: m for (k, n), m in tree.items() if k == 0 and n not in moved} | {n: m for (k, n), m in news.items() if k == 0}
+        seen = digest_tree(spark.createDataFrame([(n, *m) for n, m in leaves.items()], "range int, n_rows long, xored long, summed long"), ranges)
+    raise SourceError("the source keeps changing while it is read")
+
+
+# ranges of a database's keys
+
+
+def _sql_value(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, dt.datetime):
+        return f"TIMESTAMP '{v:%Y-%m-%d %H:%M:%S.%f}'"
+    return f"DATE '{v:%Y-%m-%d}'" if isinstance(v, dt.date) else str(v)
+
+
+def _at_least(keys: list[str], bound: tuple) -> str:
+    """In order of the keys at the bound or beyond it."""
+    parts = []
+    for i, k in enumerate(keys):
+        same = [f"{c} = {_sql_value(v)}" for c, v in zip(keys[:i], bound)]
+        parts.append(" AND ".join([*same, f"{k} {'>=' if i == len(keys) - 1 else '>'} {_sql_value(bound[i])}"]))
+    return "(" + " OR ".join(f"({p})" for p in parts) + ")"
+
+
+def range_predicates(keys: list[str], bounds: list[tuple]) -> list[str]:
+    """SQL conditions that deal rows by bounds in the database's order of the keys: each row meets one of them, those of a null key the last."""
+    there = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    null = " OR ".join(f"{k} IS NULL" for k in keys)
+    edges = [_at_least(keys, b) for b in bounds]
+    out = [" AND ".join([there, *([edges[k - 1]] if k else []), *([f"NOT {edges[k]}"] if k < len(edges) else [])]) for k in range(len(edges) + 1)]
+    return [*out, null]
+
+
+def jdbc_ranges(spark: SparkSession, url: str, table: str, keys: list[str], partitions: int = 8, rows: int = 10_000, **options) -> DataFrame:
+    """A database table, read in ranges of its keys, several or texts too, of about equal rows.
+
+    Bounds are quantiles of keys drawn by hash, so many rows at most; the database itself puts the bounds in order, so that its
+    collation, not Spark's, decides what lies between two of them.
+    """
+    names = jdbc_query(spark, url, f"SELECT {', '.join(keys)} FROM {table}", **options)
+    drawn = names.dropna().orderBy(F.xxhash64(*names.columns), *names.columns).limit(rows).distinct().collect()
+    values = sorted(tuple(r) for r in drawn)
+    picked = sorted({values[len(values) * k // partitions] for k in range(1, partitions)}) if values else []
+    if picked:
+        same = " OR ".join("(" + " AND ".join(f"{k} = {_sql_value(v)}" for k, v in zip(keys, b)) + ")" for b in picked)
+        order = jdbc_query(spark, url, f"SELECT r.*, ROW_NUMBER() OVER () AS RANK_ FROM (SELECT DISTINCT {', '.join(keys)} FROM {table} WHERE {same} ORDER BY {', '.join(keys)}) r", **options)
+        picked = [tuple(r)[:-1] for r in sorted(order.collect(), key=lambda r: r[-1])]
+    return spark.read.jdbc(url, table, predicates=range_predicates(keys, picked), properties={k: str(v) for k, v in options.items()})
 
 
 def snapshot(read: Callable[[], DataFrame], folder: str, origin: dict[str, str] | None = None, tries: int = 3) -> tuple[DataFrame, dict]:

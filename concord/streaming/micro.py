@@ -18,7 +18,7 @@ from ..operators.shared import checkpoint
 from ..plans.decide import one_way_plan
 from ..plans.execute import apply_plan
 from ..plans.runs import audit
-from ..plans.spec import Definition
+from ..plans.spec import Definition, DefinitionError
 from ..plans.state import job
 
 POINTERS = "batch long, written long, bucket int, path string"
@@ -93,8 +93,13 @@ def pull_stream(stream: DataFrame, table: VersionedTable, keys: list[str], stamp
 def pull_batch(table: VersionedTable, batch: DataFrame, number: int, d: Definition, items: str | None = None) -> None:
     """The pull plan of a batch of remote rows against the local table, applied. items is a folder to which its decisions are appended.
 
-    A batch that comes twice finds its own values in the table, so that its plan is all skipped.
+    A batch that comes twice finds its own values in the table, so that its plan is all skipped. A batch is no complete read, so that a
+    definition that deletes what is missing is refused; so is one with identities, as the table's buckets are those of match keys.
     """
+    if d.delete_missing:
+        raise DefinitionError("a batch does not tell what is missing")
+    if d.identity:
+        raise DefinitionError("rows that match by stored ids do not meet in buckets of match keys")
     to = table.touched(with_key(batch, d.remote_keys).where("key is not null").select(F.col("key").alias("_key")))
     if not to:
         return
