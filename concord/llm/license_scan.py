@@ -31,7 +31,7 @@ SAMPLE_TOLD, SAMPLE_PLAIN = 1000, 250
 #: N-grams in the vocabulary at most.
 VOCABULARY = 20_000
 #: Share of a template's n-grams that a window must hold; of a template of fewer than SHORT words also the share of the
-#: window's n-grams that the template must hold, as few words prove little in other company.
+#: window's n-grams that the template must hold, as few words prove little in other company (of two words all n-grams, see needed).
 CONFIRMED, SHORT = 0.6, 6
 #: Share of held-out paragraphs of the unknown class that may exceed the probability.
 FALSE_RATE = 0.1
@@ -44,31 +44,59 @@ BUCKETS = 1024
 
 #: What the licences' stewards recommend to write, by family. These confirm.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish"],
-    "isc": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "lgpl": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
-    "bsd": ["Distributed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "proprietary": ["All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License, Version 2.0, January 2004", "The Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish", "The MIT License (MIT)", "MIT License", "Licensed under MIT", "SPDX-License-Identifier: MIT", "The Software is provided \"as is\", without warranty of any kind, express or implied"],
+    "isc": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License", "SPDX-License-Identifier: ISC"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU General Public License, Version 3, 29 June 2007", "GNU General Public License", "Licensed under the GPL, version 2", "Licensed under GPLv3", "Released under the GNU GPL", "SPDX-License-Identifier: GPL-3.0-or-later", "You should have received a copy of the GNU General Public License along with this program."],
+    "lgpl": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "GNU Lesser General Public License, Version 3, 29 June 2007", "Licensed under the LGPL, version 2.1", "Released under the GNU LGPL", "SPDX-License-Identifier: LGPL-2.1-or-later", "You should have received a copy of the GNU Lesser General Public License along with this library."],
+    "bsd": ["Distributed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD 2-Clause License", "Released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Mozilla Public License, Version 2.0", "Released under the MPL 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "proprietary": ["All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.", "Confidential and proprietary", "Copying of this file is strictly prohibited"],
+    "agpl": ["This work is licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License, Version 3, 19 November 2007", "GNU Affero General Public License", "Released under the GNU AGPL", "SPDX-License-Identifier: AGPL-3.0-or-later", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "epl": ["Eclipse Public License - v 2.0", "Licensed under the Eclipse Public License", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "bsl-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense", "SPDX-License-Identifier: Unlicense"],
 }
+#: The licences' names and short names, in small letters and without marks. One that stands whole in a window confirms a prediction.
+NAMES = {
+    "apache-2.0": ["apache license", "apache licence", "apache 2 0"],
+    "mit": ["mit license", "mit licence", "mit licensed", "license mit"],
+    "isc": ["isc license", "isc licence", "license isc"],
+    "gpl": ["gnu general public license", "gnu gpl", "gplv2", "gplv3", "license gpl", "identifier gpl"],
+    "lgpl": ["gnu lesser general public license", "gnu lgpl", "lgplv2", "lgplv3", "license lgpl", "identifier lgpl"],
+    "agpl": ["gnu affero general public license", "gnu agpl", "agplv3", "license agpl", "the agpl"],
+    "bsd": ["bsd license", "bsd licence", "clause bsd", "bsd 2 clause", "bsd 3 clause", "license bsd"],
+    "mpl-2.0": ["mozilla public license", "license mpl"],
+    "epl": ["eclipse public license", "license epl", "the epl"],
+    "bsl-1.0": ["boost software license", "license bsl"],
+    "unlicense": ["the unlicense", "license unlicense", "into the public domain"],
+    "cc-by": ["creative commons attribution international", "creative commons attribution 4 0"],
+    "cc-by-nc": ["creative commons attribution noncommercial"],
+    "cc-by-sa": ["creative commons attribution sharealike"],
+    "proprietary": ["all rights reserved", "rights are reserved", "strictly prohibited"],
+}
+#: A name confirms in a window that holds one of these words, or no more n-grams than SHORT different words have: elsewhere it is only spoken of.
+GRANTS = "available copyright covered distributed governed identifier licensed received redistribute released subject terms".split()
 #: What is learnt from: other wordings of each family. (Of "All rights reserved" there is no other.)
 WORDINGS = {
-    "apache-2.0": ["This project is licensed under the Apache License 2.0, see the LICENSE file.", "Apache License, Version 2.0, January 2004.", "You may not use this work except in compliance with the Apache License, Version 2.0 (the \"License\").", "Distributed under the terms of the Apache License (version 2.0).", "The code is available under Apache 2.0 and you may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0."],
-    "mit": ["This project is licensed under the MIT License - see the LICENSE file for details.", "The MIT License (MIT).", "Permission is granted, free of charge, to any person who obtains a copy of this program and its documentation, to deal in it without restriction, and to use, copy, modify, merge, publish, distribute, sublicense and sell copies.", "MIT licensed, free of charge to any person obtaining a copy of the software and associated files.", "The code is released under the terms of the MIT license."],
-    "isc": ["This package is distributed under the ISC License.", "ISC License (ISC).", "Permission to copy, modify and distribute this package for any purpose with or without fee is granted, if the copyright notice and this permission notice appear in all copies.", "Use it for any purpose with or without fee under the terms of the ISC license."],
-    "gpl": ["You can redistribute this package under the terms of the GNU General Public License, version 2 or later.", "Released under the GNU GPL, version 3.", "It is free software under the terms of the GNU General Public License as published by the Free Software Foundation.", "This file is licensed under the GNU General Public License, version 2 or any later version.", "You should have received a copy of the GNU General Public License along with this program."],
-    "lgpl": ["You can redistribute this package under the terms of the GNU Lesser General Public License, version 2.1 or later.", "Released under the GNU LGPL, version 3.", "It is a free library under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "You should have received a copy of the GNU Lesser General Public License along with this library."],
-    "bsd": ["This project is licensed under the BSD 3-Clause License, see LICENSE.", "Redistribution in source and binary forms, with or without modification, is permitted if the following conditions are met.", "The use of this code is governed by a BSD license that can be found in the LICENSE file.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Released under the 2-clause BSD license."],
-    "mpl-2.0": ["This file is subject to the Mozilla Public License, version 2.0.", "Released under the MPL 2.0.", "You can obtain a copy of the Mozilla Public License at https://mozilla.org/MPL/2.0/ if none was distributed with this file."],
-    "cc-by": ["This text is available under CC BY 4.0.", "Available under the Creative Commons Attribution 4.0 licence.", "Shared under a Creative Commons Attribution International License.", "License: CC BY 4.0."],
-    "cc-by-nc": ["This text is available under CC BY-NC 4.0.", "Available under the Creative Commons Attribution-NonCommercial 4.0 licence.", "Shared under a Creative Commons Attribution-NonCommercial International License.", "License: CC BY-NC 4.0."],
-    "cc-by-sa": ["This text is available under CC BY-SA 4.0.", "Available under the Creative Commons Attribution-ShareAlike 4.0 licence.", "Shared under a Creative Commons Attribution-ShareAlike International License.", "License: CC BY-SA 4.0."],
+    "apache-2.0": ["This project is licensed under the Apache License 2.0, see the LICENSE file.", "Apache License, Version 2.0, January 2004.", "You may not use this work except in compliance with the Apache License, Version 2.0 (the \"License\").", "Distributed under the terms of the Apache License (version 2.0).", "The code is available under Apache 2.0 and you may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.", "License: Apache-2.0", "Apache License Version 2.0", "Licensed under Apache 2.0.", "The library is released under the Apache License."],
+    "mit": ["This project is licensed under the MIT License - see the LICENSE file for details.", "The MIT License (MIT).", "Permission is granted, free of charge, to any person who obtains a copy of this program and its documentation, to deal in it without restriction, and to use, copy, modify, merge, publish, distribute, sublicense and sell copies.", "MIT licensed, free of charge to any person obtaining a copy of the software and associated files.", "The code is released under the terms of the MIT license.", "License: MIT", "MIT licensed.", "MIT License, see LICENSE.", "MIT, see the file LICENSE.", "The MIT licence applies.", "Under the MIT License.", "Licensed: MIT.", "SPDX-License-Identifier: MIT", "Copyright (c) 2020 Jane Doe, MIT License.", "It is provided as is, without warranty of any kind."],
+    "isc": ["This package is distributed under the ISC License.", "ISC License (ISC).", "Permission to copy, modify and distribute this package for any purpose with or without fee is granted, if the copyright notice and this permission notice appear in all copies.", "Use it for any purpose with or without fee under the terms of the ISC license.", "License: ISC", "The ISC license applies.", "SPDX-License-Identifier: ISC"],
+    "gpl": ["You can redistribute this package under the terms of the GNU General Public License, version 2 or later.", "Released under the GNU GPL, version 3.", "It is free software under the terms of the GNU General Public License as published by the Free Software Foundation.", "This file is licensed under the GNU General Public License, version 2 or any later version.", "You should have received a copy of the GNU General Public License along with this program.", "License: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only", "GPLv2 or later.", "GPLv3 or later.", "Under GPLv3.", "Licensed under the GPLv2.", "The GNU General Public License, version 2, June 1991."],
+    "lgpl": ["You can redistribute this package under the terms of the GNU Lesser General Public License, version 2.1 or later.", "Released under the GNU LGPL, version 3.", "It is a free library under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "You should have received a copy of the GNU Lesser General Public License along with this library.", "License: LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only", "LGPLv2.1 or later.", "The GNU Lesser General Public License, version 2.1, February 1999."],
+    "bsd": ["This project is licensed under the BSD 3-Clause License, see LICENSE.", "Redistribution in source and binary forms, with or without modification, is permitted if the following conditions are met.", "The use of this code is governed by a BSD license that can be found in the LICENSE file.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Released under the 2-clause BSD license.", "License: BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause", "The 3-Clause BSD License.", "The BSD 2-Clause Licence.", "Available under the two-clause BSD licence."],
+    "mpl-2.0": ["This file is subject to the Mozilla Public License, version 2.0.", "Released under the MPL 2.0.", "You can obtain a copy of the Mozilla Public License at https://mozilla.org/MPL/2.0/ if none was distributed with this file.", "License: MPL-2.0", "SPDX-License-Identifier: MPL-2.0-no-copyleft-exception", "The Mozilla Public License 2.0."],
+    "cc-by": ["This text is available under CC BY 4.0.", "Available under the Creative Commons Attribution 4.0 licence.", "Shared under a Creative Commons Attribution International License.", "License: CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-nc": ["This text is available under CC BY-NC 4.0.", "Available under the Creative Commons Attribution-NonCommercial 4.0 licence.", "Shared under a Creative Commons Attribution-NonCommercial International License.", "License: CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-sa": ["This text is available under CC BY-SA 4.0.", "Available under the Creative Commons Attribution-ShareAlike 4.0 licence.", "Shared under a Creative Commons Attribution-ShareAlike International License.", "License: CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "proprietary": ["Copyright 2021, all rights reserved.", "All rights are reserved by the company.", "(c) 2019 Example Ltd, all rights reserved.", "Copyright by the authors. All rights reserved.", "Copying this file without permission is strictly prohibited, it is confidential and proprietary.", "Confidential and proprietary: unauthorized use or copying of any part is prohibited.", "All rights reserved worldwide.", "All rights reserved 2020.", "All rights reserved", "all rights reserved.", "All Rights Reserved.", "ALL RIGHTS RESERVED", "(c) All rights reserved", "All rights are reserved.", "All rights reserved, by the owner.", "Example Ltd. All rights reserved"],
+    "agpl": ["License: AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the AGPL, version 3.", "This server is free software under the terms of the GNU Affero General Public License.", "You should have received a copy of the GNU Affero General Public License with it.", "Licensed under AGPLv3 or later."],
+    "epl": ["License: EPL-1.0", "SPDX-License-Identifier: EPL-1.0", "Released under the EPL, version 2.0.", "All rights to the materials are granted under the Eclipse Public License v1.0 which accompanies this distribution.", "The Eclipse Public License, version 2.0.", "Eclipse Public License v1.0."],
+    "bsl-1.0": ["License: BSL-1.0", "Boost Software License 1.0.", "Use is subject to the Boost Software License, see the file LICENSE_1_0.txt.", "Licensed under the Boost Software License."],
+    "unlicense": ["License: Unlicense", "This code is released into the public domain.", "The Unlicense.", "It is free and unencumbered, given into the public domain."],
 }
 #: Sentences that share words with notices and license nothing; one in two is held out.
 NEAR_MISSES = [
@@ -110,31 +138,40 @@ def grams_of_text(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)))
 
 
-#: (family, n-grams, whether it is short) of each template.
+#: (family, n-grams, whether it is short) of each template, and of each name (None).
 _TEMPLATES = [(f, grams_of_text(t), len(re.findall("[a-z0-9]+", t.lower())) < SHORT) for f, ts in TEMPLATES.items() for t in ts]
+_TEMPLATES += [(f, grams_of_text(t), None) for f, ts in NAMES.items() for t in ts]
+
+
+def needed(grams: list[str], short: bool | None) -> float:
+    """The share of a template's n-grams that confirms it; of a name, and of a template of two words, it is all of them, as the words apart say nothing."""
+    return 1.0 if short is None or len(grams) == 3 else CONFIRMED
 
 
-def needed_pairs() -> list[tuple[str, str]]:
-    """Pairs of words in a row of which a window must hold one: without those of a template it holds too few of its n-grams to be confirmed."""
+def needed_pairs() -> list[tuple[str, ...]]:
+    """Pairs of words in a row, and names of one word, of which a window must hold one: without those of a template it holds too few of its n-grams to be confirmed."""
     out = set()
-    for _, grams, _ in _TEMPLATES:
-        gone: set[str] = set()
+    for _, grams, short in _TEMPLATES:
+        gone, need = set(), needed(grams, short) * len(grams)
+        if len(grams) == 1:
+            out.add((grams[0],))
+            continue
         pairs = [g for g in grams if g.count(" ") == 1]
         for pair in sorted(pairs, key=lambda g: (len(COMMON.intersection(g.split())), -len(g), g)):
-            if len(grams) - len(gone) < CONFIRMED * len(grams):
+            if len(grams) - len(gone) < need:
                 break
             out.add(tuple(pair.split()))
             gone |= {g for g in grams if f" {pair} " in f" {g} "}
-        assert len(grams) - len(gone) < CONFIRMED * len(grams)
+        assert len(grams) - len(gone) < need
     return sorted(out)
 
 
 def may_hold() -> str:
     """A pattern that each window with a confirmed notice matches."""
     by: dict[str, list[str]] = {}
-    for a, b in needed_pairs():
-        by.setdefault(a, []).append(b)
-    each = "|".join(f"{a}[^\\p{{L}}\\p{{N}}]++(?:{'|'.join(bs)})" for a, bs in by.items())
+    for a, *b in needed_pairs():
+        by.setdefault(a, []).extend(b)
+    each = "|".join(f"{a}[^\\p{{L}}\\p{{N}}]++(?:{'|'.join(bs)})" if bs else a for a, bs in by.items())
     return rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{each})(?![\p{{L}}\p{{N}}])"
 
 
@@ -163,13 +200,15 @@ def _lookup(weights: dict[str, list[float]]):
     return lambda g: F.try_element_at(F.get(table, (F.crc32(g) % BUCKETS).cast("int")), g)
 
 
-def _shares(hits: Column, n: Column, templates: list[int]) -> Column:
-    """The largest share that hits (of n grams in all) have of one of these templates; of a short one both shares must do."""
+def _shares(hits: Column, n: Column, templates: list[int], grants: Column) -> Column:
+    """The largest share that hits (of n grams in all) have of one of these templates; of a short one both shares must do, and a name counts where grants is true."""
 
     def share(k: int) -> Column:
         _, grams, short = _TEMPLATES[k]
         both = F.size(F.filter(hits, lambda h: F.array_contains(h["t"], k)))
-        return F.when(both / n >= CONFIRMED, both / len(grams)).otherwise(0.0) if short else both / len(grams)
+        if short is None:  # the least that confirms, so that a template that is there too decides where the notice begins and ends
+            return F.when(grants & (both == len(grams)), F.lit(CONFIRMED)).otherwise(0.0)
+        return F.when((both / n >= CONFIRMED) & (both >= needed(grams, short) * len(grams)), both / len(grams)).otherwise(0.0) if short else both / len(grams)
 
     return F.array_max(F.array(*map(share, templates)))
 
@@ -178,22 +217,22 @@ def _judged(paragraph: Column, model: Model, lookup) -> Column:
     """struct<family, probability, overlap> of a paragraph, null where it is unknown or not confirmed."""
     zero = _constant(model.intercepts, "array<double>")
     families = _constant(model.families, "array<string>")
-    of = {f: [k for k, (g, _, _) in enumerate(_TEMPLATES) if g == f] for f in TEMPLATES}
+    of = {f: [k for k, (g, _, _) in enumerate(_TEMPLATES) if g == f] for f in TEMPLATES}  # names too
 
-    def scored(hits: Column, n: Column) -> Column:
+    def scored(hits: Column, n: Column, grants: Column) -> Column:
         add = lambda acc, h: F.when(h["w"].isNull(), acc).otherwise(F.zip_with(acc, h["w"], lambda a, b: a + b))
-        return let(F.aggregate(hits, zero, add), lambda z: predicted(hits, n, z))
+        return let(F.aggregate(hits, zero, add), lambda z: predicted(hits, n, z, grants))
 
-    def predicted(hits: Column, n: Column, z: Column) -> Column:
+    def predicted(hits: Column, n: Column, z: Column, grants: Column) -> Column:
         most = F.array_max(z)
         family = F.element_at(families, F.array_position(z, most).cast("int"))
         p = 1 / F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
         overlap = F.lit(0.0)
         for f, ks in of.items():
-            overlap = F.when(family == f, _shares(hits, n, ks)).otherwise(overlap)
+            overlap = F.when(family == f, _shares(hits, n, ks, grants)).otherwise(overlap)
         return let(F.struct(family.alias("family"), p.alias("probability"), overlap.alias("overlap")), lambda j: F.when((j["family"] != UNKNOWN) & (j["probability"] > model.least) & (j["overlap"] >= CONFIRMED), j))
 
-    return let(grams_of(words_of(paragraph)), lambda gs: let(F.filter(F.transform(gs, lookup), lambda h: h.isNotNull()), lambda hits: F.when(F.size(hits) > 0, scored(hits, F.size(gs)))))
+    return let(grams_of(words_of(paragraph)), lambda gs: let(F.filter(F.transform(gs, lookup), lambda h: h.isNotNull()), lambda hits: F.when(F.size(hits) > 0, scored(hits, F.size(gs), (F.size(gs) <= 3 * SHORT - 3) | F.arrays_overlap(gs, F.array(*map(F.lit, GRANTS)))))))
 
 
 def pieces_of(text: Column) -> Column:
@@ -208,7 +247,7 @@ def _sample(docs: DataFrame) -> list[tuple[str, bool]]:
     order = F.xxhash64(F.col("doc_id").cast("string"), "text")
     some = docs.where(F.pmod(order, F.lit(1 << 20)) < min(1.0, 8 * SAMPLE_TOLD / max(1, n)) * (1 << 20))
     lookup = _lookup({})
-    held = lambda t: let(grams_of(words_of(t)), lambda gs: let(F.filter(F.transform(gs, lookup), lambda h: h.isNotNull()), lambda hits: F.array_max(F.array(*[F.size(F.filter(hits, lambda h, k=k: F.array_contains(h["t"], k))) / len(g) for k, (_, g, _) in enumerate(_TEMPLATES)]))))
+    held = lambda t: let(grams_of(words_of(t)), lambda gs: let(F.filter(F.transform(gs, lookup), lambda h: h.isNotNull()), lambda hits: F.array_max(F.array(*[F.size(F.filter(hits, lambda h, k=k: F.array_contains(h["t"], k))) / len(g) for k, (_, g, short) in enumerate(_TEMPLATES) if short is not None]))))
     each = some.select(F.explode(pieces_of(F.col("text"))).alias("piece"))
     each = each.where((F.length("piece") < 2000) & F.col("piece").rlike(r"\p{L}")).select("piece", F.col("piece").rlike(LICENCE_WORDS).alias("told"), F.xxhash64("piece").alias("h"))
     number = {r.told: r.n for r in each.groupBy("told").agg(F.count("*").alias("n")).collect()}

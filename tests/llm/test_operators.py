@@ -227,8 +227,12 @@ def brute_licences(text, model):
             own = words(template)
             theirs = {" ".join(own[i : i + n]) for n in (1, 2, 3) for i in range(len(own) - n + 1)}
             both = len(grams & theirs)
-            if f == family and not (len(own) < license_scan.SHORT and both < license_scan.CONFIRMED * len(grams)):
+            short = len(own) < license_scan.SHORT and (both < license_scan.CONFIRMED * len(grams) or (len(own) == 2 and both < len(theirs)))
+            if f == family and not short:
                 best = max(best, both / len(theirs))
+        for name in license_scan.NAMES.get(family, ()):
+            if set(license_scan.grams_of_text(name)) <= grams and (len(grams) <= 15 or grams & set(license_scan.GRANTS)):
+                best = max(best, license_scan.CONFIRMED)
         return (family, best) if family != license_scan.UNKNOWN and p > model.least and best >= license_scan.CONFIRMED else None
 
     found = []
