@@ -19,7 +19,7 @@ from .operators.shared import checkpoint, shared_folder
 from .plans import decide, execute, runs, state
 from .plans.spec import Definition, Fallback, FieldMap, Identity
 from .sources import tables
-from .streaming import micro
+from .streaming import micro, tracked
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -859,6 +859,23 @@ def stream_pull_plan(spark, sf_dir):
     return local.read()
 
 
+@query("""WITH e AS (SELECT DISTINCT user_id, ts, event_type FROM events), d AS (SELECT *, lag(event_type) OVER w AS before FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),
+  c AS (SELECT *, CASE WHEN before IS NULL THEN 'create' WHEN before = event_type THEN 'skip' ELSE 'replace' END AS decision FROM d)
+  SELECT user_id::VARCHAR AS record_key, ts AS stamp, decision, (count(*) FILTER (decision <> 'skip') OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING))::INT AS revision FROM c""")
+def stream_tracked_state(spark, sf_dir):
+    """What each event means for its user's state; three files arrive, out of order, and then a mark that is later than all of them."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("record_key"), F.col("event_type").alias("fingerprint"), F.lit(False).alias("removed"), F.col("ts").cast("timestamp").alias("stamp"))
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    last = events.agg(F.max("stamp").alias("stamp")).select(F.lit("mark").alias("record_key"), F.lit("").alias("fingerprint"), F.lit(False).alias("removed"), (F.col("stamp") + F.expr("interval 3651 days")).alias("stamp"))
+    # files of one folder need not come in the order of their rows, so that nothing is decided before the mark, with which the query is started again
+    for part in (events.repartition(3, "stamp"), last):
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        tracked.tracked_stream(stream, "3650 days").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(tracked.ITEMS).parquet(f"{at}/out").where("record_key <> 'mark'")
+    return found.select("record_key", F.col("stamp").cast("timestamp_ntz").alias("stamp"), "decision", "revision")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
