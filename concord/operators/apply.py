@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blank
 from .matching import last_per_key
-from .shared import claim, claims
+from .shared import checkpoint, claim, claims
 
 #: Columns that the storage keeps by itself.
 SYSTEM_COLUMNS = ("name", "owner", "creation", "modified", "modified_by", "docstatus", "idx", "_user_tags", "_comments", "_assign", "_liked_by")
@@ -65,8 +65,11 @@ def faulty_keys(payload: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n", parts: int | None = None) -> DataFrame:
-    """Rows numbered from 1 in order, with no task that holds them all: ranges are counted, then numbered each by itself."""
-    spread = df.repartitionByRange(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    """Rows numbered from 1 in order, with no task that holds them all: ranges are counted, then numbered each by itself.
+
+    The ranges come from a sample, which Spark draws anew for each use, so that rows are kept once with the range they fell into.
+    """
+    spread = checkpoint(df.repartitionByRange(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part").orderBy(*order)
     counts = spread.groupBy("_part").agg(F.count("*").alias("_rows"))  # a row for each range
     before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))

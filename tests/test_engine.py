@@ -104,6 +104,14 @@ def test_ids_are_consecutive_over_partitions(spark):
     assert [r.new for r in got] == list(range(5, 1005))
 
 
+def test_ids_are_consecutive_where_ranges_are_sampled(spark):
+    """Rows with a column besides the order, and more of them than a sample takes."""
+    df = spark.range(200_000, numPartitions=4).select(F.col("id").alias("n"), (-F.col("id")).alias("k"))
+    got = apply.allocate_ids(df, ["k"], "new", "sequence", start=5)
+    assert got.where("new <> 5 + 199999 - n").count() == 0
+    assert got.select("new").distinct().count() == 200_000
+
+
 def test_child_rows_merge_by_position(spark):
     kind = "array<struct<code: string, note: string>>"
     df = spark.createDataFrame([([("a", "x"), ("b", "y")], [(None, "n"), (None, ""), (None, "z")])], f"old {kind}, new {kind}")
