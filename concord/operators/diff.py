@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_diff
@@ -36,3 +36,9 @@ def field_changes(new: dict[str, Column], old: dict[str, Column], kinds: dict[st
 
     # one expression for all fields: the plan does not grow with what norm_diff has to try
     return F.transform(F.filter(F.array(*[row(f) for f in fields]), changed), lambda c: F.struct(c["field"], c["old"], c["new"])).cast(CHANGES)
+
+
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are costly and asked often, made once for each row: they pass a generator, beyond which no filter on them and no later column is folded into them."""
+    made = df.withColumns({f"_{name}": c for name, c in columns.items()})
+    return made.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(*[F.col(f"_{name}").alias(name) for name in columns]))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blank, changed_fields, changed_since, compare_modified, effective_modified, fit
-from ..operators.diff import CHANGES, field_changes
+from ..operators.diff import CHANGES, field_changes, worked_out
 from ..operators.joins import join_hot
 from ..operators.mapping import project
 from ..operators.matching import address, identity_pairs, key_set, last_per_key, match_all, match_first, match_identity_all, match_identity_first, might_match, missing, pair_by_token, prefixed, with_key
@@ -118,7 +118,7 @@ def one_way_plan(local: DataFrame, remote: DataFrame, d: Definition, way: str |
     rename = {m.remote: m.local for m in d.mapped(way)} if way == "push" else {}
     kinds = {f: ("boolean" if k == "boolean" else k if k.startswith(("array", "struct", "map")) else "string") for f, k in typed.items()}
     matched = F.col("match_kind") != "none"
-    met = met.withColumn("changes", F.when(matched, field_changes(new, old, kinds, stamps, rename)).otherwise(F.array().cast(CHANGES)))
+    met = worked_out(met, changes=F.when(matched, field_changes(new, old, kinds, stamps, rename)).otherwise(F.array().cast(CHANGES)))
     columns = met.columns
     grouped = d.match_mode == "all_matches"
     met = _as_one(met, d, near, d.own_id(way), order) if grouped else met
@@ -180,7 +180,7 @@ def _compared(pairs: DataFrame, d: Definition, watermark: Column | None) -> Data
     pull = field_changes({f: F.col("r_payload")[f] for f in to_local if f in ours}, {f: l[f] for f in to_local if f in ours})
     stamp_l = effective_modified(l[d.local_modified], l[d.local_creation]) if d.local_creation else effective_modified(l[d.local_modified], F.lit(None))
     stamp_r = effective_modified(r[d.remote_modified], r[d.remote_creation], d.remote_zone, d.local_zone)
-    out = pairs.withColumns({"push": push, "pull": pull, "outcome": resolve_conflict(stamp_l, stamp_r, watermark, d.buffer_ms, d.policy, d.tie_breaker)})
+    out = worked_out(pairs, push=push, pull=pull, outcome=resolve_conflict(stamp_l, stamp_r, watermark, d.buffer_ms, d.policy, d.tie_breaker))
     alone_l, alone_r = r.isNull(), l.isNull()
     same = (F.size("push") == 0) & (F.size("pull") == 0)
     to_remote_wins = F.col("outcome").startswith("local")
