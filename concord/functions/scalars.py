@@ -15,9 +15,14 @@ AWARE = r"(Z|[+-]\d{2}:?\d{2})$"
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
+def trimmed(v: Column) -> Column:
+    """The text of v without white space at the ends."""
+    return F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "")
+
+
 def clean_string(v: Column) -> Column:
     """Without white space at the ends; blank is null."""
-    return F.nullif(F.regexp_replace(v.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(trimmed(v), F.lit(""))
 
 
 def first_non_blank(*vs: Column) -> Column:
@@ -35,6 +40,8 @@ def positive_int(v: Column, default: int) -> Column:
 
 #: Digits before and after the point that are written out; beyond, the digits and a power of ten stand for the number.
 WRITTEN_OUT = 10_000
+#: Digits that fit into a long.
+DIGITS = r"^\d{1,18}\z"
 #: A numeral that is its own canonical text.
 CANONICAL = r"^(0|-?[1-9]\d*|-?(0|[1-9]\d*)\.\d*[1-9])$"
 
@@ -63,7 +70,11 @@ def norm_number(v: Column) -> Column:
     Digits are never rounded. Of a number that has more than WRITTEN_OUT digits before or after the point the text is its digits, e and the power of ten,
     however it was written; an exponent of more than 18 digits makes no number.
     """
-    t = F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "")
+    return _number(trimmed(v))
+
+
+def _number(t: Column) -> Column:
+    """norm_number of a trimmed text."""
     short = F.length(t) <= WRITTEN_OUT
     plain = t.rlike(PLAIN)
     out = F.when(short & plain, t).when(plain | t.rlike(EXPONENT), _written_out(F.when(plain, F.concat(t, F.lit("e0"))).otherwise(t)))
@@ -88,7 +99,11 @@ def norm_comparable(v: Column) -> Column:
 
 def norm_datetime_key(v: Column) -> Column:
     """ISO text in microseconds, of aware ones in UTC with their offset; null if v is no calendar datetime."""
-    t = F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "")
+    return _datetime(trimmed(v))
+
+
+def _datetime(t: Column) -> Column:
+    """norm_datetime_key of a trimmed text."""
     aware = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), t.try_cast("timestamp").cast("timestamp_ntz")), MICROS)
     naive = F.date_format(t.try_cast("timestamp_ntz"), MICROS)
     return F.when(t.rlike(DATETIME), F.when(t.rlike(AWARE), F.concat(aware, F.lit("+00:00"))).otherwise(naive))
@@ -98,9 +113,13 @@ def norm_key(v: Column, dtype: str = "string") -> Column:
     """One comparable text for a key's part: null stays null, blank is '', and 1, 1.0, '001' and true are equal."""
     if dtype in ("boolean", *WHOLE):
         return F.concat(F.lit("number:"), (v.cast("int") if dtype == "boolean" else v).cast("string"))
-    t = F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "")
-    tagged = F.coalesce(F.concat(F.lit("datetime:"), norm_datetime_key(t)), F.concat(F.lit("number:"), norm_number(t)), F.concat(F.lit("text:"), t))
-    return F.when(t == "", t).otherwise(tagged)
+    return trimmed_key(trimmed(v))
+
+
+def trimmed_key(t: Column) -> Column:
+    """norm_key of a trimmed text; t stands in it many times, so that inside a lambda it should be a variable. Short runs of digits, as most keys are, need no patterns."""
+    tagged = F.coalesce(F.concat(F.lit("datetime:"), _datetime(t)), F.concat(F.lit("number:"), _number(t)), F.concat(F.lit("text:"), t))
+    return F.when(t.rlike(DIGITS), F.concat(F.lit("number:"), t.try_cast("long").cast("string"))).when(t == "", t).otherwise(tagged)
 
 
 def valid_key(parts: Column) -> Column:
@@ -109,7 +128,7 @@ def valid_key(parts: Column) -> Column:
 
 def parse_datetime(v: Column, assumed: str | None = None, target: str | None = None) -> Column:
     """timestamp_ntz of a datetime or its text; with zones, shifted from the assumed to the target one. Unparseable is null."""
-    t = F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "")
+    t = trimmed(v)
     zone = target or "UTC"
     aware = F.convert_timezone(F.current_timezone(), F.lit(zone), t.try_cast("timestamp").cast("timestamp_ntz"))
     naive = t.try_cast("timestamp_ntz")

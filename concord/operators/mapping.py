@@ -7,7 +7,7 @@ from decimal import Context, Decimal, InvalidOperation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import WHOLE, norm_key, norm_number, shift_zone
+from ..functions.scalars import WHOLE, norm_key, norm_number, shift_zone, trimmed, trimmed_key
 from ..plans.spec import Definition, Fallback
 
 
@@ -97,5 +97,6 @@ def key_parts(df: DataFrame, names: list[str]) -> Column:
     kinds = dict(df.dtypes)
     if all(kinds.get(n) in WHOLE for n in names):
         return F.array(*[norm_key(F.col(n), kinds[n]) for n in names])
-    # one expression for all parts
-    return F.transform(F.array(*[(F.col(n).cast("int") if kinds.get(n) == "boolean" else F.col(n)).cast("string") for n in names]), lambda v: norm_key(v))
+    # one expression for all parts; each is trimmed once
+    texts = F.array(*[trimmed(F.col(n).cast("int") if kinds.get(n) == "boolean" else F.col(n)) for n in names])
+    return F.transform(texts, lambda t: trimmed_key(t))

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from concord.functions import scalars
 from concord.operators import apply, mapping, matching, predicates
 from concord.plans import decide, execute, runs, state
 from concord.plans.spec import Definition, DefinitionError, Fallback, FieldMap, Identity
@@ -419,3 +420,22 @@ def test_keyed_state_over_batches(spark, tmp_path):
         seen.append(micro.state_batch(t, news, number, "d").first().action)
     assert seen == ["created", "skipped", "updated", "updated", "created"]
     assert [(r.record_key, r.revision, len(r.documents)) for r in t.read().collect()] == [("k", 4, 1)]
+
+
+def test_a_filter_on_a_plan_compares_rows_once(spark):
+    """A condition on action is not folded into what it is made of, so that records are compared once and not once for each mention."""
+    both = Definition("d", "both", (FieldMap("k", "id"), FieldMap("a", "b")), ("k",), local_modified="m", remote_modified="n", remote_creation="c")
+    rows = lambda names: spark.createDataFrame([("1", "x", STAMP, STAMP), ("2", "y", STAMP + H, STAMP)], names)
+    local, remote = rows("k string, a string, m timestamp_ntz, o timestamp_ntz"), rows("id string, b string, n timestamp_ntz, c timestamp_ntz")
+    compared = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    for plan in (decide.both_ways_plan(local, remote, both), decide.one_way_plan(local, remote, both, "push")):
+        assert 0 < compared(plan.where("action = 'updated'")) <= compared(plan)
+
+
+def test_keys_of_digits_are_as_other_numbers(spark):
+    """The short way for digits gives what the patterns give, alone and as a part of a key."""
+    texts = ["7", "007", " 7\t", "+7", "7.0", "000", "-0", "123456789012345678", "0001234567890123456789", "1e3", "x7", "7\u0085", "", "  ", None, "2026-03-17T12:00:00Z"]
+    df = spark.createDataFrame([(t,) for t in texts], "k string")
+    for text, key, part, number in df.select("k", scalars.norm_key(F.col("k")), mapping.key_parts(df, ["k"])[0], F.concat(F.lit("number:"), scalars.norm_number(F.col("k")))).collect():
+        assert key == part and (number is None or key == number) and (key is None) == (text is None), text
+    assert df.select(mapping.key_parts(df, ["k"])).distinct()._jdf.queryExecution().optimizedPlan().toString().count("|\\s+$") <= 4  # trimmed once: grouped by, given out, and both times named
