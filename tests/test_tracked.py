@@ -48,3 +48,16 @@ def test_one_version_as_in_a_batch(spark):
                 row = state.next_state(done, known).where(F.col("record_key") == key).first()
                 decision, after = tracked.decided(key, held, fingerprint, removed)
                 assert (done.first().action, row.fingerprint, row.revision, list(row.documents)) == (decision, *after), (key, fingerprint, removed)
+
+
+def test_many_keys_are_held_in_few_groups(spark, tmp_path):
+    """The state store has a row for a group and not for each key, and each key is decided by itself."""
+    rows = [(f"k{k}", p, False, START + dt.timedelta(minutes=m)) for k in range(300) for m, p in ((2, "b"), (0, "a"), (1, "a"))]
+    end = ("end", "0", False, START + dt.timedelta(days=1))
+    for some in (rows[::2], rows[1::2], [end]):
+        spark.createDataFrame(some, NEWS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = tracked.tracked_stream(spark.readStream.schema(NEWS).parquet(f"{tmp_path}/in"), "30 minutes", 8).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    got = spark.read.parquet(f"{tmp_path}/out").groupBy("record_key").agg(F.array_sort(F.collect_list(F.struct("stamp", "decision", "revision"))).alias("r")).collect()
+    assert len(got) == 300 and all([(x.decision, x.revision) for x in g.r] == [("create", 1), ("skip", 1), ("replace", 2)] for g in got)
