@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import idempotency_key
+from ..operators.joins import in_tasks
 from ..operators.shared import checkpoint, claim, claims
 from .runs import counters
 
@@ -169,7 +170,10 @@ def job(definition: str, records: DataFrame, state: DataFrame, targets: DataFram
     carried to the items' message. Records of the state that the read lacks are errors, and keep their documents.
     """
     none = F.array().cast("array<string>")
-    own = prepared(records, state, targets)
+    # all joins by record_key are in one stage, where each keeps its sorted rows
+    n = records.select("record_key").count() + state.select("record_key").count()
+    records, by_key = in_tasks(records, "record_key", n), in_tasks(state, "record_key", n)
+    own = prepared(records, by_key, targets)
     own = own if "aliases" in records.columns else own.withColumn("aliases", none)
     faults = alias_faults(own.select("record_key", "aliases"), state)
     more = alias_documents(own.select("record_key", "aliases"), state, targets)
@@ -185,7 +189,7 @@ def job(definition: str, records: DataFrame, state: DataFrame, targets: DataFram
     unsettled = unsettled.where(F.coalesce("has", F.lit(True)) | ~F.col("alias_of").eqNullSafe(F.col("record_key"))).select("record_key").distinct().withColumn("unsettled", F.lit(True))
     own = own.join(first, "record_key", "left").join(unsettled, "record_key", "left").withColumn("unsettled", F.coalesce("unsettled", F.lit(False)))
     decided = decide(own, rule, create_new, update_existing)
-    return _come_to(definition, decided, records, state, reversed_, log_unchanged)
+    return _come_to(definition, decided, records, by_key, reversed_, log_unchanged)
 
 
 def _come_to(definition: str, decided: DataFrame, records: DataFrame, state: DataFrame, reversed_: DataFrame | None, log_unchanged: bool) -> Job:

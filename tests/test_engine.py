@@ -439,3 +439,16 @@ def test_keys_of_digits_are_as_other_numbers(spark):
     for text, key, part, number in df.select("k", scalars.norm_key(F.col("k")), mapping.key_parts(df, ["k"])[0], F.concat(F.lit("number:"), scalars.norm_number(F.col("k")))).collect():
         assert key == part and (number is None or key == number) and (key is None) == (text is None), text
     assert df.select(mapping.key_parts(df, ["k"])).distinct()._jdf.queryExecution().optimizedPlan().toString().count("|\\s+$") <= 4  # trimmed once: grouped by, given out, and both times named
+
+
+def test_a_state_job_has_tasks_as_it_has_rows(spark, monkeypatch):
+    """More rows than the session's partitions should hold are dealt to more tasks, with the same items."""
+    key = F.concat(F.lit("r"), F.col("id").cast("string")).alias("record_key")
+    known = spark.range(100).select(key, F.lit("1").alias("fingerprint"), F.lit(1).alias("revision"), F.array(F.lit("d")).alias("documents"), F.lit("{}").alias("state"), F.lit(None).cast("string").alias("alias_of"))
+    news = spark.range(50, 150).select(key, F.lit("2").alias("fingerprint"), F.lit(False).alias("removed"))
+    items = lambda job: sorted(map(tuple, job.items.select("record_key", "action", "message").collect()))
+    want = items(state.job("d", news, known))
+    monkeypatch.setattr("concord.operators.joins.TASK_ROWS", 10)
+    job = state.job("d", news, known)
+    assert job.decided.rdd.getNumPartitions() == 20
+    assert items(job) == want and len(want) == 150
