@@ -22,6 +22,16 @@ from ..plans.spec import Definition, DefinitionError
 from ..plans.state import job
 
 POINTERS = "batch long, written long, bucket int, path string"
+#: Tasks that the rows of a bucket are dealt to when it is written, where there are rows enough.
+SLICES = 4
+
+
+def dealt(batch: DataFrame) -> DataFrame:
+    """A batch, read once and kept in as many parts as the session shuffles to. A file of one row group is read by one task, which would otherwise make all of the batch's normal keys, and again for each use.
+
+    It does not pay where keys are plain columns and rows of one key are combined before they are shuffled, as in pull_stream.
+    """
+    return checkpoint(batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def merge_batch(target: DataFrame, batch: DataFrame, keys: list[str], stamp: str) -> DataFrame:
@@ -44,8 +54,9 @@ class VersionedTable:
         self.spark, self.folder, self.schema, self.key_of, self.buckets = spark, folder, schema, key_of, buckets
         spark.createDataFrame([], POINTERS).write.mode("append").parquet(f"{folder}/pointers")
 
-    def bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", F.pmod(F.xxhash64(self.key_of(df)), F.lit(self.buckets)).cast("int"))
+    def bucketed(self, df: DataFrame, slices: int = 1, name: str = "_bucket") -> DataFrame:
+        """df with its rows' buckets; of slices, slice n is a part of bucket n % buckets."""
+        return df.withColumn(name, F.pmod(F.xxhash64(self.key_of(df)), F.lit(self.buckets * slices)).cast("int"))
 
     def touched(self, df: DataFrame) -> list[int]:
         """Buckets that rows fall into; as many as there are at most."""
@@ -65,7 +76,9 @@ class VersionedTable:
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
         to = list(range(self.buckets)) if buckets is None else buckets
         schema = self.spark.createDataFrame([], self.schema).schema
-        self.bucketed(df.select(*schema.names)).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        # Spark splits what a rebalanced task would have too much of, and puts together what is little
+        rows = self.bucketed(df.select(*schema.names), SLICES, "_slice").hint("rebalance", "_slice")
+        rows.withColumn("_bucket", F.col("_slice") % self.buckets).drop("_slice").write.partitionBy("_bucket").parquet(path)
         there = {r[0] for r in self.spark.read.schema(StructType([*schema.fields, StructField("_bucket", IntegerType())])).parquet(path).select("_bucket").distinct().collect()}
         empty = f"{path}/none"
         if set(to) - there:
@@ -100,6 +113,7 @@ def pull_batch(table: VersionedTable, batch: DataFrame, number: int, d: Definiti
         raise DefinitionError("a batch does not tell what is missing")
     if d.identity:
         raise DefinitionError("rows that match by stored ids do not meet in buckets of match keys")
+    batch = dealt(batch)
     to = table.touched(with_key(batch, d.remote_keys).where("key is not null").select(F.col("key").alias("_key")))
     if not to:
         return

@@ -411,6 +411,39 @@ def test_pull_plans_of_batches(spark, tmp_path):
     assert {r.action: r["count"] for r in actions} == {"updated": 1, "created": 1, "skipped": 4, "error": 2}
 
 
+def test_a_batch_is_read_once_and_dealt_to_all_tasks(spark, tmp_path, monkeypatch):
+    """A file of one row group is one task: its rows' keys and plan must not all be worked out there, nor the file be read for each use."""
+    t = micro.VersionedTable(spark, f"{tmp_path}/t", "name string, status string, modified string", micro.keyed_by(["name"]))
+    t.write(spark.createDataFrame([(f"{n}", "open", None) for n in range(60)], t.schema), -1)
+    read, parts, plan = spark.sparkContext.accumulator(0), [], micro.one_way_plan
+
+    def row(n):
+        read.add(1)
+        return f"0{n}", "closed", None
+
+    def planned(local, batch, *more):
+        parts.append(batch.select(F.spark_partition_id()).distinct().count())
+        return plan(local, batch, *more)
+
+    monkeypatch.setattr(micro, "one_way_plan", planned)
+    micro.pull_batch(t, spark.createDataFrame(spark.sparkContext.parallelize(range(100), 1).map(row), "id string, state string, updated_at string"), 0, tasks("pull"))
+    assert sorted((int(r.name), r.status) for r in t.read().collect()) == [(n, "closed") for n in range(100)]
+    assert read.value == 100 and parts == [4]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    t = micro.VersionedTable(spark, str(tmp_path), "k long", lambda df: F.col("k"), buckets=2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if there were rows enough
+    try:
+        t.write(spark.range(2000).toDF("k"), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {k: t.read([k]).select(F.input_file_name()).distinct().count() for k in (0, 1)}
+    assert all(n > 1 for n in files.values()) and sum(files.values()) <= 2 * micro.SLICES
+    assert all(t.bucketed(t.read([k])).where(F.col("_bucket") != k).isEmpty() for k in (0, 1))
+    assert t.read().count() == t.read().distinct().count() == 2000 and t.touched(t.read([1])) == [1]
+
+
 def test_keyed_state_over_batches(spark, tmp_path):
     """State is the table between batches: each batch's job starts from what the one before has left."""
     t = micro.VersionedTable(spark, str(tmp_path), STATE, lambda df: F.col("record_key"), buckets=2)
